@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def by_bytes(df: DataFrame, columns: list[str], kernel: Callable, schema: str) -> DataFrame:
     """mapInArrow over only the named columns."""
     return df.select(*columns).mapInArrow(kernel, schema)
+
+
+def running_start(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """df with `name`: the sum of `value` over all rows before this one in the given order.
+
+    Rows are range-partitioned and summed in their partition; only one total a partition goes through the driver.
+    """
+
+    def kernel(batches):
+        from pyspark import TaskContext
+
+        total, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            v = batch.column(batch.schema.get_field_index(value)).to_numpy(zero_copy_only=False).astype(np.int64)
+            stop = total + np.cumsum(v)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stop - v), pa.array(np.full(len(v), part, np.int64))], names=[*batch.schema.names, name, "part"])
+            total = int(stop[-1]) if len(stop) else total
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    local = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(kernel, f"{fields}, `{name}` long, part long"))
+    before, base = 0, [(-1, 0)]
+    for part, total in sorted((r[0], r[1]) for r in local.groupBy("part").agg(F.max(F.col(name) + F.col(value))).collect()):
+        base.append((part, before))
+        before += total
+    bases = df.sparkSession.createDataFrame(base, "part long, base long")
+    return local.join(F.broadcast(bases), "part").withColumn(name, F.col(name) + F.col("base")).drop("part", "base")
