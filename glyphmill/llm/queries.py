@@ -13,6 +13,7 @@ from .packing import pack_documents
 from .runtime import remove, shared_path
 from .simhash import simhash_dedup
 from .tokenfiles import read_token_files, token_digests, write_token_files
+from .toxicity import fit, score_toxicity
 from .urlfilter import filter_urls
 
 
@@ -61,4 +62,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_packing, op4_chat_format, op5_token_files, op7_url_filter, op9_simhash)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_packing, op4_chat_format, op5_token_files, op7_url_filter, op9_simhash, op10_toxicity)}
