@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import conversation_digests, format_chat
 from .decontaminate import contamination
+from .langid import FOLD, FOLDS, identify, learn
 from .packing import pack_documents
 from .runtime import remove, shared_path
 from .simhash import simhash_dedup
@@ -49,6 +51,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs))
+    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == FOLD, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 #: Fixed by the contract of op7: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -67,4 +75,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_packing, op4_chat_format, op5_token_files, op7_url_filter, op9_simhash, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_packing, op4_chat_format, op5_token_files, op6_language_id, op7_url_filter, op9_simhash, op10_toxicity)}
