@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .chat import conversation_digests, format_chat
 from .decontaminate import contamination
+from .embeddings import embedding_dedup
 from .langid import FOLD, FOLDS, identify, learn
 from .packing import pack_documents
 from .runtime import remove, shared_path
@@ -66,6 +67,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -75,4 +80,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_packing, op4_chat_format, op5_token_files, op6_language_id, op7_url_filter, op9_simhash, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_packing, op4_chat_format, op5_token_files, op6_language_id, op7_url_filter, op8_embedding_dedup, op9_simhash, op10_toxicity)}
