@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most) for k, most in ((1, MAX_TOXIC), (0, MAX_OTHER))]
     few = cut(chosen[0].union(chosen[1]))
-    texts = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").select("label", "text"))
+    texts = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").select("label", "text", F.xxhash64("id").alias("order")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 1 << BITS), np.int64)
@@ -159,13 +159,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for lo, hi in pieces(off):
                 row, bucket = subwords(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], weight > 0)
                 first = np.searchsorted(row, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(bucket, pa.int32()))], names=["label", "buckets"])
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(bucket, pa.int32()))], names=["order", "label", "buckets"])
 
     # sorted: the result doesn't depend on the order in which tasks end
-    got = texts.mapInArrow(informative, "label int, buckets array<int>").toPandas()
-    got = got.iloc[sorted(range(len(got)), key=lambda i: (got["label"].iat[i], list(got["buckets"].iat[i])))]
+    got = texts.mapInArrow(informative, "order long, label int, buckets array<int>").toArrow().sort_by([("order", "ascending"), ("label", "ascending")]).combine_chunks()
+    held = got.column("buckets").combine_chunks()
+    first, buckets = held.offsets.to_numpy(), held.values.to_numpy()
     shift = np.log(share[1] / share[0]) - np.log(rows["n1"] / rows["n0"])
-    return train([np.asarray(b, np.int64) for b in got["buckets"]], got["label"].to_numpy(), weight, np.sign(z), float(shift))
+    return train([buckets[i:j] for i, j in zip(first[:-1], first[1:], strict=True)], got.column("label").to_numpy(), weight, np.sign(z), float(shift))
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
