@@ -15,6 +15,7 @@ from .langid import FOLD, FOLDS, identify, learn
 from .packing import pack_documents
 from .runtime import remove, shared_path
 from .simhash import simhash_dedup
+from .suffixes import remove_repeats
 from .tokenfiles import read_token_files, token_digests, write_token_files
 from .toxicity import fit, score_toxicity
 from .urlfilter import filter_urls
@@ -29,6 +30,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -80,4 +85,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_packing, op4_chat_format, op5_token_files, op6_language_id, op7_url_filter, op8_embedding_dedup, op9_simhash, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_packing, op4_chat_format, op5_token_files, op6_language_id, op7_url_filter, op8_embedding_dedup, op9_simhash, op10_toxicity)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -96,3 +97,39 @@ def running_start(df: DataFrame, order: list[str], value: str, name: str) -> Dat
         before += total
     bases = df.sparkSession.createDataFrame(base, "part long, base long")
     return local.join(F.broadcast(bases), "part").withColumn(name, F.col(name) + F.col("base")).drop("part", "base")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+_FILTER_BITS = 25
+
+
+class KeyFilter:
+    """A Bloom filter of fixed size over long keys: never misses one; with more keys it only lets more others pass."""
+
+    def __init__(self, keys: DataFrame, key: str):
+        spots = keys.select(F.explode(F.array(*(F.shiftrightunsigned(key, s).bitwiseAND((1 << _FILTER_BITS) - 1) for s in (0, 32)))).alias("at"))
+        words = spots.groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS INT)))").alias("bits")).toArrow()
+        bits = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
+        bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+        self.shared = keys.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+    def may_hold(self, df: DataFrame, key: str, other: bool = False) -> DataFrame:
+        """The rows whose key may be among the keys; with `other`, the rest."""
+        shared, at = self.shared, df.columns.index(key)
+
+        def kernel(batches):
+            bits = shared.value
+            for batch in batches:
+                k = batch.column(at).to_numpy().view(np.uint64)
+                found = np.ones(len(k), bool)
+                for s in (0, 32):
+                    spot = ((k >> np.uint64(s)) & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)
+                    found &= (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+                yield batch.filter(pa.array(found != other))
+
+        return df.mapInArrow(kernel, df.schema)

@@ -201,3 +201,16 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = prints.join(member, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs whose id is the smallest of its component, with their columns as they were; rows with a null id stay.
+
+    Rows that repeat that id are copies of it by id, not by text, and stay too.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    held = docs.toDF(*names)
+    i, t = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    found = simhash_dedup(held, i, t, **options)
+    gone = found.where(~F.col("kept")).select(F.col(i).alias("gone")).distinct()
+    return held.join(gone, F.col(i) == F.col("gone"), "left_anti").select(*names).toDF(*docs.columns)
