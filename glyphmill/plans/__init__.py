@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("annotation",)
+MODULES = ("annotation", "circular", "scalars")
 
 
 def load() -> None:
