@@ -94,18 +94,16 @@ def train(texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, sign:
             n = np.array([len(texts[i]) for i in own])
             row, ids = np.repeat(np.arange(len(own)), n), np.concatenate([texts[i] for i in own])
             share = w[ids] / np.bincount(row, w[ids], len(own))[row]
-            mean = np.zeros((len(own), DIM))
-            np.add.at(mean, row, table[ids] * share[:, None])
+            pulled = table[ids] * share[:, None]
+            mean = np.stack([np.bincount(row, pulled[:, k], len(own)) for k in range(DIM)], axis=1)
             out = mean @ layer + bias
             out = np.exp(out - out.max(axis=1, keepdims=True))
             out /= out.sum(axis=1, keepdims=True)
             out[np.arange(len(own)), label[own]] -= 1
             grad = (out @ layer.T)[row] * share[:, None]
-            used, back = np.unique(ids, return_inverse=True)
-            step = np.zeros((len(used), DIM))
-            np.add.at(step, back, grad)
-            seen[used] += (step**2).mean(axis=1)
-            table[used] -= RATE * step / np.sqrt(seen[used])[:, None]
+            step = np.stack([np.bincount(ids, grad[:, k], len(keys)) for k in range(DIM)], axis=1)
+            seen += (step**2).mean(axis=1)
+            table -= RATE * step / np.sqrt(seen)[:, None]
             layer -= 0.02 * mean.T @ out
             bias -= 0.02 * out.sum(axis=0)
     pull = np.zeros(1 << BITS, np.float32)
