@@ -118,18 +118,20 @@ class KeyFilter:
         bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
         self.shared = keys.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
 
-    def may_hold(self, df: DataFrame, key: str, other: bool = False) -> DataFrame:
-        """The rows whose key may be among the keys; with `other`, the rest."""
-        shared, at = self.shared, df.columns.index(key)
+    @staticmethod
+    def test(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        k, found = keys.view(np.uint64), np.ones(len(keys), bool)
+        for s in (0, 32):
+            spot = ((k >> np.uint64(s)) & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)
+            found &= (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+        return found
+
+    def may_hold(self, df: DataFrame, key: str) -> DataFrame:
+        """The rows whose key may be among the keys."""
+        shared, at, test = self.shared, df.columns.index(key), self.test
 
         def kernel(batches):
-            bits = shared.value
             for batch in batches:
-                k = batch.column(at).to_numpy().view(np.uint64)
-                found = np.ones(len(k), bool)
-                for s in (0, 32):
-                    spot = ((k >> np.uint64(s)) & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)
-                    found &= (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
-                yield batch.filter(pa.array(found != other))
+                yield batch.filter(pa.array(test(shared.value, batch.column(at).to_numpy())))
 
         return df.mapInArrow(kernel, df.schema)

@@ -33,6 +33,7 @@ from .runtime import KeyFilter, cut, release
 from .textbytes import BASE, BASE_INV, BYTE_CODE, U64, mix, pieces, powers, slide, utf8
 
 SPAN, GRAM, CELL = 400, 96, 16
+_PIECE = 512 << 10
 _POS_BITS = 31
 _pow, _inv = powers(BASE, 1 << 10), powers(BASE_INV, 1 << 10)
 
@@ -69,7 +70,7 @@ def samples(buf: np.ndarray, off: np.ndarray, span: int, gram: int) -> tuple[np.
         return none, none, none, none
     names = Prefix(buf)
     at = np.arange(len(buf) - gram + 1)
-    name = mix(names.of(at, at + gram))
+    name = mix((names.run[gram:] - names.run[: len(at)]) * _inv[: len(at)])
     # the position in the low bits: the minimum carries it along, and of equal names the first wins
     low = slide((name >> U64(_POS_BITS) << U64(_POS_BITS)) | at.astype(U64), span - gram + 1, np.minimum)
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -135,7 +136,7 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = utf8(batch.column(2))
-            for lo, hi in pieces(off):
+            for lo, hi in pieces(off, _PIECE):
                 row, at, name, whole = samples(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], span, gram)
                 take = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at), pa.array(name), pa.array(whole)], names=["k", "k2", "at", "name", "whole"])
@@ -153,7 +154,7 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 buf, off = utf8(batch.column(2))
                 ats = batch.column(3)
                 head, flat = ats.offsets.to_numpy().astype(np.int64), ats.values.to_numpy()
-                for lo, hi in pieces(off):
+                for lo, hi in pieces(off, _PIECE):
                     row = np.repeat(np.arange(hi - lo), np.diff(head[lo : hi + 1]))
                     i, part, shared, covered = cells(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], row, flat[head[lo] : head[hi]], span, width)
                     take = pa.array(row[i] + lo)
@@ -175,11 +176,14 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return done[0].union(done[1]).union(done[2])
 
 
-def _trim(fields: list, text_at: int, span: int, with_text: bool):
-    """Rows with columns fields, then k, k2, ats (packed ranges, or null)."""
+def _trim(fields: list, text_at: int, span: int, with_text: bool, beside: KeyFilter | None = None):
+    """Rows with columns fields, then k, k2, ats (packed ranges, or null). beside: leave out the rows whose k it may hold."""
+    shared, test = (beside.shared, beside.test) if beside else (None, None)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if shared is not None:
+                batch = batch.filter(pa.array(~test(shared.value, batch.column(len(fields)).to_numpy())))
             cols, ats = batch.columns[: len(fields)], batch.column(len(fields) + 2)
             buf, off = utf8(batch.column(text_at))
             out: list[list] = [[], [], [], [], []]
@@ -215,10 +219,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = docs.select(*cols, F.xxhash64(F.col(id_col), F.col(text_col)).alias("__k"), F.hash(F.col(text_col), F.lit(1)).alias("__k2"))
     found = KeyFilter(ranges, "k")
     hit = found.may_hold(held, "__k").join(ranges.select(F.col("k").alias("__k"), F.col("k2").alias("__k2"), F.col("ats").alias("__ats")).hint("shuffle_hash"), ["__k", "__k2"], "left")
-    clean = found.may_hold(held, "__k", other=True).withColumn("__ats", F.lit(None).cast("array<long>"))
+    clean = held.withColumn("__ats", F.lit(None).cast("array<long>"))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
     order = [*(F.col(f"`{c}`") for c in cols), "__k", "__k2", "__ats"]
-    out = [df.select(*order).mapInArrow(_trim(cols, cols.index(text_col), span, with_text), schema) for df in (hit, clean)]
+    out = [df.select(*order).mapInArrow(_trim(cols, cols.index(text_col), span, with_text, beside), schema) for df, beside in ((hit, None), (clean, found))]
     both = out[0].union(out[1])
     return both if with_text else both.drop(*([text_col] if text_col not in [id_col, *(keep or [])] else []))
 
