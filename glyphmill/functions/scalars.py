@@ -81,8 +81,8 @@ def image_url(path: Column, base: str = "/static/thumbs/") -> Column:
 
 
 def clamp01(x: Column) -> Column:
-    """Between 0 and 1; not a number is 0."""
-    return F.when(F.isnan(x), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    """Between 0 and 1; not a number is 0, null stays null (least and greatest would skip it)."""
+    return F.when(F.isnan(x), F.lit(0.0)).when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def index_bin(x: Column) -> Column:
@@ -108,7 +108,7 @@ def likert_share(x: Column) -> Column:
 
 
 def inverted_u(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), 1 - 2 * F.abs(x - 0.5))
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), 1 - 2 * F.abs(x - 0.5)))
 
 
 def squash(x: Column, mid: float, scale: float) -> Column:

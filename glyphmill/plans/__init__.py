@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("annotation", "circular", "scalars")
+MODULES = ("annotation", "circular", "scalars", "registry")
 
 
 def load() -> None:
