@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("annotation", "circular", "scalars", "registry", "spatial")
+MODULES = ("annotation", "circular", "scalars", "registry", "spatial", "studies")
 
 
 def load() -> None:
