@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ONE = F.lit(1.0)
-
 
 def _w(weight: str | None) -> Column:
     return F.col(weight) if weight else F.lit(1.0)

@@ -17,7 +17,6 @@ from ..functions import scalars as S
 
 #: How much a tag can be seen in 2-d, in order.
 EXTRACT_ORDER = {"yes": 3, "partial": 2, "no": 1}
-_RANK = F.create_map(*(x for k, v in EXTRACT_ORDER.items() for x in (F.lit(k), F.lit(v))))
 
 
 def _blank(c: str) -> Column:
@@ -62,7 +61,11 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     b = new.select("tag_id", F.struct(*cols).alias("b"))
     j = a.join(b, "tag_id", "full")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    rank = lambda c: F.coalesce(F.try_element_at(_RANK, F.coalesce(c, F.lit("?"))), F.lit(0))
+    order = F.create_map(*(x for k, v in EXTRACT_ORDER.items() for x in (F.lit(k), F.lit(v))))
+
+    def rank(c: Column) -> Column:
+        return F.coalesce(F.try_element_at(order, F.coalesce(c, F.lit("?"))), F.lit(0))
+
     rules = [
         (F.col("b").isNull(), "BREAKING", "TAG_REMOVED"), (F.col("a").isNull(), "INFO", "TAG_ADDED"), (both & ~F.col("a.value_type").eqNullSafe(F.col("b.value_type")), "BREAKING", "VALUE_TYPE_CHANGED"),
         (both & ~F.col("a.status").eqNullSafe(F.lit("deprecated")) & (F.col("b.status") == "deprecated"), "WARNING", "TAG_DEPRECATED"), (both & (rank(F.col("a.from_2d")) > rank(F.col("b.from_2d"))), "WARNING", "EXTRACTABILITY_DOWNGRADE"),

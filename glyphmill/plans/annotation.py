@@ -8,7 +8,8 @@ from ..operators import annotation as A
 from . import views as V
 from .catalog import query
 
-_AS_OF = F.lit("2024-01-31").cast("timestamp_ntz")
+def _as_of():
+    return F.lit("2024-01-31").cast("timestamp_ntz")
 
 
 def _r(df, *cols):
@@ -27,7 +28,7 @@ def _(spark, d):
 
 @query("agg03_daily_cost", "SELECT strftime(created_at, '%Y-%m-%d') AS day, round(sum(cost_usd), 4) AS total_cost FROM usage WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 13 DAY GROUP BY 1")
 def _(spark, d):
-    return A.daily_cost(V.usage(spark, d), _AS_OF, 14).withColumn("total_cost", F.round("total_cost", 4))
+    return A.daily_cost(V.usage(spark, d), _as_of(), 14).withColumn("total_cost", F.round("total_cost", 4))
 
 
 @query("agg04_run_status", "SELECT count(*) FILTER (status = 'PENDING') AS pending, count(*) FILTER (status = 'RUNNING') AS running, count(*) FILTER (status = 'COMPLETED') AS completed, count(*) FILTER (status = 'FAILED') AS failed, count(*) AS total FROM runs")
@@ -123,7 +124,7 @@ def _(spark, d):
 
 @query("agg38_week_over_week", "+dd AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, sum(cost_usd) AS c, row_number() OVER (ORDER BY strftime(created_at, '%Y-%m-%d') DESC) AS r FROM usage WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 29 DAY GROUP BY 1), s AS (SELECT sum(c) FILTER (r <= 7) AS a, sum(c) FILTER (r BETWEEN 8 AND 14) AS b, max(c) AS m FROM dd) SELECT round(a, 4) AS this_week, round(b, 4) AS last_week, round((a - b) / b, 6) AS change, round(m, 4) AS largest_day FROM s")
 def _(spark, d):
-    out = A.week_over_week(A.daily_cost(V.usage(spark, d), _AS_OF, 30))
+    out = A.week_over_week(A.daily_cost(V.usage(spark, d), _as_of(), 30))
     return out.select(F.round("this_week", 4).alias("this_week"), F.round("last_week", 4).alias("last_week"), F.round("change", 6).alias("change"), F.round("largest_day", 4).alias("largest_day"))
 
 
@@ -161,7 +162,7 @@ def _(spark, d):
 
 @query("flt07_recent_window", "SELECT id, cost_usd FROM usage WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 48 HOUR")
 def _(spark, d):
-    return A.within_hours(V.usage(spark, d), _AS_OF, 48).select("id", "cost_usd")
+    return A.within_hours(V.usage(spark, d), _as_of(), 48).select("id", "cost_usd")
 
 
 @query("srt02_page", "SELECT id, filename FROM images ORDER BY id LIMIT 30 OFFSET 60")
