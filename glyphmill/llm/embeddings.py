@@ -37,9 +37,13 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two, which changes no cosine: squares of tiny or huge components stay in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    # scaled first: tiny or huge components don't under- or overflow
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -61,6 +65,7 @@ def principal_axes(classes: DataFrame, dim: int) -> np.ndarray:
 
 def compare_tiles(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the pairs with cosine >= threshold (i < j if both are the same tile)."""
+    a, b = _scaled(a), _scaled(b)
     ua, ub = _unit(a), _unit(b)
     pa_, pb = ua @ axes, ub @ axes
     rest_a, rest_b = ((np.sqrt(np.maximum(1 - np.cumsum(p * p, axis=1), 0))) for p in (pa_, pb))

@@ -19,7 +19,7 @@ from .textbytes import byte_class, pieces, span_hashes, utf8
 
 END_ID = 2
 CACHE_STRETCHES = 3_000_000
-_ASCII_SPACE = byte_class((0x09, 0x0D), (0x20, 0x20), (0x1C, 0x1F))
+_ASCII_SPACE = byte_class((0x09, 0x0D), (0x20, 0x20))
 #: Second-last and first bytes of the UTF-8 forms of white space beyond ASCII; no cut is made near them.
 _TAIL = byte_class((0xC2, 0xC2), (0x80, 0x81), (0x9A, 0x9A))
 _HEAD = byte_class((0xC2, 0xC2), (0xE1, 0xE3))
