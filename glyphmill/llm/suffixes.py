@@ -112,7 +112,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _repeated(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name)
+    # as an expression, not the grouped column itself: the join that follows then shuffles both its sides for itself, and
+    # adaptive execution can split a side where one name has a great share of the rows
+    return df.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(F.col(name).bitwiseXOR(F.lit(0).cast("long")).alias(name))
 
 
 def _settle(parts: DataFrame, shared: str, covered: str) -> tuple[DataFrame, DataFrame]:
