@@ -117,7 +117,8 @@ def median(df: DataFrame, keys: list[str], angle: str, digits: int = 9) -> DataF
     d = df.select(*keys, F.round(F.pmod(angle, 2 * F.pi()), digits).alias("a")).groupBy(*keys, "a").agg(F.count("*").alias("c"))
     other = d.select(*keys, F.col("a").alias("b"), F.col("c").alias("k"))
     gap = F.round(distance(F.col("b"), F.col("a")), digits)
-    sides = d.join(other, keys).groupBy(*keys, "a").agg(F.abs(F.sum(F.when(gap >= 0, F.col("k")).otherwise(0)) - F.sum(F.when(gap <= 0, F.col("k")).otherwise(0))).alias("off"))
+    pairs = d.join(other, keys) if keys else d.join(F.broadcast(other))
+    sides = pairs.groupBy(*keys, "a").agg(F.abs(F.sum(F.when(gap >= 0, F.col("k")).otherwise(0)) - F.sum(F.when(gap <= 0, F.col("k")).otherwise(0))).alias("off"))
     return sides.groupBy(*keys).agg(F.min(F.struct("off", "a")).alias("m")).select(*keys, F.col("m.a").alias("median"))
 
 
