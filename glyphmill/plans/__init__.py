@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("annotation", "circular", "scalars", "registry", "spatial", "studies")
+MODULES = ("annotation", "circular", "scalars", "registry", "spatial", "studies", "pipeline")
 
 
 def load() -> None:
