@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import small_batches
 from .textbytes import BYTE_CODE_LOWER, LOWER, U64, byte_class, grams, mix, pieces, slide, span_hashes, spans, utf8
 
 WINDOW, GRAM, SHARE = 13, 7, 20
@@ -169,6 +170,7 @@ def contamination(
     if not 0 < k <= n:
         raise ValueError("k must be between 1 and n")
     spark = docs.sparkSession
+    small_batches(spark)
     blocks = [spark.sparkContext.broadcast(Index(ids, texts, n, k)) for ids, texts in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)]
     keep = [c for c in keep or [] if c not in (id_col,)]
     if clash := {"n_words", "n_hit", "n_items", "item_ids", "items_sha256", "contaminated"} & {id_col, *keep}:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import small_batches
 from .textbytes import BYTE_CODE, LOWER, byte_class, pieces, spans, utf8
 
 BITS, GRAMS, SMOOTH, SWITCH, LANE, MAX_LANGS = 16, (1, 2, 3, 4), 0.5, 8.0, 2048, 64
@@ -162,6 +163,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float, lane: int = LA
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, fold: int = FOLD) -> Model | None:
     """Count grams and scripts of all rows outside the fold; None if there's no language."""
+    small_batches(docs.sparkSession)
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False)).alias("held")).where("lang is not null and text is not null and not held").select("lang", "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +207,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH, with_spans: bool = False) -> DataFrame:
     """Per row: id_col, lang_pred, score and, if asked for, spans: (first word, words, lang) of each stretch of one language."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

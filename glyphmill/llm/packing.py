@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .runtime import cut
+from .runtime import cut, small_batches
 from .tokens import END_ID, crc32, token_batches
 
 LENGTH, PER_PARTITION, FAN, SLACK, HOSTS = 1024, 50_000, 8, 8, 256
@@ -74,6 +74,7 @@ def _packer(length: int, schema: pa.Schema):
 
 def pieces_of(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of each piece of each document."""
+    small_batches(docs.sparkSession)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

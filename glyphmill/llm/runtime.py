@@ -30,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of texts be small, unless the session asks for smaller ones yet."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

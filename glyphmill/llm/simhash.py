@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import components, cut
+from .runtime import components, cut, small_batches
 from .textbytes import LOWER, U64, byte_class, pieces, spans, utf8
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -74,6 +74,7 @@ def majority(h: np.ndarray, head: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """(id, fp): fp is the 64-bit fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest

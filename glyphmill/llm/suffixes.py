@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import KeyFilter, cut, release
+from .runtime import KeyFilter, cut, release, small_batches
 from .textbytes import BASE, BASE_INV, BYTE_CODE, U64, mix, pieces, powers, slide, utf8
 
 SPAN, GRAM, CELL = 400, 96, 16
@@ -133,6 +133,7 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 < gram <= span < 1024:
         raise ValueError("gram must be between 1 and span, span below 1024")
     spark = docs.sparkSession
+    small_batches(spark)
     keyed = _keyed(docs, id_col, text_col)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

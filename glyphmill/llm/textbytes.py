@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 _BLOCK = 1 << 18
 
 _rng = np.random.default_rng(20240229)

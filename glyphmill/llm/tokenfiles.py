@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import cut, running_start
+from .runtime import cut, running_start, small_batches
 from .tokens import END_ID, crc32, token_batches
 
 STRIPE_BYTES, INDEX_STRIDE, BLOOM_FPP = 16 << 20, 1000, 0.01
@@ -24,6 +24,7 @@ STRIPE_BYTES, INDEX_STRIDE, BLOOM_FPP = 16 << 20, 1000, 0.01
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, files: int | None = None) -> None:
     """Write (id_col, ids array<int>) of every document, in ascending order over files and in them."""
+    small_batches(docs.sparkSession)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

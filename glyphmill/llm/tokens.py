@@ -18,7 +18,7 @@ import pyarrow as pa
 from .textbytes import byte_class, pieces, span_hashes, utf8
 
 END_ID = 2
-CACHE_STRETCHES = 3_000_000
+CACHE_STRETCHES = 1_200_000
 _ASCII_SPACE = byte_class((0x09, 0x0D), (0x20, 0x20))
 #: Second-last and first bytes of the UTF-8 forms of white space beyond ASCII; no cut is made near them.
 _TAIL = byte_class((0xC2, 0xC2), (0x80, 0x81), (0x9A, 0x9A))
@@ -131,7 +131,7 @@ def with_end(ids: np.ndarray, head: np.ndarray, end_id: int = END_ID) -> tuple[n
     return out, first
 
 
-def token_batches(batch: pa.RecordBatch, text: int, path: str, limit: int = 6 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def token_batches(batch: pa.RecordBatch, text: int, path: str, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, ids with the end id, each row's first) for pieces of the batch."""
     buf, off = utf8(batch.column(text))
     own = encoder(path)

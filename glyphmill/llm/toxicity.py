@@ -1,8 +1,8 @@
 """Toxicity: averaged subword embeddings and a linear softmax, trained jointly in numpy.
 
 A text is its set of character 3- to 8-grams inside words (with the boundaries), hashed into 2**18 buckets, so an unseen
-misspelling shares most grams with what was learnt. Grams that tell the classes apart in the training rows (log-odds at
-least Z standard errors from zero) have an embedding; a text's vector is the average of those it holds, weighted by that
+misspelling shares most grams with what was learnt. Grams that tell the classes apart in the training rows (the GRAMS
+whose log-odds are most standard errors from zero, at least Z) have an embedding; a text's vector is the average of those it holds, weighted by that
 number, and a softmax layer scores it. Embeddings and layer are trained together by mini-batch AdaGrad.
 
 Training uses at most MAX_TOXIC and MAX_OTHER labelled rows, those of the smallest hash of the id; the intercept is
@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, small_batches
 from .textbytes import BYTE_CODE, LOWER, byte_class, pieces, utf8
 
 BITS, SIZES, DIM, Z = 18, (3, 4, 5, 6, 7, 8), 8, 3.3
-MAX_TOXIC, MAX_OTHER, EPOCHS, BATCH, RATE, SEED = 4000, 8000, 6, 32, 0.1, 7
+MAX_TOXIC, MAX_OTHER, GRAMS, EPOCHS, BATCH, RATE, SEED = 3000, 6000, 4096, 6, 32, 0.1, 7
+_PIECE = 512 << 10
 THRESHOLD, FOLDS, FOLD = 0.7, 3, 1
 _LETTER = byte_class((0x61, 0x7A), (0x80, 0xFF))[LOWER]
 _CODE = np.where(_LETTER, BYTE_CODE[LOWER], 0x51ED270B).astype(np.uint32)
@@ -76,12 +77,10 @@ class Model:
 
 
 def train(texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, sign: np.ndarray, shift: float) -> Model:
-    """texts: the informative buckets of each text; weight and sign: of each bucket; shift: added to the intercept."""
+    """texts: each text's grams, as places among the buckets with a weight; weight and sign: of each bucket; shift: added to the intercept."""
     rng = np.random.default_rng(SEED)
     keys = np.flatnonzero(weight)
-    place = np.zeros(1 << BITS, np.int64)
-    place[keys] = np.arange(len(keys))
-    texts, w = [place[t] for t in texts], weight[keys].astype(np.float64)
+    w = weight[keys].astype(np.float64)
     layer, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     way = layer[:, 1] - layer[:, 0]
     table = rng.normal(0, 0.05, (len(keys), DIM)) + sign[keys][:, None] * way / (way @ way)
@@ -118,6 +117,7 @@ def in_fold(id_col: Column, folds: int = FOLDS, fold: int = FOLD) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Train on the labelled rows outside the held-out fold; None if a class has no row."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~in_fold(F.col("id")))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     share = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             label, (buf, off) = batch.column(0).to_numpy(), utf8(batch.column(1))
             rows += np.bincount(label, minlength=2)
-            for lo, hi in pieces(off):
+            for lo, hi in pieces(off, _PIECE):
                 row, bucket = subwords(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 n += np.bincount((label[lo:hi][row].astype(np.int64) << BITS) | bucket, minlength=2 << BITS).reshape(2, -1)
         full = np.flatnonzero(n.any(axis=0))
@@ -149,26 +149,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     df[:, own.index.to_numpy()] = own[["n0", "n1"]].to_numpy().T
     odds = [np.log((df[k] + 0.5) / (rows[f"n{k}"] - df[k] + 0.5)) for k in (0, 1)]
     z = (odds[1] - odds[0]) / np.sqrt(1 / (df[0] + 0.5) + 1 / (df[1] + 0.5))
-    weight = np.where(np.abs(z) >= Z, np.abs(z), 0).astype(np.float32)
+    best = np.argsort(-np.abs(z), kind="stable")[:GRAMS]
+    weight = np.zeros(1 << BITS, np.float32)
+    weight[best] = np.where(np.abs(z[best]) >= Z, np.abs(z[best]), 0)
+    place = np.zeros(1 << BITS, np.uint16)
+    place[weight > 0] = np.arange((weight > 0).sum())
 
     def informative(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = utf8(batch.column(1))
-            for lo, hi in pieces(off):
+            for lo, hi in pieces(off, _PIECE):
                 row, bucket = subwords(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], weight > 0)
-                first = np.searchsorted(row, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(bucket, pa.int32()))], names=["order", "label", "buckets"])
+                first, packed = np.searchsorted(row, np.arange(hi - lo + 1)), place[bucket]
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), batch.column(0).slice(lo, hi - lo), pa.array([packed[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["order", "label", "grams"])
 
     # sorted: the result doesn't depend on the order in which tasks end
-    got = texts.mapInArrow(informative, "order long, label int, buckets array<int>").toArrow().sort_by([("order", "ascending"), ("label", "ascending")]).combine_chunks()
-    held = got.column("buckets").combine_chunks()
-    first, buckets = held.offsets.to_numpy(), held.values.to_numpy()
+    got = texts.mapInArrow(informative, "order long, label int, grams binary").toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
+    grams = [np.frombuffer(x.as_buffer(), np.uint16) if len(x.as_buffer()) else np.zeros(0, np.uint16) for x in got.column("grams")]
     shift = np.log(share[1] / share[0]) - np.log(rows["n1"] / rows["n0"])
-    return train([buckets[i:j] for i, j in zip(first[:-1], first[1:], strict=True)], got.column("label").to_numpy(), weight, np.sign(z), float(shift))
+    return train(grams, got.column("label").to_numpy(), weight, np.sign(z), float(shift))
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per row: id_col and `keep`, held_out, score, predicted."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in keep or [] if c != id_col]
     fields = [docs.schema[c] for c in [id_col, *keep]]
@@ -177,7 +181,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
         own = shared.value
         for batch in batches:
             buf, off = utf8(batch.column(text_col))
-            score = [own.score(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) if own else np.zeros(hi - lo) for lo, hi in pieces(off)]
+            score = [own.score(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) if own else np.zeros(hi - lo) for lo, hi in pieces(off, _PIECE)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(np.concatenate(score) if score else [], pa.float64())], names=[*(f.name for f in fields), "score"])
 
     cols = list(dict.fromkeys([id_col, text_col, *keep]))
