@@ -31,19 +31,13 @@ def line_of_sight(walls: np.ndarray, a: tuple[int, int], b: tuple[int, int]) ->
 def rays(walls: np.ndarray, at: tuple[float, float], n: int = 72, step: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """Length of each ray up to a wall, and whether it left the plan instead."""
     h, w = walls.shape
-    length, left = np.zeros(n), np.zeros(n, bool)
-    for i, t in enumerate(np.arange(n) * 2 * math.pi / n):
-        r = 0.0
-        while True:
-            r += step
-            x, y = round(at[0] + r * math.cos(t)), round(at[1] + r * math.sin(t))
-            if not (0 <= x < w and 0 <= y < h):
-                left[i] = True
-                break
-            if walls[y, x]:
-                break
-        length[i] = r
-    return length, left
+    t = [i * 2 * math.pi / n for i in range(n)]
+    # as many steps as leave the plan from any of its cells
+    r = np.full(math.ceil((math.hypot(h, w) + 1) / step) + 1, step).cumsum()
+    x, y = (np.rint(at[k] + r * np.array([[f(v)] for v in t])).astype(int) for k, f in ((0, math.cos), (1, math.sin)))
+    out = (x < 0) | (x >= w) | (y < 0) | (y >= h)
+    first = (out | walls[y.clip(0, h - 1), x.clip(0, w - 1)]).argmax(axis=1)
+    return r[first], out[np.arange(n), first]
 
 
 def isovist_measures(length: np.ndarray, left: np.ndarray) -> dict[str, float]:
