@@ -79,7 +79,7 @@ def _(spark, d):
 
 @query("reg08_validity", f"+{_REG}, w AS (SELECT 'env.part.t' || o_orderkey AS tag_id FROM orders WHERE o_orderkey < 400) SELECT DISTINCT w.tag_id, status IS NOT NULL AS \"exists\", coalesce(status = 'active', false) AS active, coalesce(status = 'deprecated', false) AS deprecated, replaced_by FROM w LEFT JOIN reg USING (tag_id)")
 def _(spark, d):
-    w = V.table(spark, d, "orders").where("o_orderkey < 400").select(F.concat(F.lit("env.part.t"), F.col("o_orderkey").cast("string")).alias("tag_id"))
+    w = V.table(spark, d, "orders").select(F.concat(F.lit("env.part.t"), F.col("o_orderkey").cast("string")).alias("tag_id"))
     return R.validity(w, registry(spark, d))
 
 
@@ -142,7 +142,7 @@ SELECT coalesce(r.tag_id, p.tag_id) AS tag_id, CASE WHEN (kind = 'new' AND r.tag
 CASE WHEN kind = 'deprecate' AND r.tag_id IS NOT NULL THEN 'deprecated' WHEN r.tag_id IS NOT NULL THEN status WHEN kind = 'new' THEN 'active' END AS status, CASE WHEN kind = 'new' AND r.tag_id IS NOT NULL THEN 'already exists' WHEN kind IN ('modify', 'deprecate') AND r.tag_id IS NULL THEN 'not found' END AS error FROM reg r FULL JOIN p USING (tag_id)""")
 def _(spark, d):
     k = F.col("o_orderkey")
-    p = V.table(spark, d, "orders").where(k.between(100, 2300)).select(F.concat(F.lit("env.part.t"), k.cast("string")).alias("tag_id"), F.when(k % 3 == 0, "new").when(k % 3 == 1, "modify").otherwise("deprecate").alias("kind"), F.when(k % 3 < 2, F.col("o_orderpriority")).alias("definition"), F.lit("approved").alias("status"))
+    p = V.table(spark, d, "orders").select(F.concat(F.lit("env.part.t"), k.cast("string")).alias("tag_id"), F.when(k % 3 == 0, "new").when(k % 3 == 1, "modify").otherwise("deprecate").alias("kind"), F.when(k % 3 < 2, F.col("o_orderpriority")).alias("definition"), F.lit("approved").alias("status"))
     return R.merge_approved(registry(spark, d), p)
 
 

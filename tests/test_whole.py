@@ -5,12 +5,17 @@ from test_catalog import SF, db, rows  # noqa: F401
 
 from glyphmill.plans import load
 from glyphmill.plans.catalog import QUERIES, VIEWS_SQL
+from glyphmill.plans.registry import _REG
 
 load()
 
 WHOLE = {
     "geo01_free_share": "SELECT image_id AS plan_id, round(avg(CASE WHEN grey > 145 THEN 0.0 ELSE 1.0 END), 6) AS free FROM pixels GROUP BY 1",
     "geo16_mirrors": "+s AS (SELECT image_id AS plan_id, x AS x1, y AS y1 FROM pixels WHERE pos % 16 = 0), v AS (SELECT image_id AS plan_id, x AS px, y AS py FROM pixels WHERE pos % 8 = 3), j AS (SELECT *, ((px - x1) * 2 + (py - y1)) / 5 AS t FROM v JOIN s USING (plan_id)) SELECT plan_id, px, py, round(2 * (x1 + 2 * t) - px, 6) + 0.0 AS ix, round(2 * (y1 + t) - py, 6) + 0.0 AS iy, round(2 * sqrt(pow(x1 + 2 * t - px, 2) + pow(y1 + t - py, 2)), 6) AS image_distance, t BETWEEN 0 AND 1 AS self_visible FROM j",
+    "reg08_validity": f"+{_REG}, w AS (SELECT 'env.part.t' || o_orderkey AS tag_id FROM orders) SELECT w.tag_id, status IS NOT NULL AS \"exists\", coalesce(status = 'active', false) AS active, coalesce(status = 'deprecated', false) AS deprecated, replaced_by FROM w LEFT JOIN reg USING (tag_id)",
+    "dml10_merge_approved": f"""+{_REG}, p AS (SELECT 'env.part.t' || o_orderkey AS tag_id, CASE o_orderkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'modify' ELSE 'deprecate' END AS kind, CASE WHEN o_orderkey % 3 < 2 THEN o_orderpriority END AS nd FROM orders)
+SELECT coalesce(r.tag_id, p.tag_id) AS tag_id, CASE WHEN (kind = 'new') = (r.tag_id IS NOT NULL) THEN definition ELSE coalesce(nd, definition) END AS definition,
+CASE WHEN kind = 'deprecate' AND r.tag_id IS NOT NULL THEN 'deprecated' WHEN r.tag_id IS NOT NULL THEN status WHEN kind = 'new' THEN 'active' END AS status, CASE WHEN kind = 'new' AND r.tag_id IS NOT NULL THEN 'already exists' WHEN kind <> 'new' AND r.tag_id IS NULL THEN 'not found' END AS error FROM reg r FULL JOIN p USING (tag_id)""",
 }
 
 
