@@ -65,8 +65,8 @@ def ids_in(s: Column) -> Column:
     return F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x).try_cast("bigint")), lambda x: x.isNotNull())
 
 
-def sanitised(s: Column, limit: int = 1000) -> Column:
-    """Cut to a length, NULs out, HTML characters escaped."""
+def sanitised(s: Column, limit: int = 10000) -> Column:
+    """Cut to a length (the reference's sanitize_string has this limit too), NULs out, HTML characters escaped."""
     out = F.replace(F.substring(s, 1, limit), F.lit("\0"), F.lit(""))
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         out = F.replace(out, F.lit(a), F.lit(b))

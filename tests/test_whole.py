@@ -16,6 +16,7 @@ WHOLE = {
     "dml10_merge_approved": f"""+{_REG}, p AS (SELECT 'env.part.t' || o_orderkey AS tag_id, CASE o_orderkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'modify' ELSE 'deprecate' END AS kind, CASE WHEN o_orderkey % 3 < 2 THEN o_orderpriority END AS nd FROM orders)
 SELECT coalesce(r.tag_id, p.tag_id) AS tag_id, CASE WHEN (kind = 'new') = (r.tag_id IS NOT NULL) THEN definition ELSE coalesce(nd, definition) END AS definition,
 CASE WHEN kind = 'deprecate' AND r.tag_id IS NOT NULL THEN 'deprecated' WHEN r.tag_id IS NOT NULL THEN status WHEN kind = 'new' THEN 'active' END AS status, CASE WHEN kind = 'new' AND r.tag_id IS NOT NULL THEN 'already exists' WHEN kind <> 'new' AND r.tag_id IS NULL THEN 'not found' END AS error FROM reg r FULL JOIN p USING (tag_id)""",
+    "add13_sanitised": "SELECT page_id, replace(replace(replace(replace(replace(substring(html, 1, 10000), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html FROM pages",
 }
 
 
