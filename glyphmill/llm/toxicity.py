@@ -1,12 +1,13 @@
 """Toxicity: averaged subword embeddings and a linear softmax, trained jointly in numpy.
 
 A text is its set of character 3- to 8-grams inside words (with the boundaries), hashed into 2**18 buckets, so an unseen
-misspelling shares most grams with what was learnt. Grams that tell the classes apart in the training rows (the GRAMS
-whose log-odds are most standard errors from zero, at least Z) have an embedding; a text's vector is the average of those it holds, weighted by that
-number, and a softmax layer scores it. Embeddings and layer are trained together by mini-batch AdaGrad.
+misspelling shares most grams with what was learnt. Every bucket has an embedding; a text's vector is the average of those it
+holds, weighted by how surely a bucket tells the classes apart: by how many standard errors its log-odds are from zero, much less
+below Z of them, but never nothing. These are counted over all labelled training rows, in Spark. A softmax layer scores the vector. Embeddings and layer are trained together by mini-batch AdaGrad.
 
 Training uses at most MAX_TOXIC and MAX_OTHER labelled rows, those of the smallest hash of the id; the intercept is
-corrected to the class shares of all labelled rows. Only that sample's grams reach the driver. Scoring is one pass without a
+corrected to the class shares of all labelled rows. Only that sample's grams reach the driver, a byte or so each, and the counts
+of 2**18 buckets. Scoring is one pass without a
 shuffle, over whole texts.
 
 Null and empty texts score by the intercept alone. Labels that are null or have a null id are left out; of repeated ids the
@@ -26,17 +27,17 @@ from pyspark.sql import functions as F
 from .runtime import cut, small_batches
 from .textbytes import BYTE_CODE, LOWER, byte_class, pieces, utf8
 
-BITS, SIZES, DIM, Z = 18, (3, 4, 5, 6, 7, 8), 8, 3.3
-MAX_TOXIC, MAX_OTHER, GRAMS, EPOCHS, BATCH, RATE, SEED = 3000, 6000, 4096, 6, 32, 0.1, 7
-_PIECE = 512 << 10
+BITS, SIZES, DIM, Z, SOFT = 18, (3, 4, 5, 6, 7, 8), 8, 3.3, 3.0
+MAX_TOXIC, MAX_OTHER, EPOCHS, BATCH, RATE, SEED = 3000, 6000, 6, 32, 0.1, 7
+_PIECE, _MARKED = 512 << 10, 256
 THRESHOLD, FOLDS, FOLD = 0.7, 3, 1
 _LETTER = byte_class((0x61, 0x7A), (0x80, 0xFF))[LOWER]
 _CODE = np.where(_LETTER, BYTE_CODE[LOWER], 0x51ED270B).astype(np.uint32)
 _STEP, _LAST = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
-def subwords(buf: np.ndarray, off: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, buckets): each row's distinct buckets, ascending; only those `wanted` (a bool per bucket), if given."""
+def subwords(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, buckets): each row's distinct buckets, ascending."""
     rows = len(off) - 1
     gap = off + np.arange(rows + 1)  # a space before each row and at the end
     text = np.full(len(buf) + rows + 1, 32, np.uint8)
@@ -45,6 +46,8 @@ def subwords(buf: np.ndarray, off: np.ndarray, wanted: np.ndarray | None = None)
     text[fill] = buf
     letter, code, n = _LETTER[text], _CODE[text], len(text)
     h, inner, found = code.copy(), np.ones(n, bool), []
+    own = np.repeat(np.arange(rows) << BITS, np.diff(gap))
+    marks = np.zeros(rows << BITS, bool) if rows <= _MARKED else None
     for k in range(2, max(SIZES) + 1):
         if k > n:
             break
@@ -53,13 +56,29 @@ def subwords(buf: np.ndarray, off: np.ndarray, wanted: np.ndarray | None = None)
         if k in SIZES:
             g = (h ^ (h >> np.uint32(15))) * (_LAST + np.uint32(2 * k))
             g >>= np.uint32(32 - BITS)
-            at = np.flatnonzero(inner if wanted is None else wanted[g] & inner)
-            row = np.searchsorted(gap, at, "right") - 1
-            found.append((row << BITS) | g[at])
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            at = np.flatnonzero(inner)
+            pairs = own[at] | g[at]
+            if marks is None:
+                found.append(pairs)
+            else:
+                marks[pairs] = True
+    pairs = np.flatnonzero(marks) if marks is not None else np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
+def pack(buckets: np.ndarray) -> bytes:
+    """Ascending buckets as steps of a byte; 255 is a step without a bucket."""
+    gap = np.diff(buckets, prepend=-1)
+    far, near = np.divmod(gap, 255)
+    out = np.full(int((far + 1).sum()), 255, np.uint8)
+    out[np.cumsum(far + 1) - 1] = near
+    return out.tobytes()
+
+
+def unpack(steps: np.ndarray) -> np.ndarray:
+    return (np.cumsum(steps, dtype=np.int32) - 1)[steps < 255]
+
+
 @dataclass
 class Model:
     """Per bucket its weight and its weight times its logit; the intercept."""
@@ -70,43 +89,42 @@ class Model:
 
     def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         n = len(off) - 1
-        rows, buckets = subwords(buf, off, self.weight > 0)
+        rows, buckets = subwords(buf, off)
         total = np.bincount(rows, self.weight[buckets], n)
         logit = self.intercept + np.bincount(rows, self.pull[buckets], n) / np.where(total > 0, total, 1)
         return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
 
 
 def train(texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, sign: np.ndarray, shift: float) -> Model:
-    """texts: each text's grams, as places among the buckets with a weight; weight and sign: of each bucket; shift: added to the intercept."""
+    """texts: each text's packed buckets; weight and sign: of each bucket; shift: added to the intercept.
+
+    With two classes every gradient of an embedding is a multiple of the layer's difference, so only the multiples are summed.
+    """
     rng = np.random.default_rng(SEED)
-    keys = np.flatnonzero(weight)
-    w = weight[keys].astype(np.float64)
+    w = weight.astype(np.float64)
     layer, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     way = layer[:, 1] - layer[:, 0]
-    table = rng.normal(0, 0.05, (len(keys), DIM)) + sign[keys][:, None] * way / (way @ way)
-    seen = np.full(len(keys), 1e-6)
+    table = rng.normal(0, 0.05, (len(w), DIM)) + sign[:, None] * way / (way @ way)
+    seen = np.full(len(w), 1e-6)
     order = np.arange(len(texts))
     for _ in range(EPOCHS):
         rng.shuffle(order)
         for lo in range(0, len(order), BATCH):
             own = order[lo : lo + BATCH]
-            n = np.array([len(texts[i]) for i in own])
-            row, ids = np.repeat(np.arange(len(own)), n), np.concatenate([texts[i] for i in own])
-            share = w[ids] / np.bincount(row, w[ids], len(own))[row]
-            pulled = table[ids] * share[:, None]
-            mean = np.stack([np.bincount(row, pulled[:, k], len(own)) for k in range(DIM)], axis=1)
-            out = mean @ layer + bias
-            out = np.exp(out - out.max(axis=1, keepdims=True))
-            out /= out.sum(axis=1, keepdims=True)
-            out[np.arange(len(own)), label[own]] -= 1
-            grad = (out @ layer.T)[row] * share[:, None]
-            step = np.stack([np.bincount(ids, grad[:, k], len(keys)) for k in range(DIM)], axis=1)
-            seen += (step**2).mean(axis=1)
-            table -= RATE * step / np.sqrt(seen)[:, None]
-            layer -= 0.02 * mean.T @ out
-            bias -= 0.02 * out.sum(axis=0)
-    pull = np.zeros(1 << BITS, np.float32)
-    pull[keys] = w * (table @ (layer[:, 1] - layer[:, 0]))
+            grams = [unpack(texts[i]) for i in own]
+            row, ids = np.repeat(np.arange(len(own)), [len(g) for g in grams]), np.concatenate(grams)
+            total = np.bincount(row, w[ids], len(own))
+            share = w[ids] / total[row]
+            way = layer[:, 1] - layer[:, 0]
+            logit = np.bincount(row, share * (table @ way)[ids], len(own)) + bias[1] - bias[0]
+            miss = 1 / (1 + np.exp(-np.clip(logit, -700, 700))) - label[own]
+            pulled = np.bincount(ids, share * miss[row], len(w))
+            toward = pulled @ table
+            seen += pulled**2 * (way**2).mean()
+            table -= (RATE * pulled / np.sqrt(seen))[:, None] * way
+            layer -= 0.02 * np.stack([-toward, toward], axis=1)
+            bias -= 0.02 * miss.sum() * np.array([-1, 1])
+    pull = (w * (table @ (layer[:, 1] - layer[:, 0]))).astype(np.float32)
     return Model(weight, pull, float(bias[1] - bias[0] + shift))
 
 
@@ -125,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most) for k, most in ((1, MAX_TOXIC), (0, MAX_OTHER))]
     few = cut(chosen[0].union(chosen[1]))
-    texts = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").select("label", "text", F.xxhash64("id").alias("order")))
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 1 << BITS), np.int64)
@@ -140,34 +158,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         # bucket -1 counts the rows
         yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1)), *(pa.array(np.append(n[k][full], rows[k])) for k in (0, 1))], names=["bucket", "n0", "n1"])
 
-    seen = texts.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas().set_index("bucket")
+    seen = read.join(known, "id").select("label", "text").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas().set_index("bucket")
     rows = seen.loc[-1] if -1 in seen.index else None
     if rows is None or not rows["n0"] or not rows["n1"]:
         return None
     df = np.zeros((2, 1 << BITS))
     own = seen.drop(index=-1)
     df[:, own.index.to_numpy()] = own[["n0", "n1"]].to_numpy().T
-    odds = [np.log((df[k] + 0.5) / (rows[f"n{k}"] - df[k] + 0.5)) for k in (0, 1)]
-    z = (odds[1] - odds[0]) / np.sqrt(1 / (df[0] + 0.5) + 1 / (df[1] + 0.5))
-    best = np.argsort(-np.abs(z), kind="stable")[:GRAMS]
-    weight = np.zeros(1 << BITS, np.float32)
-    weight[best] = np.where(np.abs(z[best]) >= Z, np.abs(z[best]), 0)
-    place = np.zeros(1 << BITS, np.uint16)
-    place[weight > 0] = np.arange((weight > 0).sum())
-
-    def informative(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # a row's worth of prior, dealt by class: a gram that no row holds tells nothing
+    n = np.array([rows["n0"], rows["n1"]], float)
+    prior = n / n.sum()
+    odds = [np.log((df[k] + prior[k]) / (n[k] - df[k] + prior[k])) for k in (0, 1)]
+    z = (odds[1] - odds[0]) / np.sqrt(1 / (df[0] + prior[0]) + 1 / (df[1] + prior[1]))
+    z[~df.any(axis=0)] = 0
+    weight = ((np.abs(z) + 0.01) / (1 + np.exp(SOFT * (Z - np.abs(z))))).astype(np.float32)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = utf8(batch.column(1))
             for lo, hi in pieces(off, _PIECE):
-                row, bucket = subwords(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], weight > 0)
-                first, packed = np.searchsorted(row, np.arange(hi - lo + 1)), place[bucket]
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), batch.column(0).slice(lo, hi - lo), pa.array([packed[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["order", "label", "grams"])
+                row, bucket = subwords(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                first = np.searchsorted(row, np.arange(hi - lo + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), batch.column(0).slice(lo, hi - lo), pa.array([pack(bucket[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["order", "label", "grams"])
 
+    got = read.join(F.broadcast(few), "id").select("label", "text", F.xxhash64("id").alias("order")).mapInArrow(packed, "order long, label int, grams binary").toArrow()
+    label, grams = got.column("label").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint8) if len(x.as_buffer()) else np.zeros(0, np.uint8) for x in got.column("grams")]
     # sorted: the result doesn't depend on the order in which tasks end
-    got = texts.mapInArrow(informative, "order long, label int, grams binary").toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
-    grams = [np.frombuffer(x.as_buffer(), np.uint16) if len(x.as_buffer()) else np.zeros(0, np.uint16) for x in got.column("grams")]
-    shift = np.log(share[1] / share[0]) - np.log(rows["n1"] / rows["n0"])
-    return train(grams, got.column("label").to_numpy(), weight, np.sign(z), float(shift))
+    place = sorted(range(len(grams)), key=lambda i, o=got.column("order").to_pylist(): (o[i], label[i], grams[i].tobytes()[:64]))
+    grams, label = [grams[i] for i in place], label[place]
+    n = np.bincount(label, minlength=2)
+    shift = np.log(share[1] / share[0]) - np.log(n[1] / n[0])
+    return train(grams, label, weight, np.sign(z), float(shift))
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -389,6 +389,22 @@ def test_toxicity(spark):
     assert kept.columns == edge.columns and kept.count() == 4  # no model, nothing is rejected
 
 
+def test_toxicity_counts_all_rows(spark, monkeypatch):
+    from glyphmill.llm import toxicity as t
+
+    steps = [np.array(x, np.int64) for x in ([], [0], [254, 255, 256, 1021], [5, (1 << t.BITS) - 1])]
+    assert all((t.unpack(np.frombuffer(t.pack(x), np.uint8)) == x).all() for x in steps)
+    monkeypatch.setattr(t, "MAX_TOXIC", 8)
+    monkeypatch.setattr(t, "MAX_OTHER", 8)
+    rows = [(i, f"some plain text about rivers {'zorbquix' if i % 4 == 0 else 'and hills'}", int(i % 2 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = t.fit(docs.drop("toxic"), docs.drop("text"))
+    assert (model.weight > 0).all()  # no bucket is left out
+    text = np.frombuffer(b"zorbquix", np.uint8)
+    own = t.subwords(text, np.array([0, len(text)]))[1]
+    assert np.median(model.weight[own]) > 1  # z is about 3.9 over all rows, 1.9 over the 16 sampled
+
+
 # --- pipeline
 
 
