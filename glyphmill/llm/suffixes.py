@@ -1,43 +1,73 @@
-"""Removal of byte strings of SPAN bytes that start in more than one place.
-
-Suffixes are sampled, named and merged as a difference-cover construction does, with two changes that its budget forces
-(see README): the sample is chosen by content, and names are 64-bit hashes, not ranks, since only equality is asked for.
-
-* Sample. Every window of SPAN bytes names one position in it, the first minimum of its GRAM-byte gram hashes: a cover of
-  all windows, in which equal windows have their sampled position at the same offset.
-* Names. A sampled position is named by its gram. Where that name is unique no window over it repeats. Where the whole
-  stretch that its windows cover repeats, all of them do.
-* Recursion. What neither settles is cut into cells of CELL window starts, at fixed offsets from the sampled position, and
-  named by the bytes that all windows of a cell share and by those that they cover together; then, in what is left, window
-  by window.
-* Merge. Equal names are found by counting with map-side combining and equi-joins, so a passage shared by any part of the
-  corpus is a count, not a group of rows in one task.
+"""Removal of byte strings of SPAN bytes that start in more than one place, by difference-cover suffix sorting.
+
+* Sample. A text's suffixes at offsets p with p modulo V in D, a perfect difference set: for any two window starts i and j of
+  any two texts there is one shift below V that takes both to a sampled suffix. The sample is V / |D|, or 17 times smaller
+  than all suffixes, at SPAN 400 (V = 307, |D| = 18).
+* Sort. A sampled suffix's tuple is what it has in common with all windows of SPAN bytes through it: its first SPAN - V + 1
+  bytes. Tuples are sorted over the cluster, and each is compared with its neighbours: one that differs from both is settled,
+  and no window through it repeats by way of it.
+* Recursion on names. Suffixes that share a tuple get longer names, over all bytes that their windows cover; they're sorted
+  and compared in turn. If a neighbour has the same, all windows through it repeat.
+* Merge. What's left is merged window by window: a window start that isn't sampled is compared by its bytes up to the sampled
+  suffix and by that suffix's beginning. Starts go by CELL together first, then one by one.
+
+Only equality is asked for, so tuples and names are 64-bit hashes and the order in which suffixes are sorted is that of the
+hashes: equal prefixes still stand next to each other, and no prefix is shuffled as text. Rows are dealt by ranges of (name,
+text, place), so a string that a third of all texts hold fills several partitions instead of one; names that go on from one
+partition to the next are the only thing that the driver sees, at most two a partition.
 
 Texts are read again for each round; a Bloom filter of fixed size keeps those that a round doesn't need out of its shuffle.
+Memory follows the longest text: 16 bytes for each of its bytes.
 
 Null and empty texts have no bytes. Matches never cross texts. Repeated rows count as occurrences of each other, so a text
-of SPAN bytes or more that's there twice is removed twice. Ids may repeat or be null.
+of SPAN bytes or more that's there twice is removed twice. Ids may repeat or be null. Columns that are passed through may
+have any name but those of the result, for which a ValueError is raised.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import KeyFilter, cut, release, small_batches
-from .textbytes import BASE, BASE_INV, BYTE_CODE, U64, mix, pieces, powers, slide, utf8
+from .textbytes import BASE, BASE_INV, BYTE_CODE, U64, byte_class, mix, pieces, powers, spans, utf8
 
-SPAN, GRAM, CELL = 400, 96, 16
+SPAN, CELL = 400, 16
 _PIECE = 512 << 10
-_POS_BITS = 31
+_PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23)
+_SPACE = byte_class((0x20, 0x20), (0x09, 0x0D))
 _pow, _inv = powers(BASE, 1 << 10), powers(BASE_INV, 1 << 10)
 
 
+@cache
+def difference_cover(span: int) -> tuple[int, tuple[int, ...]]:
+    """(V, D): each difference modulo V is that of two members of D, V at most 78 % of span.
+
+    Singer's sets: V = q * q + q + 1 for a prime q, D the powers of a generator of the field of q**3 elements that lie in a
+    plane. Generators are tried until one has the property.
+    """
+    q = max((x for x in _PRIMES if 100 * (x * x + x + 1) <= 78 * span), default=0)
+    if not q:
+        return 1, (0,)
+    v = q * q + q + 1
+    for a, b, c in np.ndindex(q, q, q):
+        x, found = (1, 0, 0), []
+        for i in range(v):
+            if x[2] == 0:
+                found.append(i)
+            x = (c * x[2] % q, (x[0] + b * x[2]) % q, (x[1] + a * x[2]) % q)
+        if len(found) == q + 1 and len({(m - n) % v for m in found for n in found}) == v:
+            return v, tuple(found)
+    raise AssertionError(f"no difference set modulo {v}")
+
+
 class Prefix:
     """Hashes of any stretch of a buffer, from running sums."""
 
@@ -63,47 +93,32 @@ def unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x >> 20, (x >> 10) & 1023, x & 1023
 
 
-def samples(buf: np.ndarray, off: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, packed positions, gram names, names of all that the windows cover)."""
-    none = np.zeros(0, np.int64)
-    if len(buf) < span:
-        return none, none, none, none
-    names = Prefix(buf)
-    at = np.arange(len(buf) - gram + 1)
-    name = mix((names.run[gram:] - names.run[: len(at)]) * _inv[: len(at)])
-    # the position in the low bits: the minimum carries it along, and of equal names the first wins
-    low = slide((name >> U64(_POS_BITS) << U64(_POS_BITS)) | at.astype(U64), span - gram + 1, np.minimum)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    s = np.arange(len(buf) - span + 1)
-    s = s[s + span <= off[1:][row[s]]]
-    if not len(s):
-        return none, none, none, none
-    own = (low[s] & U64((1 << _POS_BITS) - 1)).astype(np.int64)
-    fresh = np.ones(len(s), bool)
-    fresh[1:] = (own[1:] != own[:-1]) | (s[1:] != s[:-1] + 1)
-    first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(s)) - 1
-    p, lo, hi = own[first], s[first], s[last]
-    whole = mix(names.of(lo, hi + span) + (p - lo).astype(U64) * U64(0x2545F4914F6CDD1D) + (hi - lo).astype(U64))
-    return row[lo], pack(p - off[row[lo]], p - lo, p - hi), name[p].view(np.int64), whole.view(np.int64)
-
-
-def cells(buf: np.ndarray, off: np.ndarray, row: np.ndarray, packed: np.ndarray, span: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(index into packed, packed part, name of the bytes all its windows share, of those they cover; 0 where that leaves the text)."""
+def samples(off: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, packed sampled positions) of texts at off, with the range of window starts that reach them."""
+    v, cover = difference_cover(span)
+    n = np.diff(off)
+    rounds = np.where(n >= span, -(-n // v), 0)
+    row = np.repeat(np.arange(len(n)), rounds * len(cover))
+    turn = np.arange(len(row)) - np.repeat((np.cumsum(rounds) - rounds) * len(cover), rounds * len(cover))
+    at = turn // len(cover) * v + np.array(cover, np.int64)[turn % len(cover)]
+    far, near = np.minimum(at, v - 1), np.maximum(at + span - n[row], 0)
+    ok = near <= far
+    return row[ok], pack(at[ok], far[ok], near[ok])
+
+
+def cells(names: Prefix, off: np.ndarray, row: np.ndarray, packed: np.ndarray, span: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Window starts by cells of `width`: (index into packed, packed part, name of the bytes all windows of a cell share, of those the part's windows cover)."""
     at, far, near = unpack(packed)
     many = far // width - near // width + 1
     i = np.repeat(np.arange(len(packed)), many)
     cell = near[i] // width + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-    a, b = off[row[i]], off[row[i] + 1]
-    p = at[i] + a
-    names = Prefix(buf)
+    p = at[i] + off[row[i]]
     salt = (cell.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15) + U64(width)
     last = p - cell * width  # the cell's last window start; its first is width - 1 before
     shared = mix(names.of(last, last - width + 1 + span) + salt)
-    fits = (last - width + 1 >= a) & (last + span <= b)
-    covered = mix(names.of(np.where(fits, last - width + 1, a), np.where(fits, last + span, a)) + ~salt)
-    part = pack(at[i], np.minimum(far[i], cell * width + width - 1), np.maximum(near[i], cell * width))
-    return i, part, shared.view(np.int64), np.where(fits, covered, U64(0)).view(np.int64)
+    lo, hi = np.minimum(far[i], cell * width + width - 1), np.maximum(near[i], cell * width)
+    covered = mix(names.of(p - lo, p - hi + span) + ~salt + (lo * 1024 + hi).astype(U64) * U64(0x2545F4914F6CDD1D))
+    return i, pack(at[i], lo, hi), shared.view(np.int64), covered.view(np.int64)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -111,45 +126,65 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"), F.hash(F.col(text_col), F.lit(1)).alias("k2"), F.col(text_col).alias("text"))
 
 
-def _repeated(df: DataFrame, name: str) -> DataFrame:
-    # as an expression, not the grouped column itself: the join that follows then shuffles both its sides for itself, and
-    # adaptive execution can split a side where one name has a great share of the rows
-    return df.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(F.col(name).bitwiseXOR(F.lit(0).cast("long")).alias(name))
+_PART = "k long, k2 int, at long, shared long, covered long"
 
 
-def _settle(parts: DataFrame, shared: str, covered: str) -> tuple[DataFrame, DataFrame]:
-    """Parts that repeat as they are covered, all of whose windows do; and what is still open.
+def compare_neighbours(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settled, open) of parts sorted by their names: those that share with a neighbour all that they cover; those that share less.
 
-    The open parts may repeat windows of settled ones, so one of each settled kind stays with them if its shared name is theirs too.
+    One of each settled kind stays open too where others share less with it: these may repeat some of its windows.
     """
-    kinds = _repeated(parts.where(F.col(covered).isNotNull()), covered)
-    settled, rest = parts.join(kinds, covered, "left_semi"), parts.join(kinds, covered, "left_anti")
-    kept = settled.join(rest.select(shared).distinct(), shared, "left_semi").groupBy(covered).agg(F.min(F.struct("k", "k2", "at")).alias("one")).select("one.*")
-    return settled.select("k", "k2", "at"), rest.select("k", "k2", "at").union(kept)
-
+    order = ["shared", "covered", "k", "k2", "at"]
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, cell: int = CELL) -> DataFrame:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pylist([], pa.schema([("k", pa.int64()), ("k2", pa.int32()), *((c, pa.int64()) for c in ("at", "shared", "covered"))]))])
+        if not held.num_rows:
+            return
+        s, c = (held.column(x).to_numpy() for x in ("shared", "covered"))
+        as_s = s[1:] == s[:-1]
+        as_c = as_s & (c[1:] == c[:-1])
+        same = [np.append(x, False) | np.append(False, x) for x in (as_s, as_c)]
+        own_s, own_c = (np.cumsum(~np.append(False, x)) - 1 for x in (as_s, as_c))
+        # where a name goes on in another partition, its neighbours there aren't known yet
+        others = (np.bincount(own_s)[own_s] > np.bincount(own_c)[own_c]) | (own_s == 0) | (own_s == own_s[-1])
+        witness = np.append(True, ~as_c) & others
+        keep = same[0].copy()
+        keep[[0, -1]] = True
+        part = pa.array(np.full(int(keep.sum()), TaskContext.get().partitionId(), np.int32))
+        mask = pa.array(keep)
+        out = held.filter(mask).combine_chunks()
+        out = pa.Table.from_arrays([*out.columns, *(pa.array(x[keep]) for x in (same[0], same[1], witness)), part], names=[*out.schema.names, "same_shared", "same_covered", "witness", "part"])
+        yield from out.to_batches(max_chunksize=100_000)
+
+    ranged = parts.select("k", "k2", "at", "shared", "covered").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = cut(ranged.mapInArrow(kernel, f"{_PART}, same_shared boolean, same_covered boolean, witness boolean, part int"))
+    ends = sorted(tuple(r) for r in placed.groupBy("part").agg(F.min(F.struct("shared", "covered")), F.max(F.struct("shared", "covered"))).collect())
+    across = [(a[2], b[1]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    on_s, on_c = [x[0] for x, y in across if x[0] == y[0]], [x[1] for x, y in across if x == y]
+    found = placed.withColumn("same_shared", F.col("same_shared") | F.col("shared").isin(on_s)).withColumn("same_covered", F.col("same_covered") | F.col("covered").isin(on_c))
+    return found.where("same_covered").select("k", "k2", "at"), found.where("same_shared and (not same_covered or witness)").select("k", "k2", "at")
+
+
+def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, cell: int = CELL) -> DataFrame:
     """(k, k2, at): packed ranges of window starts whose window also starts elsewhere, by the key of the text."""
-    if not 0 < gram <= span < 1024:
-        raise ValueError("gram must be between 1 and span, span below 1024")
+    if not 0 < span < 1024:
+        raise ValueError("span must be between 1 and 1023")
     spark = docs.sparkSession
     small_batches(spark)
     keyed = _keyed(docs, id_col, text_col)
+    v, _ = difference_cover(span)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = utf8(batch.column(2))
             for lo, hi in pieces(off, _PIECE):
-                row, at, name, whole = samples(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], span, gram)
+                own = off[lo : hi + 1] - off[lo]
+                row, packed = samples(own, span)
+                at = own[row] + unpack(packed)[0]
+                name = mix(Prefix(buf[off[lo] : off[hi]]).of(at, at + span - v + 1)).view(np.int64)
                 take = pa.array(row + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at), pa.array(name), pa.array(whole)], names=["k", "k2", "at", "name", "whole"])
-
-    sampled = keyed.mapInArrow(sample, "k long, k2 int, at long, name long, whole long")
-    # the sample is computed twice, for the counts and for the join: that's cheaper than keeping all of it on disk
-    open_ = cut(sampled.join(_repeated(sampled.select("name"), "name"), "name", "left_semi").select("k", "k2", "at", "name", "whole"))
-    release(spark)
-    settled, rest = _settle(open_, "name", "whole")
-    done = [settled]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(packed), pa.array(name), pa.array(np.zeros(len(name), np.int64))], names=["k", "k2", "at", "shared", "covered"])
 
     def named(width: int):
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,27 +194,46 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 head, flat = ats.offsets.to_numpy().astype(np.int64), ats.values.to_numpy()
                 for lo, hi in pieces(off, _PIECE):
                     row = np.repeat(np.arange(hi - lo), np.diff(head[lo : hi + 1]))
-                    i, part, shared, covered = cells(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], row, flat[head[lo] : head[hi]], span, width)
+                    own = off[lo : hi + 1] - off[lo]
+                    i, part, shared, covered = cells(Prefix(buf[off[lo] : off[hi]]), own, row, flat[head[lo] : head[hi]], span, width)
                     take = pa.array(row[i] + lo)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(part), pa.array(shared), pa.array(covered, mask=covered == 0)], names=["k", "k2", "at", "shared", "covered"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(part), pa.array(shared), pa.array(covered)], names=["k", "k2", "at", "shared", "covered"])
 
         return kernel
 
-    for width in (cell, 1):
+    # all rows are of one kind here: "covered" is the same, and what has a like neighbour comes back as settled
+    rest, _ = compare_neighbours(keyed.mapInArrow(sample, _PART))
+    done = []
+    for width in (v, cell, 1):
         need = cut(rest.groupBy("k", "k2").agg(F.collect_set("at").alias("ats")))
         release(spark)
         texts = KeyFilter(need, "k").may_hold(keyed, "k")
-        parts = cut(texts.join(need.hint("shuffle_hash"), ["k", "k2"]).select("k", "k2", "text", "ats").mapInArrow(named(width), "k long, k2 int, at long, shared long, covered long"))
-        open_ = parts.join(_repeated(parts, "shared"), "shared", "left_semi")
-        if width == 1:
-            done.append(open_.select("k", "k2", "at"))
-            break
-        settled, rest = _settle(cut(open_), "shared", "covered")
+        parts = cut(texts.join(need.hint("shuffle_hash"), ["k", "k2"]).select("k", "k2", "text", "ats").mapInArrow(named(width), _PART))
+        settled, rest = compare_neighbours(parts)
         done.append(settled)
+    # of single windows, what all share is what they cover
     return done[0].union(done[1]).union(done[2])
 
 
-def _trim(fields: list, text_at: int, span: int, with_text: bool, beside: KeyFilter | None = None):
+def covered_bytes(text: np.ndarray, packed: np.ndarray, span: int, min_words: int = 0) -> tuple[np.ndarray, int]:
+    """(bytes that windows at the packed starts cover, their runs), without runs of fewer than min_words whole words."""
+    p, far, near = unpack(packed)
+    change = np.zeros(len(text) + 1, np.int32)
+    np.add.at(change, p - far, 1)
+    np.add.at(change, p - near + span, -1)
+    gone = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
+    first, last = np.flatnonzero(gone[1:-1] & ~gone[:-2]), np.flatnonzero(gone[1:-1] & ~gone[2:]) + 1
+    gone = gone[1:-1]
+    if min_words:
+        start, end, _ = spans(~_SPACE[text], np.array([0, len(text)]))
+        few = np.searchsorted(end, last, "right") - np.searchsorted(start, first) < min_words
+        for a, b in zip(first[few].tolist(), last[few].tolist(), strict=True):
+            gone[a:b] = False
+        return gone, int((~few).sum())
+    return gone, len(first)
+
+
+def _trim(fields: list, text_at: int, span: int, with_text: bool, min_words: int, beside: KeyFilter | None = None):
     """Rows with columns fields, then k, k2, ats (packed ranges, or null). beside: leave out the rows whose k it may hold."""
     shared, test = (beside.shared, beside.test) if beside else (None, None)
 
@@ -194,12 +248,7 @@ def _trim(fields: list, text_at: int, span: int, with_text: bool, beside: KeyFil
                 text = buf[off[r] : off[r + 1]]
                 size, runs = len(text), 0
                 if ats[r].is_valid:
-                    p, far, near = unpack(np.asarray(ats[r].values))
-                    change = np.zeros(len(text) + 1, np.int32)
-                    np.add.at(change, p - far, 1)
-                    np.add.at(change, p - near + span, -1)
-                    gone = np.cumsum(change[:-1]) > 0
-                    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                    gone, runs = covered_bytes(text, ats[r].values.to_numpy(), span, min_words)
                     text = text[~gone]
                 kept = text.tobytes()
                 for o, v in zip(out, (size, size - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None), strict=True):
@@ -211,13 +260,17 @@ def _trim(fields: list, text_at: int, span: int, with_text: bool, beside: KeyFil
     return kernel
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False, span: int = SPAN, gram: int = GRAM, cell: int = CELL) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False, span: int = SPAN, cell: int = CELL, min_words: int = 0) -> DataFrame:
     """Per row: id_col and `keep`, n_bytes, n_removed, n_spans, kept_sha256. with_text: also text_col, with the bytes removed.
 
+    min_words: runs of fewer whole words (between blanks) stay.
+
     A character that loses some of its bytes is left out of the text whole; kept_sha256 is over the bytes as they are.
     """
     cols = list(dict.fromkeys([id_col, *(keep or []), text_col]))
-    ranges = cut(repeated_starts(docs, id_col, text_col, span, gram, cell).groupBy("k", "k2").agg(F.collect_set("at").alias("ats")))
+    if clash := {"n_bytes", "n_removed", "n_spans", "kept_sha256", "__k", "__k2", "__ats"} & set(cols):
+        raise ValueError(f"columns {sorted(clash)} of the input have names of the result")
+    ranges = cut(repeated_starts(docs, id_col, text_col, span, cell).groupBy("k", "k2").agg(F.collect_set("at").alias("ats")))
     release(docs.sparkSession)
     held = docs.select(*cols, F.xxhash64(F.col(id_col), F.col(text_col)).alias("__k"), F.hash(F.col(text_col), F.lit(1)).alias("__k2"))
     found = KeyFilter(ranges, "k")
@@ -225,7 +278,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     clean = held.withColumn("__ats", F.lit(None).cast("array<long>"))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
     order = [*(F.col(f"`{c}`") for c in cols), "__k", "__k2", "__ats"]
-    out = [df.select(*order).mapInArrow(_trim(cols, cols.index(text_col), span, with_text, beside), schema) for df, beside in ((hit, None), (clean, found))]
+    out = [df.select(*order).mapInArrow(_trim(cols, cols.index(text_col), span, with_text, min_words, beside), schema) for df, beside in ((hit, None), (clean, found))]
     both = out[0].union(out[1])
     return both if with_text else both.drop(*([text_col] if text_col not in [id_col, *(keep or [])] else []))
 

@@ -97,16 +97,16 @@ def brute_repeats(rows, span):
     return out
 
 
-@pytest.mark.parametrize(("gram", "cell"), [(12, 8), (40, 16)])
-def test_repeats(spark, gram, cell):
+@pytest.mark.parametrize(("span", "cell"), [(40, 8), (40, 16), (7, 3)])
+def test_repeats(spark, span, cell):
     from glyphmill.llm.suffixes import remove_repeats
 
     rng = random.Random(3)
     base = ["".join(rng.choice("abé ") for _ in range(300)) for _ in range(5)]
     rows = [(i, "".join(rng.choice([base[rng.randrange(5)][rng.randrange(200) :][: rng.randrange(1, 250)], "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(60)))]) for _ in range(rng.randrange(5)))) for i in range(100)]
     rows += [(1000, None), (1001, ""), (1002, "a" * 500), (1003, "ab" * 200), (7, rows[7][1]), (None, rows[9][1]), (1005, "q" * 39), (1006, "q" * 40)]
-    got = remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3), span=40, gram=gram, cell=cell)
-    assert Counter(tuple(r) for r in got.collect()) == brute_repeats(rows, 40)
+    got = remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3), span=span, cell=cell)
+    assert Counter(tuple(r) for r in got.collect()) == brute_repeats(rows, span)
 
 
 def test_repeats_keep_columns(spark):
