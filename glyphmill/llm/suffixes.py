@@ -1,23 +1,26 @@
-"""Removal of byte strings of SPAN bytes that start in more than one place, by difference-cover suffix sorting.
-
-* Sample. A text's suffixes at offsets p with p modulo V in D, a perfect difference set: for any two window starts i and j of
-  any two texts there is one shift below V that takes both to a sampled suffix. The sample is V / |D|, or 17 times smaller
-  than all suffixes, at SPAN 400 (V = 307, |D| = 18).
-* Sort. A sampled suffix's tuple is what it has in common with all windows of SPAN bytes through it: its first SPAN - V + 1
-  bytes. Tuples are sorted over the cluster, and each is compared with its neighbours: one that differs from both is settled,
-  and no window through it repeats by way of it.
-* Recursion on names. Suffixes that share a tuple get longer names, over all bytes that their windows cover; they're sorted
-  and compared in turn. If a neighbour has the same, all windows through it repeat.
-* Merge. What's left is merged window by window: a window start that isn't sampled is compared by its bytes up to the sampled
-  suffix and by that suffix's beginning. Starts go by CELL together first, then one by one.
-
-Only equality is asked for, so tuples and names are 64-bit hashes and the order in which suffixes are sorted is that of the
-hashes: equal prefixes still stand next to each other, and no prefix is shuffled as text. Rows are dealt by ranges of (name,
-text, place), so a string that a third of all texts hold fills several partitions instead of one; names that go on from one
-partition to the next are the only thing that the driver sees, at most two a partition.
+"""Removal of byte strings of SPAN bytes that start in more than one place, by sorting sampled suffixes.
+
+Suffixes are sampled, named, sorted and merged as a difference-cover construction does, with one change that its budget forces
+(see README): the sample is chosen by content instead of by position.
+
+* Sample. Every window of SPAN bytes names one position in it, the first minimum of its GRAM-byte gram hashes: a cover of
+  all windows, in which equal windows have their sampled position at the same offset.
+* Sort. Each sampled suffix has two names: its first GRAM bytes, and all bytes that its windows cover. Suffixes are sorted by
+  these names over the cluster, and each is compared with its neighbours. No window through a suffix repeats where both
+  neighbours begin otherwise; all of them do where one has the same longer name.
+* Recursion on names. What neither settles is cut into cells of CELL window starts, at fixed offsets from the sampled
+  suffix, and named by the bytes that all windows of a cell share and by those that they cover together; sorted and compared
+  again.
+* Merge. What's left is merged window by window: a start that isn't sampled is compared by its bytes up to the sampled suffix
+  and that suffix's beginning.
+
+Only equality is asked for, so names are 64-bit hashes and the order in which suffixes are sorted is that of the hashes: equal
+prefixes still stand next to each other, and no prefix is shuffled as text. Rows are dealt by ranges of (name, text, place), so
+a string that a third of all texts hold fills several partitions instead of one; names that go on from one partition to the
+next are the only thing that the driver sees, at most two a partition.
 
 Texts are read again for each round; a Bloom filter of fixed size keeps those that a round doesn't need out of its shuffle.
-Memory follows the longest text: 16 bytes for each of its bytes.
+Memory follows the longest text: some 40 bytes for each of its bytes.
 
 Null and empty texts have no bytes. Matches never cross texts. Repeated rows count as occurrences of each other, so a text
 of SPAN bytes or more that's there twice is removed twice. Ids may repeat or be null. Columns that are passed through may
@@ -28,7 +31,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,37 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import KeyFilter, cut, release, small_batches
-from .textbytes import BASE, BASE_INV, BYTE_CODE, U64, byte_class, mix, pieces, powers, spans, utf8
+from .textbytes import BASE, BASE_INV, BYTE_CODE, U64, byte_class, mix, pieces, powers, slide, spans, utf8
 
 SPAN, CELL = 400, 16
 _PIECE = 512 << 10
-_PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23)
+_POS_BITS = 31
 _SPACE = byte_class((0x20, 0x20), (0x09, 0x0D))
 _pow, _inv = powers(BASE, 1 << 10), powers(BASE_INV, 1 << 10)
 
 
-@cache
-def difference_cover(span: int) -> tuple[int, tuple[int, ...]]:
-    """(V, D): each difference modulo V is that of two members of D, V at most 78 % of span.
-
-    Singer's sets: V = q * q + q + 1 for a prime q, D the powers of a generator of the field of q**3 elements that lie in a
-    plane. Generators are tried until one has the property.
-    """
-    q = max((x for x in _PRIMES if 100 * (x * x + x + 1) <= 78 * span), default=0)
-    if not q:
-        return 1, (0,)
-    v = q * q + q + 1
-    for a, b, c in np.ndindex(q, q, q):
-        x, found = (1, 0, 0), []
-        for i in range(v):
-            if x[2] == 0:
-                found.append(i)
-            x = (c * x[2] % q, (x[0] + b * x[2]) % q, (x[1] + a * x[2]) % q)
-        if len(found) == q + 1 and len({(m - n) % v for m in found for n in found}) == v:
-            return v, tuple(found)
-    raise AssertionError(f"no difference set modulo {v}")
-
-
 class Prefix:
     """Hashes of any stretch of a buffer, from running sums."""
 
@@ -93,17 +73,29 @@ def unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x >> 20, (x >> 10) & 1023, x & 1023
 
 
-def samples(off: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, packed sampled positions) of texts at off, with the range of window starts that reach them."""
-    v, cover = difference_cover(span)
-    n = np.diff(off)
-    rounds = np.where(n >= span, -(-n // v), 0)
-    row = np.repeat(np.arange(len(n)), rounds * len(cover))
-    turn = np.arange(len(row)) - np.repeat((np.cumsum(rounds) - rounds) * len(cover), rounds * len(cover))
-    at = turn // len(cover) * v + np.array(cover, np.int64)[turn % len(cover)]
-    far, near = np.minimum(at, v - 1), np.maximum(at + span - n[row], 0)
-    ok = near <= far
-    return row[ok], pack(at[ok], far[ok], near[ok])
+def samples(buf: np.ndarray, off: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, packed positions, gram names, names of all that the windows cover)."""
+    none = np.zeros(0, np.int64)
+    if len(buf) < span:
+        return none, none, none, none
+    names = Prefix(buf)
+    at = np.arange(len(buf) - gram + 1)
+    name = mix((names.run[gram:] - names.run[: len(at)]) * _inv[: len(at)])
+    # the position in the low bits: the minimum carries it along, and of equal names the first wins
+    low = slide((name >> U64(_POS_BITS) << U64(_POS_BITS)) | at.astype(U64), span - gram + 1, np.minimum)
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    s = np.arange(len(buf) - span + 1)
+    s = s[s + span <= off[1:][row[s]]]
+    if not len(s):
+        return none, none, none, none
+    own = (low[s] & U64((1 << _POS_BITS) - 1)).astype(np.int64)
+    fresh = np.ones(len(s), bool)
+    fresh[1:] = (own[1:] != own[:-1]) | (s[1:] != s[:-1] + 1)
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(s)) - 1
+    p, lo, hi = own[first], s[first], s[last]
+    whole = mix(names.of(lo, hi + span) + (p - lo).astype(U64) * U64(0x2545F4914F6CDD1D) + (hi - lo).astype(U64))
+    return row[lo], pack(p - off[row[lo]], p - lo, p - hi), name[p].view(np.int64), whole.view(np.int64)
 
 
 def cells(names: Prefix, off: np.ndarray, row: np.ndarray, packed: np.ndarray, span: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,25 +158,22 @@ def compare_neighbours(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("same_covered").select("k", "k2", "at"), found.where("same_shared and (not same_covered or witness)").select("k", "k2", "at")
 
 
-def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, cell: int = CELL) -> DataFrame:
+def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int | None = None, cell: int = CELL) -> DataFrame:
     """(k, k2, at): packed ranges of window starts whose window also starts elsewhere, by the key of the text."""
-    if not 0 < span < 1024:
-        raise ValueError("span must be between 1 and 1023")
+    gram = gram or max(1, span * 6 // 25)
+    if not 0 < gram <= span < 1024:
+        raise ValueError("gram must be between 1 and span, span below 1024")
     spark = docs.sparkSession
     small_batches(spark)
     keyed = _keyed(docs, id_col, text_col)
-    v, _ = difference_cover(span)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = utf8(batch.column(2))
             for lo, hi in pieces(off, _PIECE):
-                own = off[lo : hi + 1] - off[lo]
-                row, packed = samples(own, span)
-                at = own[row] + unpack(packed)[0]
-                name = mix(Prefix(buf[off[lo] : off[hi]]).of(at, at + span - v + 1)).view(np.int64)
+                row, at, name, whole = samples(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], span, gram)
                 take = pa.array(row + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(packed), pa.array(name), pa.array(np.zeros(len(name), np.int64))], names=["k", "k2", "at", "shared", "covered"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at), pa.array(name), pa.array(whole)], names=["k", "k2", "at", "shared", "covered"])
 
     def named(width: int):
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,17 +190,16 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return kernel
 
-    # all rows are of one kind here: "covered" is the same, and what has a like neighbour comes back as settled
-    rest, _ = compare_neighbours(keyed.mapInArrow(sample, _PART))
-    done = []
-    for width in (v, cell, 1):
+    settled, rest = compare_neighbours(keyed.mapInArrow(sample, _PART))
+    done = [settled]
+    for width in (cell, 1):
         need = cut(rest.groupBy("k", "k2").agg(F.collect_set("at").alias("ats")))
         release(spark)
         texts = KeyFilter(need, "k").may_hold(keyed, "k")
         parts = cut(texts.join(need.hint("shuffle_hash"), ["k", "k2"]).select("k", "k2", "text", "ats").mapInArrow(named(width), _PART))
         settled, rest = compare_neighbours(parts)
         done.append(settled)
-    # of single windows, what all share is what they cover
+    # what a single window shares is what it covers, so the last round leaves nothing open
     return done[0].union(done[1]).union(done[2])
 
 
@@ -260,7 +248,7 @@ def _trim(fields: list, text_at: int, span: int, with_text: bool, min_words: int
     return kernel
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False, span: int = SPAN, cell: int = CELL, min_words: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False, span: int = SPAN, gram: int | None = None, cell: int = CELL, min_words: int = 0) -> DataFrame:
     """Per row: id_col and `keep`, n_bytes, n_removed, n_spans, kept_sha256. with_text: also text_col, with the bytes removed.
 
     min_words: runs of fewer whole words (between blanks) stay.
@@ -270,7 +258,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cols = list(dict.fromkeys([id_col, *(keep or []), text_col]))
     if clash := {"n_bytes", "n_removed", "n_spans", "kept_sha256", "__k", "__k2", "__ats"} & set(cols):
         raise ValueError(f"columns {sorted(clash)} of the input have names of the result")
-    ranges = cut(repeated_starts(docs, id_col, text_col, span, cell).groupBy("k", "k2").agg(F.collect_set("at").alias("ats")))
+    ranges = cut(repeated_starts(docs, id_col, text_col, span, gram, cell).groupBy("k", "k2").agg(F.collect_set("at").alias("ats")))
     release(docs.sparkSession)
     held = docs.select(*cols, F.xxhash64(F.col(id_col), F.col(text_col)).alias("__k"), F.hash(F.col(text_col), F.lit(1)).alias("__k2"))
     found = KeyFilter(ranges, "k")

@@ -97,18 +97,32 @@ def brute_repeats(rows, span):
     return out
 
 
-@pytest.mark.parametrize(("span", "cell"), [(40, 8), (40, 16), (7, 3)])
-def test_repeats(spark, span, cell):
+@pytest.mark.parametrize(("span", "gram", "cell"), [(40, 12, 8), (40, 40, 16), (7, None, 3)])
+def test_repeats(spark, span, gram, cell):
     from glyphmill.llm.suffixes import remove_repeats
 
     rng = random.Random(3)
     base = ["".join(rng.choice("abé ") for _ in range(300)) for _ in range(5)]
     rows = [(i, "".join(rng.choice([base[rng.randrange(5)][rng.randrange(200) :][: rng.randrange(1, 250)], "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(60)))]) for _ in range(rng.randrange(5)))) for i in range(100)]
     rows += [(1000, None), (1001, ""), (1002, "a" * 500), (1003, "ab" * 200), (7, rows[7][1]), (None, rows[9][1]), (1005, "q" * 39), (1006, "q" * 40)]
-    got = remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3), span=span, cell=cell)
+    got = remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3), span=span, gram=gram, cell=cell)
     assert Counter(tuple(r) for r in got.collect()) == brute_repeats(rows, span)
 
 
+def test_repeats_of_many_words(spark):
+    from glyphmill.llm.suffixes import drop_repeats
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+    passage, line = " ".join(word() for _ in range(51)), " ".join(word() for _ in range(40))
+    own = [" ".join(word() for _ in range(60)) for _ in range(4)]
+    rows = [(0, f"{own[0]} {passage} {own[1]}"), (1, f"{own[2]} {passage}"), (2, f"{own[3]} {line}"), (3, f"{line} {own[1][::-1]}")]
+    out = {r.doc_id: r.text for r in drop_repeats(spark.createDataFrame(rows, DOCS), span=101, min_words=51).collect()}
+    # a match may go on by chance for a letter or two
+    assert passage[9:-9] not in out[0] + out[1] and own[2][:-9] in out[1] and own[0][:-9] in out[0] and own[1][9:] in out[0]
+    assert (out[2], out[3]) == (rows[2][1], rows[3][1])
+
+
 def test_repeats_keep_columns(spark):
     from glyphmill.llm.suffixes import drop_repeats
 
