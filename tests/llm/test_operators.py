@@ -97,6 +97,27 @@ def brute_repeats(rows, span):
     return out
 
 
+def brute_kept(rows, span, min_words):
+    """Texts without runs of repeated windows that hold min_words whole words; characters that lose bytes go."""
+    seen = Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        seen.update(b[i : i + span] for i in range(len(b) - span + 1))
+    out = {}
+    for d, t in rows:
+        b, gone = (t or "").encode(), set()
+        for s in range(len(b) - span + 1):
+            if seen[b[s : s + span]] > 1:
+                gone |= set(range(s, s + span))
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        for _, g in itertools.groupby(enumerate(sorted(gone)), key=lambda x: x[1] - x[0]):
+            run = [x for _, x in g]
+            if sum(run[0] <= x and y <= run[-1] + 1 for x, y in words) < min_words:
+                gone -= set(run)
+        out[d] = bytes(x for i, x in enumerate(b) if i not in gone).decode("utf-8", "ignore")
+    return out
+
+
 @pytest.mark.parametrize(("span", "gram", "cell"), [(40, 12, 8), (40, 40, 16), (7, None, 3)])
 def test_repeats(spark, span, gram, cell):
     from glyphmill.llm.suffixes import remove_repeats
@@ -329,18 +350,8 @@ def test_embeddings(spark, tile):
 # --- op9
 
 
-@pytest.mark.parametrize("shard", [4096, 5])
-def test_simhash(spark, shard):
-    from glyphmill.llm.simhash import keep_representatives, simhash_dedup
-
-    rng = random.Random(9)
-    base = ["".join(rng.choice("abcdefg ") for _ in range(900)) for _ in range(8)]
-    docs = edge_docs()
-    for i in range(150):
-        t = list(rng.choice(base))
-        for _ in range(rng.randrange(6)):
-            t[rng.randrange(len(t))] = rng.choice("xyz ")
-        docs.append((1000 + i, "".join(t)))
+def brute_simhash(docs):
+    """id -> (fingerprint, smallest id reachable)."""
     prints = {}
     for d, t in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
@@ -357,10 +368,26 @@ def test_simhash(spark, shard):
         if (prints[a] ^ prints[b]).bit_count() <= 4:
             x, y = sorted((root(a), root(b)))
             parent[y] = x
+    return {d: (prints[d], root(d)) for d in prints}
+
+
+@pytest.mark.parametrize("shard", [4096, 5])
+def test_simhash(spark, shard):
+    from glyphmill.llm.simhash import keep_representatives, simhash_dedup
+
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdefg ") for _ in range(900)) for _ in range(8)]
+    docs = edge_docs()
+    for i in range(150):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(6)):
+            t[rng.randrange(len(t))] = rng.choice("xyz ")
+        docs.append((1000 + i, "".join(t)))
+    want = brute_simhash(docs)
     df = spark.createDataFrame(docs, DOCS).repartition(3)
     got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash_dedup(df, shard=shard).collect())
-    assert got == Counter((d, f"{prints[d]:016x}", root(d)) for d, _ in docs)
-    assert {r.doc_id for r in keep_representatives(df).collect()} == {d for d in prints if root(d) == d}
+    assert got == Counter((d, f"{want[d][0]:016x}", want[d][1]) for d, _ in docs)
+    assert {r.doc_id for r in keep_representatives(df).collect()} == {d for d in want if want[d][1] == d}
     assert simhash_dedup(df.limit(0)).count() == 0
 
 
@@ -434,9 +461,11 @@ def test_pipeline_stages(spark):
         ids = [r.doc_id for r in rows]
         assert set(ids) <= before and len(ids) == len(set(ids)), name
         if name == "repeated_strings":
-            want = brute_repeats([(r.doc_id, r.text) for r in docs.collect()], 400)
-            assert Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in rows if r.text.isascii()) <= Counter({(k[0], k[4]): n for k, n in want.items()})
+            kept = brute_kept([(r.doc_id, r.text) for r in docs.collect()], 200, 51)
+            assert {r.doc_id: r.text for r in rows} == kept
             assert all(r.n_chars == len(r.text) for r in rows)
+        if name == "near_duplicates":
+            assert set(ids) == {d for d, c in brute_simhash([(r.doc_id, r.text) for r in docs.collect()]).items() if d == c[1]}
         if name == "benchmark_passages":
             bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
             assert set(ids) == {k[0] for k in brute_contamination([(r.doc_id, r.text) for r in docs.collect()], bench) if not k[5]}
