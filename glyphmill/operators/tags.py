@@ -154,3 +154,11 @@ def spatial_vote(rows: DataFrame) -> DataFrame:
     """rows: item, class, material (null if undecided), margin. The undecided take the material of their class's best margin."""
     best = F.max_by("material", F.when(F.col("material").isNotNull(), F.col("margin"))).over(W.partitionBy("item", "class"))
     return rows.withColumn("material", F.coalesce("material", best))
+
+
+def fallback_tags(attributes: DataFrame, done: DataFrame) -> DataFrame:
+    """attributes: image_id, attribute_key, value. Tags read from attributes of images whose run isn't complete: semantic ones and room functions, from 0.5."""
+    key = F.col("attribute_key")
+    wanted = key.startswith("style.") | key.startswith("cognitive.") | F.contains(key, F.lit("room_function"))
+    open_ = attributes.where(wanted & (F.col("value") >= SEMANTIC)).join(done.select("image_id").distinct(), "image_id", "left_anti")
+    return open_.select("image_id", "attribute_key", S.title_label(key).alias("label"), F.col("value").alias("confidence"))

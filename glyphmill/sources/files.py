@@ -112,3 +112,25 @@ def prometheus(df: DataFrame, metric: str, labels: list[str], value: str) -> Dat
     """Lines of the text exposition format."""
     inner = F.concat_ws(",", *(F.concat(F.lit(f'{c}="'), F.col(c).cast("string"), F.lit('"')) for c in labels))
     return df.select(F.concat(F.lit(metric + "{"), inner, F.lit("} "), F.col(value).cast("string")).alias("line"))
+
+
+def ragged_union(parts: list[DataFrame]) -> DataFrame:
+    """All rows with all columns of any part, in order of first appearance; null where a part lacks one."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def health_runs(files: DataFrame, root: str) -> DataFrame:
+    """files: path, modificationTime (as a binaryFile listing has them). Per run folder under root the latest time and which results are there, newest first."""
+    inside = F.regexp_extract("path", f"{root}/([^/]+)/(.*)$", 1)
+    name = F.regexp_extract("path", f"{root}/([^/]+)/(.*)$", 2)
+    r = files.select(inside.alias("run_id"), name.alias("name"), "modificationTime").where("run_id <> ''").groupBy("run_id")
+    return r.agg(F.max("modificationTime").alias("created_at"), *(F.bool_or(F.col("name") == f).alias(k) for k, f in (("has_variance_audit", "derived/vlm_variance_audit.csv"), ("has_turing_summary", "derived/vlm_turing_summary.txt")))).orderBy(F.desc("created_at"), F.desc("run_id"))
+
+
+def log_rows(lines: DataFrame, context: str) -> DataFrame:
+    """lines: value (a JSON object a line). Level, time, message and the request's context of structured log lines; others are left out."""
+    kind = f"level string, timestamp string, logger string, message string, context struct<{_colons(context)}>"
+    return lines.select(F.from_json("value", kind).alias("r")).select("r.*").where("level is not null")
