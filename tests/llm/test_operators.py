@@ -430,6 +430,60 @@ def test_toxicity(spark):
     assert kept.columns == edge.columns and kept.count() == 4  # no model, nothing is rejected
 
 
+def test_subwords_are_grams_of_words():
+    from glyphmill.llm import toxicity as t
+
+    def one(text):
+        """Buckets of the 3- to 8-grams inside words with their boundaries, gram by gram."""
+        b, out = b" " + text.encode() + b" ", set()
+        low = bytes(x + 32 if 65 <= x <= 90 else x for x in b)
+        for k in t.SIZES:
+            for i in range(len(b) - k + 1):
+                if all(t._LETTER[x] for x in low[i + 1 : i + k - 1]):
+                    h = 0
+                    for x in low[i : i + k]:
+                        h = (h * int(t._STEP) + int(t._CODE[x])) & 0xFFFFFFFF
+                    h = (h ^ (h >> 15)) * (int(t._LAST) + 2 * k) & 0xFFFFFFFF
+                    out.add(h >> (32 - t.BITS))
+        return out
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abC é1,") for _ in range(rng.randrange(30))) for _ in range(40)] + ["", "idiot", "IDIOT!"]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *(len(x.encode()) for x in texts)])
+    rows, buckets = t.subwords(buf, off)
+    assert [set(buckets[rows == i].tolist()) for i in range(len(texts))] == [one(x) for x in texts]
+
+
+def test_scores_and_training_against_plain_sums():
+    from glyphmill.llm import toxicity as t
+
+    rng = np.random.default_rng(2)
+    n, width = 40, 1 << t.BITS
+    weight = rng.uniform(0, 1, width).astype(np.float32)
+    grams = [np.unique(rng.integers(0, 50, 12)) + (0 if i % 2 else 60) for i in range(n)]
+    label = np.arange(n) % 2 == 0
+    model = t.train([np.frombuffer(t.pack(g), np.uint8) for g in grams], label.astype(int), weight, np.zeros(width), 0.25)
+    logit = [model.intercept + sum(model.pull[g]) / sum(weight[g]) for g in grams]
+    assert all((x > 0.25) == y for x, y in zip(logit, label, strict=True))  # the two sets of buckets are told apart
+    text = np.frombuffer("plain words, twice words".encode(), np.uint8)
+    own = t.subwords(text, np.array([0, len(text)]))[1]
+    want = 1 / (1 + math.exp(-(model.intercept + float(model.pull[own].sum()) / float(weight[own].sum()))))
+    assert abs(model.score(text, np.array([0, len(text)]))[0] - want) < 1e-5
+    assert abs(model.score(text[:0], np.array([0, 0]))[0] - 1 / (1 + math.exp(-model.intercept))) < 1e-9
+
+
+def test_toxicity_of_odd_labels(spark):
+    from glyphmill.llm.toxicity import fit, score_toxicity
+
+    docs = spark.createDataFrame([(i, "nice words here" if i % 2 else "vile words here") for i in range(40)], DOCS)
+    labels = spark.createDataFrame([*((i, 1 - i % 2) for i in range(40)), (3, None), (None, 1), (5, 0), (5, 0)], "doc_id int, toxic int")
+    assert fit(docs, labels) is not None and fit(docs.limit(0), labels) is None
+    assert score_toxicity(docs.limit(0), None).count() == 0
+    with pytest.raises(ValueError, match="score"):
+        score_toxicity(docs.withColumn("score", F.lit(1)), None, keep=["score"])
+
+
 def test_toxicity_counts_all_rows(spark, monkeypatch):
     from glyphmill.llm import toxicity as t
 
