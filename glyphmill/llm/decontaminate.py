@@ -3,11 +3,12 @@
 Both sides are words (lower-cased A-Z, runs of digits, letters a-z and non-ASCII characters). From every 13-word window
 the minimum 7-word-gram hash is kept as a fingerprint, so two texts that share 13 words share a fingerprint. Fingerprints
 of documents are joined with those of the benchmark, and each hit is extended to the 13-word windows around it, which are
-looked up among the benchmark's windows. Items of fewer words are windows of their own length and are probed at every word.
+joined with the benchmark's windows. Items of fewer words are windows of their own length and are probed at every word.
 
-The benchmark is the small side: it's read in blocks of bounded text, each broadcast, and each document batch passes all
-blocks; nothing is shuffled and a benchmark of any size costs more blocks, never a larger one. Documents stay in their
-partition, so neither hot passages nor skewed sources gather anywhere.
+The benchmark is winnowed in Spark like the documents, and may be of any size: what's broadcast is two Bloom filters of fixed
+size, of its fingerprints and of its windows. What passes both goes to the join of windows, which is exact; with a larger
+benchmark more passes. So documents send only likely hits, and a passage that a third of them hold is one side of an
+equi-join, which adaptive execution can split. Nothing of the benchmark reaches the driver but the lengths of its short items.
 
 Nulls and empty texts have no words: zero counts, not contaminated. Repeated rows each get their own result. An item with
 a null id counts as the id "null". Words are compared by 64-bit hashes, windows by hashes of those.
@@ -15,22 +16,19 @@ a null id counts as the id "null". Words are compared by 64-bit hashes, windows
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches
+from .runtime import KeyFilter, cut, small_batches
 from .textbytes import BYTE_CODE_LOWER, LOWER, U64, byte_class, grams, mix, pieces, slide, span_hashes, spans, utf8
 
 WINDOW, GRAM, SHARE = 13, 7, 20
-BLOCK_BYTES = 16 << 20
 _IN_WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))[LOWER]
-_BITS = 20
+_SIZE_SALT = U64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,151 +61,112 @@ def fingerprint_positions(words: np.ndarray, first: np.ndarray, n: int, k: int)
     return gram, np.flatnonzero(winnow(gram, left, n, k)), left
 
 
-@dataclass
-class _Lengths:
-    """Windows of one length: how they're found (probe grams of k words) and which items hold them."""
-
-    n: int
-    k: int
-    every: bool  # probe every position, or winnowed ones
-    probes: np.ndarray
-    bits: np.ndarray
-    windows: np.ndarray
-    item_from: np.ndarray
-    items: np.ndarray
-
-
-class Index:
-    """Fingerprints and windows of one block of benchmark items."""
-
-    def __init__(self, ids: list[str], texts: list[str], n: int, k: int):
-        self.ids, self.lengths = ids, []
-        buf, off = utf8(pa.array(texts, pa.string()))
-        words, first = word_hashes(buf, off)
-        count = np.diff(first)
-        for size in sorted({int(x) for x in count if 0 < x < n} | ({n} if (count >= n).any() else set())):
-            own = np.flatnonzero(count == size if size < n else count >= n)
-            starts = np.concatenate([np.arange(first[i], first[i + 1] - size + 1) for i in own])
-            owner = np.repeat(own, count[own] - size + 1)
-            if size == n:
-                gram, kept, _ = fingerprint_positions(words, first, n, k)
-                probes, gram_of = gram[kept], k
-            else:
-                gram_of = min(k, size)
-                probes = window_hash(words, starts, gram_of)
-            h = window_hash(words, starts, size)
-            pair = np.unique(np.stack([h, owner.astype(U64)]), axis=1)
-            windows, at = np.unique(pair[0], return_index=True)
-            bits = np.zeros(1 << _BITS, bool)
-            bits[probes & U64((1 << _BITS) - 1)] = True
-            self.lengths.append(_Lengths(size, gram_of, size < n, np.unique(probes), bits, windows, np.append(at, pair.shape[1]), pair[1].astype(np.int64)))
-
-    def hits(self, words: np.ndarray, first: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word is hit, rows, items): the pairs of a row and an item with a window in it, each once."""
-        change = np.zeros(len(words) + 1, np.int32)
-        pairs = [np.zeros((2, 0), np.int64)]
-        gram = kept = left = None
-        by_k: dict[int, np.ndarray] = {}
-        for x in self.lengths:
-            if left is None:
-                gram, kept, left = fingerprint_positions(words, first, n, k)
-            if x.every:
-                if x.k not in by_k:
-                    can = np.flatnonzero(left >= x.k)
-                    by_k[x.k] = (can, window_hash(words, can, x.k))
-                at, key = by_k[x.k]
-            else:
-                at, key = kept, gram[kept]
-            near = x.bits[key & U64((1 << _BITS) - 1)]
-            at, key = at[near], key[near]
-            spot = np.minimum(np.searchsorted(x.probes, key), len(x.probes) - 1)
-            at = at[x.probes[spot] == key]
-            if not x.every:  # extend: all windows that hold the fingerprint
-                at = np.unique((at[:, None] - np.arange(x.n - x.k + 1)).ravel())
-                at = at[at >= 0]
-            at = at[left[at] >= x.n]
-            if not len(at):
-                continue
-            h = window_hash(words, at, x.n)
-            spot = np.minimum(np.searchsorted(x.windows, h), len(x.windows) - 1)
-            same = x.windows[spot] == h
-            at, spot = at[same], spot[same]
-            np.add.at(change, at, 1)
-            np.add.at(change, at + x.n, -1)
-            seen = np.unique(np.stack([np.searchsorted(first, at, "right") - 1, spot]), axis=1)
-            many = x.item_from[seen[1] + 1] - x.item_from[seen[1]]
-            row = np.repeat(seen[0], many)
-            item = x.items[np.repeat(x.item_from[seen[1]] - np.cumsum(many) + many, many) + np.arange(many.sum())]
-            pairs.append(np.stack([row, item]))
-        hit = np.cumsum(change[:-1]) > 0
-        rows, items = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        return hit, rows, items
-
-
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[str], list[str]]]:
-    """Items in blocks of bounded text, one partition of the table at a time."""
-    ids, texts, held = [], [], 0
-    for r in benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).toLocalIterator():
-        if ids and held + len(r[1]) > block_bytes:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-        ids.append(r[0])
-        texts.append(r[1])
-        held += len(r[1])
-    if ids:
-        yield ids, texts
+def probes(words: np.ndarray, first: np.ndarray, size: int, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, their fingerprints, words left at every position) for windows of `size` words: winnowed ones at n, else every gram of a window's beginning."""
+    if size == n:
+        gram, at, left = fingerprint_positions(words, first, n, k)
+        key = gram[at]
+    else:
+        left = np.repeat(first[1:], np.diff(first)) - np.arange(len(words))
+        at = np.flatnonzero(left >= size)
+        key = window_hash(words, at, min(k, size))
+    return at, key + U64(size) * _SIZE_SALT, left
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    n: int = WINDOW, k: int = GRAM, share: int = SHARE, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None,
-) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, item_ids (sorted as strings), items_sha256, contaminated.
+def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n: int, k: int) -> DataFrame:
+    """(size, key, item) of every window of every item, and, with a null item, (size, fingerprint) of what it's found by."""
 
-    A document is contaminated if any word is hit and at least 1 in `share` words is. `keep`: further columns to pass
-    through; without them only the id and the text are read.
-    """
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = utf8(batch.column(1))
+            for lo, hi in pieces(off):
+                words, first = word_hashes(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                count = np.diff(first)
+                for size in np.unique(np.minimum(count[count > 0], n)).tolist():
+                    own = np.flatnonzero(count == size if size < n else count >= n)
+                    many = count[own] - size + 1
+                    starts = np.repeat(first[:-1][own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    at, found, _ = probes(words, first, size, n, k)
+                    mine = np.isin(np.searchsorted(first, at, "right") - 1, own)
+                    key = np.concatenate([window_hash(words, starts, size), np.unique(found[mine])]).view(np.int64)
+                    item = pa.concat_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(np.repeat(own, many))), pa.nulls(len(key) - len(starts), pa.string())])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), size, np.int32)), pa.array(key), item], names=["size", "key", "item"])
+
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text"))
+    return items.mapInArrow(kernel, "size int, key long, item string").distinct()
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, n: int, k: int, share: int, keep: list[str]) -> DataFrame:
+    """id_col, keep, __k and __k2 (a key of id and text), n_words, n_hit, n_items, item_ids, contaminated."""
     if not 0 < k <= n:
         raise ValueError("k must be between 1 and n")
-    spark = docs.sparkSession
-    small_batches(spark)
-    blocks = [spark.sparkContext.broadcast(Index(ids, texts, n, k)) for ids, texts in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)]
-    keep = [c for c in keep or [] if c not in (id_col,)]
-    if clash := {"n_words", "n_hit", "n_items", "item_ids", "items_sha256", "contaminated"} & {id_col, *keep}:
-        raise ValueError(f"columns {sorted(clash)} of the input have names of the result")
-    cols = list(dict.fromkeys([id_col, text_col, *keep]))
+    small_batches(docs.sparkSession)
+    bench = cut(benchmark_windows(benchmark, item_col, item_text_col, n, k))
+    sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # n at most
+    windows = bench.where("item is not null")
+    by_print, by_window, test = KeyFilter(bench.where("item is null"), "key"), KeyFilter(windows, "key"), KeyFilter.test
+    prints, wins = by_print.shared, by_window.shared
     fields = [docs.schema[c] for c in [id_col, *keep]]
+    names = [*(f.name for f in fields), "__k", "__k2"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = utf8(batch.column(text_col))
+            buf, off = utf8(batch.column(batch.num_columns - 1))
             for lo, hi in pieces(off):
                 words, first = word_hashes(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                hit = np.zeros(len(words), bool)
-                found: list[set[str]] = [set() for _ in range(hi - lo)]
-                for block in blocks:
-                    index = block.value
-                    more, rows, items = index.hits(words, first, n, k)
-                    hit |= more
-                    for r, i in zip(rows.tolist(), items.tolist(), strict=True):
-                        found[r].add(index.ids[i])
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_words, n_hit = np.diff(first), total[first[1:]] - total[first[:-1]]
-                names = [sorted(x) for x in found]
+                where, hashes = [np.zeros((2, 0), np.int64)], [np.zeros(0, U64)]
+                for size in sizes:
+                    at, key, left = probes(words, first, size, n, k)
+                    at = at[test(prints.value, key)]
+                    if size == n and len(at):  # extend: all windows that hold the fingerprint
+                        at = np.unique((at[:, None] - np.arange(n - k + 1)).ravel())
+                        at = at[at >= 0]
+                    at = at[left[at] >= size]
+                    h = window_hash(words, at, size)
+                    ok = test(wins.value, h)
+                    row = np.searchsorted(first, at[ok], "right") - 1
+                    where.append(np.stack([row, (at[ok] - first[row]) << 8 | size]))
+                    hashes.append(h[ok])
+                found, h = np.concatenate(where, axis=1), np.concatenate(hashes)
+                order = np.argsort(found[0], kind="stable")
+                head = pa.array(np.searchsorted(found[0][order], np.arange(hi - lo + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(head, pa.array(x[order])) for x in (found[1], h.view(np.int64))]
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(f.name) for f in fields), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array((n_hit > 0) & (share * n_hit >= n_words))],
-                    names=[*(f.name for f in fields), "n_words", "n_hit", "n_items", "item_ids", "items_sha256", "contaminated"],
-                )
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(np.diff(first), pa.int64()), *lists], names=[*names, "n_words", "__at", "__h"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_words long, n_hit long, n_items long, item_ids array<string>, items_sha256 string, contaminated boolean"])
-    return docs.select(*cols).mapInArrow(kernel, schema)
+    keyed = docs.select(*(F.col(f"`{f.name}`") for f in fields), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("__k"), F.hash(F.col(f"`{text_col}`"), F.lit(1)).alias("__k2"), F.col(f"`{text_col}`").alias("__text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "__k long, __k2 int, n_words long, __at array<long>, __h array<long>"])
+    rows = cut(keyed.mapInArrow(kernel, schema))
+    hits = rows.where("size(__at) > 0").select("__k", "__k2", F.explode(F.arrays_zip("__at", "__h")).alias("x")).select("__k", "__k2", F.col("x.__at").alias("at"), F.col("x.__h").alias("key")).distinct()
+    met = hits.join(windows.select("key", "item"), "key").groupBy("__k", "__k2").agg(F.collect_set("at").alias("at"), F.sort_array(F.collect_set("item")).alias("item_ids"))
+    covered = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(F.shiftright(a, 8), F.shiftright(a, 8) + a.bitwiseAND(255) - 1))))
+    met = met.select("__k", "__k2", F.size(covered).cast("long").alias("n_hit"), "item_ids")
+    out = rows.drop("__at", "__h").join(met, ["__k", "__k2"], "left")
+    hit, ids = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("item_ids", F.array().cast("array<string>"))
+    return out.select(*(F.col(f"`{c}`") for c in names), "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    n: int = WINDOW, k: int = GRAM, share: int = SHARE, keep: list[str] | None = None,
+) -> DataFrame:
+    """Per document: n_words, n_hit, n_items, item_ids (sorted as strings), items_sha256, contaminated.
+
+    A document is contaminated if any word is hit and at least 1 in `share` words is. `keep`: further columns to pass
+    through; without them only the id and the text are read.
+    """
+    keep = [c for c in keep or [] if c != id_col]
+    if clash := {"n_words", "n_hit", "n_items", "item_ids", "items_sha256", "contaminated"} & {id_col, *keep}:
+        raise ValueError(f"columns {sorted(clash)} of the input have names of the result")
+    out = _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, n, k, share, keep)
+    return out.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).select(*(F.col(f"`{c}`") for c in [id_col, *keep]), "n_words", "n_hit", "n_items", "item_ids", "items_sha256", "contaminated")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, k: int = GRAM, share: int = SHARE) -> DataFrame:
     """The documents that aren't contaminated, with their columns as they were."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     held = docs.toDF(*names)
     i, t = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
-    judged = contamination(held, benchmark, id_col=i, text_col=t, keep=names, **options)
-    return judged.where("not contaminated").select(*names).toDF(*docs.columns)
+    gone = _judged(held, benchmark, i, t, item_col, item_text_col, n, k, share, []).where("contaminated").select("__k", "__k2").distinct()
+    keyed = held.withColumns({"__k": F.xxhash64(i, t), "__k2": F.hash(F.col(t), F.lit(1))})
+    return keyed.join(gone, ["__k", "__k2"], "left_anti").select(*names).toDF(*docs.columns)

@@ -129,7 +129,7 @@ class KeyFilter:
     def test(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
         k, found = keys.view(np.uint64), np.ones(len(keys), bool)
         for s in (0, 32):
-            spot = ((k >> np.uint64(s)) & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)
+            spot = ((k >> np.uint64(s)) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
             found &= (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
         return found
 

@@ -55,15 +55,15 @@ def brute_contamination(docs, bench, n=13):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 40])
-def test_contamination(spark, block):
+@pytest.mark.parametrize("parts", [1, 7])
+def test_contamination(spark, parts):
     from glyphmill.llm.decontaminate import contamination
 
     rng = random.Random(1)
     docs = edge_docs()
     long = [t for _, t in docs if t and len(t.split()) > 20 and len(t) < 5000]
     bench = [(i, " ".join(rng.choice(long).split()[k : k + rng.choice([1, 3, 8, 13, 30])])) for i, k in enumerate(rng.choices(range(15), k=40))] + [(None, "alpha beta"), (90, None), (91, "!!"), (3, long[0])]
-    got = contamination(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(bench, "item_id int, text string"), block_bytes=block)
+    got = contamination(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(bench, "item_id int, text string").repartition(parts))
     assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()) == brute_contamination(docs, bench)
 
 
@@ -75,6 +75,28 @@ def test_contamination_of_nothing(spark):
     assert contamination(docs.limit(0), none).count() == 0
     more = docs.withColumn("n_words", F.lit(1)).withColumn("c0", F.lit("x"))
     assert decontaminate(more, none).columns == more.columns
+    with pytest.raises(ValueError, match="n_words"):
+        contamination(more, none, keep=["n_words"])
+
+
+def test_large_benchmark_reaches_no_worker_whole(spark):
+    """What workers hold is two filters of fixed size, however large the benchmark; with a filter that lets all pass the result is the same."""
+    from glyphmill.llm import decontaminate as d
+    from glyphmill.llm import runtime
+
+    rng = random.Random(11)
+    bench = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice([2, 20, 60])))) for i in range(400)]
+    docs = [(i, bench[i][1] + " tail" if i % 3 else " ".join(f"w{rng.randrange(400)}" for _ in range(80))) for i in range(60)]
+    a, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id int, text string")
+    want = brute_contamination(docs, bench)
+    assert runtime.KeyFilter(b.select(F.col("item_id").cast("long").alias("k")), "k").shared.value.nbytes == 1 << 22
+    keep = runtime._FILTER_BITS
+    try:
+        runtime._FILTER_BITS = 6
+        got = Counter(tuple(r) for r in d.contamination(a, b).drop("item_ids").collect())
+    finally:
+        runtime._FILTER_BITS = keep
+    assert got == want
 
 
 # --- op2
