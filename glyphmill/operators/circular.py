@@ -86,7 +86,7 @@ def rao_spacing(df: DataFrame, keys: list[str], angle: str) -> DataFrame:
     w = W.partitionBy(*keys).orderBy("d")
     gaps = deg.select(*keys, "d", F.lag("d").over(w).alias("before"))
     g = gaps.groupBy(*keys).agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
-    gaps = gaps.join(F.broadcast(g), keys)
+    gaps = gaps.join(g, keys)
     gap = F.when(F.col("before").isNull(), 360 - F.col("hi") + F.col("lo")).otherwise(F.col("d") - F.col("before"))
     return gaps.groupBy(*keys).agg((F.sum(F.abs(gap - 360 / F.col("n"))) / 2).alias("u"))
 
@@ -102,7 +102,7 @@ def corr_linear(df: DataFrame, keys: list[str], angle: str, value: str) -> DataF
 def corr_circular(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Circular-circular correlation and its test statistic."""
     means = df.groupBy(*keys).agg(F.atan2(F.sum(F.sin(a)), F.sum(F.cos(a))).alias("ma"), F.atan2(F.sum(F.sin(b)), F.sum(F.cos(b))).alias("mb"))
-    joined = df.join(F.broadcast(means), keys) if keys else df.join(F.broadcast(means))
+    joined = df.join(means, keys) if keys else df.join(F.broadcast(means))  # one row
     x, y = F.sin(F.col(a) - F.col("ma")), F.sin(F.col(b) - F.col("mb"))
     s = joined.groupBy(*keys).agg(F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * x * y * y).alias("xxyy"), F.count("*").alias("n"))
     rho = F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))
@@ -112,7 +112,8 @@ def corr_circular(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 def median(df: DataFrame, keys: list[str], angle: str, digits: int = 9) -> DataFrame:
     """The data point with half of the rows on either side of its diameter, of equals the smallest.
 
-    Angles are counted first, so the comparison is between distinct angles, not between rows.
+    Angles are counted first, so the comparison is between distinct angles, not between rows. It's of each with each: round to
+    fewer digits where a group has many distinct ones.
     """
     d = df.select(*keys, F.round(F.pmod(angle, 2 * F.pi()), digits).alias("a")).groupBy(*keys, "a").agg(F.count("*").alias("c"))
     other = d.select(*keys, F.col("a").alias("b"), F.col("c").alias("k"))

@@ -86,17 +86,16 @@ def dangling(tags: DataFrame, refs: str = "parents") -> DataFrame:
     return r.join(tags.select(F.col("tag_id").alias("ref")), "ref", "left_anti").select("tag_id", "ref")
 
 
-def replacement_cycles(tags: DataFrame, depth: int = 32) -> DataFrame:
-    """Tags whose chain of replacements comes back to them within `depth` steps. One join a step, only with chains still open."""
-    links = tags.where("replaced_by is not null").select("tag_id", F.col("replaced_by").alias("next"))
-    chain, found = links.select(F.col("tag_id").alias("start"), F.col("next").alias("at")), None
-    for _ in range(depth):
-        hit = chain.where("at = start").select(F.col("start").alias("tag_id"))
-        found = hit if found is None else found.union(hit)
-        chain = chain.where("at <> start").join(links, F.col("at") == F.col("tag_id")).select("start", F.col("next").alias("at")).checkpoint()
-        if chain.isEmpty():
-            break
-    return found.distinct()
+def replacement_cycles(tags: DataFrame) -> DataFrame:
+    """Tags whose chain of replacements comes back to them, however long it is. Ids are unique.
+
+    Pointer doubling: each round joins the jumps so far with themselves, so they're twice as long. After as many steps as there are
+    links, a chain that hasn't ended is on a cycle, and all tags of cycles are where such chains then are.
+    """
+    jump = tags.where("replaced_by is not null").select("tag_id", F.col("replaced_by").alias("next")).checkpoint()
+    for _ in range(jump.count().bit_length()):
+        jump = jump.join(jump.select(F.col("tag_id").alias("next"), F.col("next").alias("then")), "next").select("tag_id", F.col("then").alias("next")).checkpoint()
+    return jump.select(F.col("next").alias("tag_id")).distinct()
 
 
 def validity(wanted: DataFrame, tags: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..runtime import numbered
 
 
 def panel(human: DataFrame, model: DataFrame, seed: int = 42, cap: int | None = None) -> DataFrame:
@@ -20,7 +21,7 @@ def panel(human: DataFrame, model: DataFrame, seed: int = 42, cap: int | None =
     keys = ["image_id", "attribute_key"]
     j = human.select(*keys, F.col("label").alias("h")).join(model.select(*keys, F.col("label").alias("m")), keys)
     order = F.xxhash64(*keys, F.lit(seed))
-    j = j.withColumn("trial_id", F.row_number().over(W.orderBy(order, *keys)))
+    j = numbered(j.withColumn("__o", order), ["__o", *keys], "trial_id").drop("__o")
     if cap:
         j = j.where(F.col("trial_id") <= cap)
     a = F.xxhash64(*keys, F.lit(seed + 1)) % 2 == 0

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("annotation", "circular", "scalars", "registry", "spatial", "studies", "pipeline", "governance", "rooms", "shaping")
+MODULES = ("annotation", "circular", "scalars", "registry", "spatial", "studies", "pipeline", "governance", "rooms", "shaping", "refuge")
 
 
 def load() -> None:

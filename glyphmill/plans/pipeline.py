@@ -11,9 +11,9 @@ from .catalog import query
 from .registry import _REG, _newer, registry
 
 
-@query("add03_missing_requirements", "SELECT image_id AS item, a.name, list_sort(list_filter(a.requires, lambda x: NOT list_contains(p, x))) AS missing FROM (SELECT image_id, list(DISTINCT attribute_key) AS p FROM validations GROUP BY 1), (VALUES ('fluency', ['A', 'N']), ('summary', ['R'])) a(name, requires) WHERE len(list_filter(a.requires, lambda x: NOT list_contains(p, x))) > 0")
+@query("add03_missing_requirements", "SELECT image_id AS item, a.name, list_sort(list_filter(a.requires, lambda x: NOT list_contains(p, x))) AS missing FROM (SELECT image_id, coalesce(list(DISTINCT attribute_key) FILTER (value >= 0.09), []) AS p FROM validations GROUP BY 1), (VALUES ('fluency', ['A', 'N']), ('summary', ['R'])) a(name, requires) WHERE len(list_filter(a.requires, lambda x: NOT list_contains(p, x))) > 0")
 def _(spark, d):
-    have = V.validations(spark, d).groupBy(F.col("image_id").alias("item")).agg(F.collect_set("attribute_key").alias("provided"))
+    have = V.validations(spark, d).groupBy(F.col("image_id").alias("item")).agg(F.collect_set(F.when(F.col("value") >= 0.09, F.col("attribute_key"))).alias("provided"))
     return P.missing_requirements(spark.createDataFrame([("fluency", ["A", "N"]), ("summary", ["R"])], "name string, requires array<string>"), have).withColumn("missing", F.sort_array("missing"))
 
 

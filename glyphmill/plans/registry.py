@@ -77,7 +77,7 @@ def _(spark, d):
     return R.dangling(registry(spark, d))
 
 
-@query("reg08_validity", f"+{_REG}, w AS (SELECT 'env.part.t' || o_orderkey AS tag_id FROM orders WHERE o_orderkey < 400) SELECT DISTINCT w.tag_id, status IS NOT NULL AS \"exists\", coalesce(status = 'active', false) AS active, coalesce(status = 'deprecated', false) AS deprecated, replaced_by FROM w LEFT JOIN reg USING (tag_id)")
+@query("reg08_validity", f"+{_REG}, w AS (SELECT 'env.part.t' || o_orderkey AS tag_id FROM orders) SELECT DISTINCT w.tag_id, status IS NOT NULL AS \"exists\", coalesce(status = 'active', false) AS active, coalesce(status = 'deprecated', false) AS deprecated, replaced_by FROM w LEFT JOIN reg USING (tag_id)")
 def _(spark, d):
     w = V.table(spark, d, "orders").select(F.concat(F.lit("env.part.t"), F.col("o_orderkey").cast("string")).alias("tag_id"))
     return R.validity(w, registry(spark, d))
@@ -118,12 +118,12 @@ def _(spark, d):
     return R.similar_names(registry(spark, d), ["domain", "value_type"], 0.85)
 
 
-@query("reg07_replacement_cycles")
+@query("reg07_replacement_cycles", "SELECT 'env.part.t' || p_partkey AS tag_id FROM part WHERE p_partkey IN (17, 34)")
 def _(spark, d):
     from .. import runtime
 
     runtime.checkpoint_dir(spark)
-    return R.replacement_cycles(registry(spark, d).withColumn("replaced_by", F.when(F.col("tag_id") == "env.part.t34", "env.part.t17").otherwise(F.col("replaced_by"))), 8)
+    return R.replacement_cycles(registry(spark, d).withColumn("replaced_by", F.when(F.col("tag_id") == "env.part.t34", "env.part.t17").otherwise(F.col("replaced_by"))))
 
 
 @query("dml05_review", """SELECT o_orderkey AS proposal_id, CASE WHEN o_orderstatus <> 'P' THEN CASE o_orderstatus WHEN 'F' THEN 'approved' ELSE 'rejected' END
@@ -137,7 +137,7 @@ def _(spark, d):
     return R.review(p, r)
 
 
-@query("dml10_merge_approved", f"""+{_REG}, p AS (SELECT 'env.part.t' || o_orderkey AS tag_id, CASE o_orderkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'modify' ELSE 'deprecate' END AS kind, CASE WHEN o_orderkey % 3 < 2 THEN o_orderpriority END AS nd FROM orders WHERE o_orderkey BETWEEN 100 AND 2300)
+@query("dml10_merge_approved", f"""+{_REG}, p AS (SELECT 'env.part.t' || o_orderkey AS tag_id, CASE o_orderkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'modify' ELSE 'deprecate' END AS kind, CASE WHEN o_orderkey % 3 < 2 THEN o_orderpriority END AS nd FROM orders)
 SELECT coalesce(r.tag_id, p.tag_id) AS tag_id, CASE WHEN (kind = 'new' AND r.tag_id IS NOT NULL) OR (kind IN ('modify', 'deprecate') AND r.tag_id IS NULL) THEN definition ELSE coalesce(nd, definition) END AS definition,
 CASE WHEN kind = 'deprecate' AND r.tag_id IS NOT NULL THEN 'deprecated' WHEN r.tag_id IS NOT NULL THEN status WHEN kind = 'new' THEN 'active' END AS status, CASE WHEN kind = 'new' AND r.tag_id IS NOT NULL THEN 'already exists' WHEN kind IN ('modify', 'deprecate') AND r.tag_id IS NULL THEN 'not found' END AS error FROM reg r FULL JOIN p USING (tag_id)""")
 def _(spark, d):

@@ -97,6 +97,6 @@ def _(spark, d):
     return V.table(spark, d, "events").select("event_id", F.to_date("ts").cast("string").alias("day"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))
 
 
-@query("add13_sanitised", "SELECT page_id, replace(replace(replace(replace(replace(substring(html, 1, 1000), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html FROM pages")
+@query("add13_sanitised", "SELECT page_id, replace(replace(replace(replace(replace(substring(html, 1, 10000), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html FROM pages")
 def _(spark, d):
     return V.table(spark, d, "pages").select("page_id", S.sanitised(F.col("html")).alias("html"))

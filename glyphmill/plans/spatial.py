@@ -62,7 +62,7 @@ def plans(spark, d):
     return V.pixels(spark, d).select(F.col("image_id").alias("plan_id"), "x", "y", (F.col("grey") > 145).alias("wall"))
 
 
-@query("geo01_free_share", "SELECT image_id AS plan_id, round(avg(CASE WHEN grey > 145 THEN 0.0 ELSE 1.0 END), 6) AS free FROM pixels WHERE image_id < 30 GROUP BY 1")
+@query("geo01_free_share", "SELECT image_id AS plan_id, round(avg(CASE WHEN grey > 145 THEN 0.0 ELSE 1.0 END), 6) AS free FROM pixels GROUP BY 1")
 def _(spark, d):
     return plans(spark, d).groupBy("plan_id").agg(F.round(F.avg((~F.col("wall")).cast("double")), 6).alias("free"))
 
@@ -88,7 +88,7 @@ def _(spark, d):
     return G.audibility(e).select("event_id", F.round("level", 6).alias("level"), "audible", "eavesdrop")
 
 
-@query("geo16_mirrors", "+s AS (SELECT image_id AS plan_id, x AS x1, y AS y1, x + 2 AS x2, y + 1 AS y2 FROM pixels WHERE image_id < 30 AND pos % 16 = 0), v AS (SELECT image_id AS plan_id, x AS px, y AS py FROM pixels WHERE image_id < 30 AND pos % 8 = 3), j AS (SELECT *, ((px - x1) * 2 + (py - y1)) / 5 AS t FROM v JOIN s USING (plan_id)) SELECT plan_id, px, py, round(2 * (x1 + 2 * t) - px, 6) + 0.0 AS ix, round(2 * (y1 + t) - py, 6) + 0.0 AS iy, round(2 * sqrt(pow(x1 + 2 * t - px, 2) + pow(y1 + t - py, 2)), 6) AS image_distance, t BETWEEN 0 AND 1 AS self_visible FROM j")
+@query("geo16_mirrors", "+s AS (SELECT image_id AS plan_id, x AS x1, y AS y1, x + 2 AS x2, y + 1 AS y2 FROM pixels WHERE pos % 16 = 0), v AS (SELECT image_id AS plan_id, x AS px, y AS py FROM pixels WHERE pos % 8 = 3), j AS (SELECT *, ((px - x1) * 2 + (py - y1)) / 5 AS t FROM v JOIN s USING (plan_id)) SELECT plan_id, px, py, round(2 * (x1 + 2 * t) - px, 6) + 0.0 AS ix, round(2 * (y1 + t) - py, 6) + 0.0 AS iy, round(2 * sqrt(pow(x1 + 2 * t - px, 2) + pow(y1 + t - py, 2)), 6) AS image_distance, t BETWEEN 0 AND 1 AS self_visible FROM j")
 def _(spark, d):
     p = V.pixels(spark, d)
     s = p.where("pos % 16 = 0").select(F.col("image_id").alias("plan_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 2).alias("x2"), (F.col("y") + 1).alias("y2"))

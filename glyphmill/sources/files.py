@@ -28,11 +28,15 @@ def new_rows(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 
 
 def read_record_yaml(spark: SparkSession, path: str) -> DataFrame:
-    """(record, fields map) of a line-oriented list: `- id: x` starts a record, `key: value` lines follow; anything before is left out."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    pair = lines.select("pos", F.col("line").rlike(r"^\s*-\s+\w+\s*:").alias("start"), F.regexp_extract("line", r"^\s*-?\s*(\w+)\s*:", 1).alias("k"), F.trim(F.regexp_replace(F.regexp_extract("line", r"^\s*-?\s*\w+\s*:\s*(.*)$", 1), r"""^["']|["']$""", "")).alias("v"))
-    numbered = pair.withColumn("record", F.sum(F.col("start").cast("int")).over(W.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.where((F.col("record") > 0) & (F.col("k") != "")).groupBy("record").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fields"))
+    """(file, record, fields map) of line-oriented lists: `- id: x` starts a record, `key: value` lines follow; anything before is left out.
+
+    Records are numbered in their file. Of a key that a record has twice the last value counts.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    pair = lines.select("file", "pos", F.col("line").rlike(r"^\s*-\s+\w+\s*:").alias("start"), F.regexp_extract("line", r"^\s*-?\s*(\w+)\s*:", 1).alias("k"), F.trim(F.regexp_replace(F.regexp_extract("line", r"^\s*-?\s*\w+\s*:\s*(.*)$", 1), r"""^["']|["']$""", "")).alias("v"))
+    numbered = pair.withColumn("record", F.sum(F.col("start").cast("int")).over(W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    last = numbered.where((F.col("record") > 0) & (F.col("k") != "")).groupBy("file", "record", "k").agg(F.max_by("v", "pos").alias("v"))
+    return last.groupBy("file", "record").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fields"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
