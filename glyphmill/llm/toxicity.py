@@ -1,6 +1,6 @@
 """Toxicity: averaged subword embeddings and a linear softmax, trained jointly in numpy.
 
-A text is its set of character 3- to 8-grams inside words (with the boundaries), hashed into 2**20 buckets, so an unseen
+A text is its set of character 3- to 8-grams inside words (with the boundaries), hashed into 2**18 buckets, so an unseen
 misspelling shares most grams with what was learnt. Every bucket has an embedding; a text's vector is the average of those it
 holds, weighted by how surely a bucket tells the classes apart: by how many standard errors its log-odds are from zero, much less
 below Z of them, but never nothing. These are counted over all labelled training rows, in Spark. A softmax layer scores the
@@ -8,8 +8,8 @@ vector. Embeddings and layer are trained together by mini-batch AdaGrad.
 
 Training uses at most MAX_TOXIC and MAX_OTHER labelled rows, those of the smallest hash of the id; the intercept is
 corrected to the class shares of all labelled rows, and by MISS: a toxic text that's let through counts as that many others
-that are rejected. Only that sample's grams reach the driver, a byte or so each, and the counts of 2**20 buckets, which tasks add
-up in blocks. Scoring is one pass without a shuffle, over whole texts.
+that are rejected. Only that sample's grams reach the driver, a byte or so each, and the counts of 2**18 buckets. Scoring is one
+pass without a shuffle, over whole texts.
 
 Null and empty texts score by the intercept alone. Labels that are null or have a null id are left out; of repeated ids the
 largest label counts. With no labelled row of one class, everything scores 0. Every row of docs gets a score. Columns that are
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .runtime import cut, small_batches
 from .textbytes import BYTE_CODE, LOWER, byte_class, pieces, utf8
 
-BITS, SIZES, DIM, Z, SOFT, MISS = 20, (3, 4, 5, 6, 7, 8), 8, 3.7, 3.0, 2.2
-MAX_TOXIC, MAX_OTHER, EPOCHS, BATCH, RATE, SEED = 3000, 3000, 6, 32, 0.1, 7
-_PIECE, _BLOCK = 512 << 10, 1 << 14
+BITS, SIZES, DIM, Z, SOFT, MISS = 18, (3, 4, 5, 6, 7, 8), 8, 3.3, 3.0, 2.0
+MAX_TOXIC, MAX_OTHER, EPOCHS, BATCH, RATE, SEED = 3000, 6000, 6, 32, 0.1, 7
+_PIECE, _MARKED = 512 << 10, 256
 THRESHOLD, FOLDS, FOLD = 0.7, 3, 1
 _LETTER = byte_class((0x61, 0x7A), (0x80, 0xFF))[LOWER]
 _CODE = np.where(_LETTER, BYTE_CODE[LOWER], 0x51ED270B).astype(np.uint32)
@@ -48,9 +48,8 @@ def subwords(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     text[fill] = buf
     letter, code, n = _LETTER[text], _CODE[text], len(text)
     h, inner, found = code.copy(), np.ones(n, bool), []
-    # row and bucket in one number, of 32 bits where they fit: these sort fastest
-    kind = np.uint32 if rows << BITS <= 1 << 32 else np.int64
-    own = np.repeat((np.arange(rows) << BITS).astype(kind), np.diff(gap))
+    own = np.repeat(np.arange(rows) << BITS, np.diff(gap))
+    marks = np.zeros(rows << BITS, bool) if rows <= _MARKED else None
     for k in range(2, max(SIZES) + 1):
         if k > n:
             break
@@ -60,8 +59,12 @@ def subwords(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             g = (h ^ (h >> np.uint32(15))) * (_LAST + np.uint32(2 * k))
             g >>= np.uint32(32 - BITS)
             at = np.flatnonzero(inner)
-            found.append(own[at] | g[at].astype(kind))
-    pairs = np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
+            pairs = own[at] | g[at]
+            if marks is None:
+                found.append(pairs)
+            else:
+                marks[pairs] = True
+    pairs = np.flatnonzero(marks) if marks is not None else np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
@@ -103,7 +106,7 @@ def train(texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, sign:
     w = weight.astype(np.float64)
     layer, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     way = layer[:, 1] - layer[:, 0]
-    table = (rng.normal(0, 0.05, (len(w), DIM)) + sign[:, None] * way / (way @ way)).astype(np.float32)
+    table = rng.normal(0, 0.05, (len(w), DIM)) + sign[:, None] * way / (way @ way)
     seen = np.full(len(w), 1e-6)
     order = np.arange(len(texts))
     for _ in range(EPOCHS):
@@ -115,14 +118,12 @@ def train(texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, sign:
             total = np.bincount(row, w[ids], len(own))
             share = w[ids] / total[row]
             way = layer[:, 1] - layer[:, 0]
-            logit = np.bincount(row, share * (table[ids] @ way.astype(np.float32)), len(own)) + bias[1] - bias[0]
+            logit = np.bincount(row, share * (table @ way)[ids], len(own)) + bias[1] - bias[0]
             miss = 1 / (1 + np.exp(-np.clip(logit, -700, 700))) - label[own]
             pulled = np.bincount(ids, share * miss[row], len(w))
-            held = np.flatnonzero(pulled)
-            pulled = pulled[held]
-            toward = pulled @ table[held]
-            seen[held] += pulled**2 * (way**2).mean()
-            table[held] -= (RATE * pulled / np.sqrt(seen[held]))[:, None] * way
+            toward = pulled @ table
+            seen += pulled**2 * (way**2).mean()
+            table -= (RATE * pulled / np.sqrt(seen))[:, None] * way
             layer -= 0.02 * np.stack([-toward, toward], axis=1)
             bias -= 0.02 * miss.sum() * np.array([-1, 1])
     pull = (w * (table @ (layer[:, 1] - layer[:, 0]))).astype(np.float32)
@@ -155,27 +156,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for lo, hi in pieces(off, _PIECE):
                 row, bucket = subwords(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 n += np.bincount((label[lo:hi][row].astype(np.int64) << BITS) | bucket, minlength=2 << BITS).reshape(2, -1)
-        # in blocks of buckets; block -1 counts the rows
-        own = [*np.flatnonzero(n.reshape(2, -1, _BLOCK).any(axis=(0, 2))).tolist(), -1]
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([(n[:, k * _BLOCK : (k + 1) * _BLOCK] if k >= 0 else rows).tobytes() for k in own], pa.binary())], names=["block", "n"])
+        full = np.flatnonzero(n.any(axis=0))
+        # bucket -1 counts the rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1)), *(pa.array(np.append(n[k][full], rows[k])) for k in (0, 1))], names=["bucket", "n0", "n1"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(x.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "n"])
-
-    counted = read.join(known, "id").select("label", "text").mapInArrow(count, "block int, n binary").repartition("block").mapInArrow(add, "block int, n binary").toArrow()
-    found = {k: np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for k, x in zip(counted.column("block").to_pylist(), counted.column("n"), strict=True)}
-    n = found.get(-1, np.zeros((2, 1)))[:, 0].astype(float)
-    if not n.all():
+    seen = read.join(known, "id").select("label", "text").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas().set_index("bucket")
+    rows = seen.loc[-1] if -1 in seen.index else None
+    if rows is None or not rows["n0"] or not rows["n1"]:
         return None
     df = np.zeros((2, 1 << BITS))
-    for k, x in found.items():
-        if k >= 0:
-            df[:, k * _BLOCK : (k + 1) * _BLOCK] = x
+    own = seen.drop(index=-1)
+    df[:, own.index.to_numpy()] = own[["n0", "n1"]].to_numpy().T
     # a row's worth of prior, dealt by class: a gram that no row holds tells nothing
+    n = np.array([rows["n0"], rows["n1"]], float)
     prior = n / n.sum()
     odds = [np.log((df[k] + prior[k]) / (n[k] - df[k] + prior[k])) for k in (0, 1)]
     z = (odds[1] - odds[0]) / np.sqrt(1 / (df[0] + prior[0]) + 1 / (df[1] + prior[1]))
