@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -38,6 +39,16 @@ def box_dimension(pixels: DataFrame, on: str, sizes: tuple[int, ...] = (1, 2, 4)
     return n.groupBy("image_id").agg(F.regr_slope(F.log("n"), -F.log("k")).alias("dimension"))
 
 
+def box_slopes(pixels: DataFrame, on: str, sizes: tuple[int, ...], skip: int = 0) -> DataFrame:
+    """Mean and deviation of the local slopes of log count against log 1 / size, without the first `skip` (from the smallest boxes)."""
+    k = F.explode(F.array(*(F.lit(s) for s in sizes))).alias("k")
+    boxes = pixels.where(on).select("image_id", "x", "y", k).select("image_id", "k", F.floor(F.col("x") / F.col("k")).alias("bx"), F.floor(F.col("y") / F.col("k")).alias("by")).distinct()
+    n = boxes.groupBy("image_id", "k").agg(F.count("*").alias("n"))
+    own = W.partitionBy("image_id").orderBy("k")
+    d = n.select("image_id", F.row_number().over(own).alias("i"), ((F.log("n") - F.log(F.lead("n").over(own))) / (F.log(F.lead("k").over(own)) - F.log("k"))).alias("d"))
+    return d.where((F.col("i") > skip) & F.col("d").isNotNull()).groupBy("image_id").agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"))
+
+
 def mirror_symmetry(pixels: DataFrame, width: int) -> DataFrame:
     """Correlation of the left half with the mirrored right half, as (c + 1) / 2; mean squared difference of the two."""
     left = pixels.where(F.col("x") < width // 2).select("image_id", "x", "y", F.col("grey").alias("a"))
@@ -146,7 +157,62 @@ def k_symmetry(rgb: np.ndarray) -> dict[str, float]:
     return {"symmetry": float(((za * zb).sum() / n + 1) / 2) if n else float("nan"), "mirror_mse": float(((a - b) ** 2).mean()), "mirror_ssim": float(ssim)}
 
 
-KERNELS: dict[str, Callable[[np.ndarray], dict[str, float]]] = {"basic": k_basic, "colour": k_colour, "naturalness": k_naturalness, "frequency": k_frequency, "edges": k_edges, "symmetry": k_symmetry}
+def k_channels(rgb: np.ndarray) -> dict[str, float]:
+    """Entropy in bits and edge density of hue, saturation, value and the three of CIELAB, each stretched to 0..255."""
+    out = {}
+    for name, c in zip(("h", "s", "v", "l", "a", "b"), (*hsv(rgb), *np.moveaxis(lab(rgb), -1, 0)), strict=True):
+        g = np.floor((c - c.min()) / max(np.ptp(c), 1e-9) * 255)
+        p = np.bincount(g.astype(int).ravel(), minlength=256) / g.size
+        e = np.abs(np.diff(g, axis=0))[:, :-1] + np.abs(np.diff(g, axis=1))[:-1]
+        out |= {f"{name}_entropy": float(-(p[p > 0] * np.log2(p[p > 0])).sum()), f"{name}_edges": float((e > 50).mean()) if e.size else 0.0}
+    return out
+
+
+def k_patches(rgb: np.ndarray, size: int = 64) -> dict[str, float]:
+    """Mean and variance over tiles of the mean power in three bands of frequency; nothing for an image smaller than a tile."""
+    g = grey(rgb)
+    y, x = np.indices((size, size)) - size // 2
+    r = np.hypot(y, x) / np.hypot(size // 2, size // 2)
+    bands = {"low": r < 0.33, "mid": (r >= 0.33) & (r < 0.66), "high": r >= 0.66}
+    power = [np.abs(np.fft.fftshift(np.fft.fft2(g[a : a + size, b : b + size]))) ** 2 for a in range(0, g.shape[0] - size + 1, size) for b in range(0, g.shape[1] - size + 1, size)]
+    return {f"{n}_{k}": float(f([p[m].mean() for p in power])) for n, m in bands.items() for k, f in (("mean", np.mean), ("var", np.var))} if power else {}
+
+
+def k_texture(rgb: np.ndarray) -> dict[str, float]:
+    """Entropy of local binary patterns: which of the eight neighbours are at least as bright."""
+    g = np.pad(grey(rgb), 1, mode="edge")
+    code = sum((g[1 + dy : g.shape[0] - 1 + dy, 1 + dx : g.shape[1] - 1 + dx] >= g[1:-1, 1:-1]).astype(int) << i for i, (dy, dx) in enumerate(((-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1))))
+    p = np.bincount(code.ravel(), minlength=256) / code.size
+    return {"lbp_entropy": float(-(p[p > 0] * np.log2(p[p > 0])).sum()) / 8}
+
+
+def k_openness(rgb: np.ndarray, n: int = 36) -> dict[str, float]:
+    """Mean length of rays from the middle up to an edge, over half the shorter side, at most 1."""
+    g = grey(rgb)
+    e = np.hypot(np.gradient(g, axis=0) if g.shape[0] > 1 else 0 * g, np.gradient(g, axis=1) if g.shape[1] > 1 else 0 * g) > 50
+    h, w = g.shape
+    reach = 0
+    for i in range(n):
+        dx, dy = np.cos(2 * np.pi * i / n), np.sin(2 * np.pi * i / n)
+        r = np.arange(1, int(np.hypot(h, w) / 2))
+        x, y = np.trunc(w // 2 + dx * r).astype(int), np.trunc(h // 2 + dy * r).astype(int)
+        out = (x < 0) | (x >= w) | (y < 0) | (y >= h)
+        stop = out | e[y.clip(0, h - 1), x.clip(0, w - 1)]
+        reach += int(stop.argmax()) if stop.any() else len(r)
+    return {"openness": min(reach / n / (min(h, w) / 2), 1.0)}
+
+
+def k_window_energy(rgb: np.ndarray) -> dict[str, float]:
+    """Mean log power under a Hamming window of the image's middle square, of 256 pixels at most."""
+    g = grey(rgb)
+    n = min(256, *g.shape)
+    a, b = (g.shape[0] - n) // 2, (g.shape[1] - n) // 2
+    win = np.outer(np.hamming(n), np.hamming(n))
+    power = np.abs(np.fft.fft2((g[a : a + n, b : b + n] - g.mean()) * win)) ** 2
+    return {"window_energy": float(np.log1p(power).mean())}
+
+
+KERNELS: dict[str, Callable[[np.ndarray], dict[str, float]]] = {"basic": k_basic, "colour": k_colour, "naturalness": k_naturalness, "frequency": k_frequency, "edges": k_edges, "symmetry": k_symmetry, "channels": k_channels, "patches": k_patches, "texture": k_texture, "openness": k_openness, "window": k_window_energy}
 
 
 def extract(images: DataFrame, kernels: list[str] | None = None) -> DataFrame:
