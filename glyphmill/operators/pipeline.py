@@ -83,3 +83,34 @@ def split_detail(attributes: DataFrame, prefix: str = "science_pipeline") -> Dat
     latest = attributes.groupBy("item", "key", F.col("source").startswith(prefix).alias("science")).agg(F.max_by("value", F.struct("created_at", "value")).alias("value"))
     pairs = F.struct("key", "value")
     return latest.groupBy("item").agg(F.sort_array(F.collect_list(F.when(F.col("science"), pairs))).alias("science"), F.sort_array(F.collect_list(F.when(~F.col("science"), pairs))).alias("human"))
+
+
+#: Composite indices that a network may take as inputs, their labels and the column of their bins.
+INDEX_CATALOG = [
+    ("science.visual_richness", "Visual richness", "science.visual_richness_bin"),
+    ("science.organized_complexity", "Organized complexity", "science.organized_complexity_bin"),
+    ("biophilia.index", "Biophilia index", None),
+]
+STATES = ["low", "mid", "high"]
+#: What kind of claim an attribute makes.
+LEVELS = ["proximal", "derived", "structural", "hypothesis"]
+
+
+def codebook(spark) -> DataFrame:
+    """(key, role, type, state) of the catalogue's indices and their bins: a row a state, null for numbers."""
+    rows = [(k, "index", "float", None) for k, _, _ in INDEX_CATALOG] + [(b, "bin", "category", s) for _, _, b in INDEX_CATALOG if b for s in STATES]
+    return spark.createDataFrame(rows, "key string, role string, type string, state string")
+
+
+def missing_indices(snapshots: DataFrame, codes: DataFrame) -> DataFrame:
+    """snapshots: item, key. Indices of the codebook that an item lacks."""
+    wanted = codes.where("role = 'index'").select("key").distinct()
+    return snapshots.select("item").distinct().join(F.broadcast(wanted)).join(snapshots.select("item", "key").distinct(), ["item", "key"], "left_anti")  # a short list of indices
+
+
+def at_level(values: DataFrame, level: str, source: str, confidence: float = 1.0) -> DataFrame:
+    """values: item, key, value. Rows of one level of claim; values that aren't finite are left out."""
+    if level not in LEVELS:
+        raise ValueError(f"no level {level}")
+    finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs(F.col("value")) != float("inf"))
+    return values.where(finite).select("item", "key", F.col("value").cast("double").alias("value"), F.lit(level).alias("level"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))

@@ -215,12 +215,12 @@ def k_window_energy(rgb: np.ndarray) -> dict[str, float]:
 KERNELS: dict[str, Callable[[np.ndarray], dict[str, float]]] = {"basic": k_basic, "colour": k_colour, "naturalness": k_naturalness, "frequency": k_frequency, "edges": k_edges, "symmetry": k_symmetry, "channels": k_channels, "patches": k_patches, "texture": k_texture, "openness": k_openness, "window": k_window_energy}
 
 
-def extract(images: DataFrame, kernels: list[str] | None = None) -> DataFrame:
+def extract(images: DataFrame, kernels: list[str] | dict[str, Callable[[np.ndarray], dict[str, float]]] | None = None) -> DataFrame:
     """images: the columns of Spark's image source (bytes in BGR order) and id. Rows (id, key, value, error): one pass, all kernels.
 
     A kernel that raises gives one row with its error; values that aren't finite are left out.
     """
-    chosen = {k: KERNELS[k] for k in kernels or KERNELS}
+    chosen = kernels if isinstance(kernels, dict) else {k: KERNELS[k] for k in kernels or KERNELS}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -116,3 +116,20 @@ def _(spark, d):
 
     i = V.images(spark, d).select(F.substring_index("kind", " ", 1).alias("kind"), "id")
     return first_per_group(i, "kind", ["id"], 8)
+
+
+@query("cmp07_codebook", "SELECT key, 'index' AS role, 'float' AS type, CAST(NULL AS VARCHAR) AS state FROM (VALUES ('science.visual_richness'), ('science.organized_complexity'), ('biophilia.index')) k(key) UNION ALL SELECT key, 'bin', 'category', state FROM (VALUES ('science.visual_richness_bin'), ('science.organized_complexity_bin')) k(key) CROSS JOIN (VALUES ('low'), ('mid'), ('high')) s(state)")
+def _(spark, d):
+    return P.codebook(spark)
+
+
+@query("cmp07_missing_indices", "+s AS (SELECT DISTINCT image_id AS item, CASE WHEN value >= 0.09 THEN 'biophilia.index' ELSE 'science.visual_richness' END AS key FROM validations) SELECT i.item, k.key FROM (SELECT DISTINCT item FROM s) i CROSS JOIN (VALUES ('science.visual_richness'), ('science.organized_complexity'), ('biophilia.index')) k(key) LEFT JOIN s ON s.item = i.item AND s.key = k.key WHERE s.key IS NULL")
+def _(spark, d):
+    s = V.validations(spark, d).select(F.col("image_id").alias("item"), F.when(F.col("value") >= 0.09, "biophilia.index").otherwise("science.visual_richness").alias("key"))
+    return P.missing_indices(s, P.codebook(spark))
+
+
+@query("add02_levels", "SELECT event_id AS item, event_type AS key, value, 'derived' AS level, 'rollup' AS source, 0.5 AS confidence FROM events WHERE event_id % 2 = 0 AND event_id % 3 > 0")
+def _(spark, d):
+    v = F.when(F.col("event_id") % 3 == 0, float("nan")).when(F.col("event_id") % 2 == 0, F.col("value"))
+    return P.at_level(V.table(spark, d, "events").select(F.col("event_id").alias("item"), F.col("event_type").alias("key"), v.alias("value")), "derived", "rollup", 0.5)

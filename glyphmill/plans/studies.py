@@ -74,3 +74,9 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n
 def _(spark, d):
     e = V.table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     return L.sessions(e).select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n")
+
+
+@query("stm05_role_limits", "SELECT event_id, CASE event_type WHEN 'click' THEN 1000 WHEN 'view' THEN 100 ELSE 30 END AS \"limit\" FROM events")
+def _(spark, d):
+    role = F.when(F.col("event_type") == "click", "Admin").when(F.col("event_type") == "view", "viewer").otherwise("guest")
+    return L.role_limits(V.table(spark, d, "events").select("event_id", role.alias("role"))).select("event_id", "limit")
