@@ -1,7 +1,8 @@
 """Language identification of whole texts: script ranges, per-word scores, and Viterbi over words.
 
 Training counts, for each language, the letters' scripts and the hashed character 1- to 4-grams of its words (boundaries
-included) in all training rows; the table of log-probabilities has a fixed number of buckets. A word's script leaves as
+included) in all training rows; the table of log-probabilities has a fixed number of buckets for each language, and is
+broadcast: 256 KB a language. A word's script leaves as
 candidates only the languages that use it; the word's score in each is the sum over its grams. Viterbi then labels a text's
 words with a penalty for each switch of language, which gives spans of mixed-language text; a document's language is the one
 with the most letters, and its score is that share.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .runtime import small_batches
 from .textbytes import BYTE_CODE, LOWER, byte_class, pieces, spans, utf8
 
-BITS, GRAMS, SMOOTH, SWITCH, LANE, MAX_LANGS = 16, (1, 2, 3, 4), 0.5, 8.0, 2048, 64
+BITS, GRAMS, SMOOTH, SWITCH, LANE = 16, (1, 2, 3, 4), 0.5, 8.0, 2048
 SCRIPT_SHARE = 0.001
 UND = "und"
 NONE = 1 << BITS
@@ -103,7 +104,8 @@ class Model:
 def viterbi(score: np.ndarray, first: np.ndarray, penalty: float, lane: int = LANE) -> np.ndarray:
     """The best language of each word of each row of words first[i] : first[i + 1]."""
     n_lang = score.shape[1]
-    label = np.zeros(len(score), np.int8)
+    kind = np.int8 if n_lang < 128 else np.int16
+    label = np.zeros(len(score), kind)
     n = np.diff(first)
     many = -(-n // lane)
     row = np.repeat(np.arange(len(n)), many)
@@ -122,18 +124,18 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float, lane: int = LA
         best -= penalty * (1 - np.eye(n_lang, dtype=np.float32))
         best[part == 0] = 0
     best += score[start][:, None, :]
-    back = [np.zeros(0, np.int8)]
-    states = np.arange(n_lang, dtype=np.int8)
+    back = [np.zeros(0, kind)]
+    states = np.arange(n_lang, dtype=kind)
     for t in range(1, int(size[0])):
         m = alive[t]
         b = best[:m]
-        top = b.argmax(axis=2).astype(np.int8)
+        top = b.argmax(axis=2).astype(kind)
         jump = np.take_along_axis(b, top[:, :, None].astype(np.int64), 2) - penalty
         stay = b >= jump
         back.append(np.where(stay, states, top[:, :, None]))
         best[:m] = np.where(stay, b, jump) + score[start[:m] + t][:, None, :]
     # join lanes of a row: the best state at each lane's end, from the last lane backwards
-    final, entry = np.zeros(len(row), np.int8), np.zeros(len(row), np.int8)
+    final, entry = np.zeros(len(row), kind), np.zeros(len(row), kind)
     at = np.empty(len(row), np.int64)
     at[order] = np.arange(len(row))  # lanes in row order
     single = many[row] == 1
@@ -191,8 +193,6 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     langs = sorted(got["lang"].unique())
     if not langs:
         return None
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; the model is built for {MAX_LANGS}")
     n = np.zeros((len(langs), (1 << BITS) + len(SCRIPTS)))
     n[[langs.index(x) for x in got["lang"]], got["at"].to_numpy(np.int64)] = got["n"]
     grams, script = n[:, : 1 << BITS], n[:, 1 << BITS :]

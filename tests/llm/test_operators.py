@@ -294,6 +294,15 @@ def test_viterbi_is_exact():
                     assert abs(s[np.arange(a, b), own].sum() - 3 * (own[1:] != own[:-1]).sum() - best.max()) < 1e-3
 
 
+def test_viterbi_of_many_languages():
+    from glyphmill.llm.langid import viterbi
+
+    s = np.full((40, 300), -5, np.float32)
+    s[np.arange(40), [299] * 20 + [130] * 20] = 5
+    for lane in (7, 2048):
+        assert viterbi(s, np.array([0, 40]), 3.0, lane).tolist() == [299] * 20 + [130] * 20
+
+
 def test_language_id(spark):
     from glyphmill.llm.langid import identify, learn
 
