@@ -160,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         # bucket -1 counts the rows
         yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1)), *(pa.array(np.append(n[k][full], rows[k])) for k in (0, 1))], names=["bucket", "n0", "n1"])
 
-    seen = read.join(known, "id").select("label", "text").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas().set_index("bucket")
+    # both sides are dealt by id at any size: a plan that changed with the number of labels would make growth hard to foresee
+    seen = read.join(known.hint("merge"), "id").select("label", "text").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas().set_index("bucket")
     rows = seen.loc[-1] if -1 in seen.index else None
     if rows is None or not rows["n0"] or not rows["n1"]:
         return None
