@@ -1,7 +1,7 @@
 """Streaming forms of the ledger, dashboards, run lifecycle, rate limiting and incremental dedup.
 
-Each takes and returns a streaming DataFrame (batch ones work too, where nothing is stateful). State is bounded by watermarks
-or timers; the caller picks sink, trigger and checkpoint location.
+Each takes and returns a streaming DataFrame (batch ones work too, where nothing is stateful). Windows are bounded by
+watermarks; the state of runs and keys has a row for each of them. The caller picks sink, trigger and checkpoint location.
 """
 
 from __future__ import annotations
@@ -47,17 +47,12 @@ def job_status(items: DataFrame) -> DataFrame:
 TRANSITIONS = {("PENDING", "start"): "RUNNING", ("RUNNING", "complete"): "COMPLETED", ("RUNNING", "fail"): "FAILED", ("PENDING", "fail"): "FAILED", ("FAILED", "retry"): "PENDING", ("STALE", "retry"): "PENDING", ("COMPLETED", "expire"): "STALE"}
 
 
-def run_lifecycle(events: DataFrame, forget: str = "7 days") -> DataFrame:
+def run_lifecycle(events: DataFrame) -> DataFrame:
     """events: run_id, event, at. The status of each run after each batch of its events, in order of time.
 
-    A run without events for `forget` (of processing time) is dropped from the state; one that comes later starts as PENDING.
+    The state has a row for every run that has had an event.
     """
-    idle = int(pd.Timedelta(forget).total_seconds() * 1000)
-
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         status, n = state.get if state.exists else ("PENDING", 0)
         rows = pd.concat(batches).sort_values("at", kind="stable")
         for e in rows.event:
@@ -65,10 +60,9 @@ def run_lifecycle(events: DataFrame, forget: str = "7 days") -> DataFrame:
             n += new is None
             status = new or status
         state.update((status, n))
-        state.setTimeoutDuration(idle)
         yield pd.DataFrame({"run_id": [key[0]], "status": [status], "refused": [n]})
 
-    return events.groupBy("run_id").applyInPandasWithState(step, "run_id long, status string, refused long", "status string, refused long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("run_id").applyInPandasWithState(step, "run_id long, status string, refused long", "status string, refused long", "update", GroupStateTimeout.NoTimeout)
 
 
 def allow(hits: list[float], seen: list[float], limit: int, seconds: float) -> tuple[list[bool], list[float], list[float]]:
@@ -97,17 +91,14 @@ def role_limits(requests: DataFrame) -> DataFrame:
 def rate_limit(requests: DataFrame, limit: int | str, seconds: float) -> DataFrame:
     """requests: key, id, at (seconds). Sliding-window limiter: whether each is allowed, and for how long to wait.
 
-    limit: a number, or the column that holds it (of a key's first request in a batch). A key without requests for two windows (of processing time) is dropped from the state.
+    limit: a number, or the column that holds it (of a key's first request in a batch). The
+    state has a row for every key, of at most `limit` times.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat(batches).sort_values(["at", "id"], kind="stable")
         ok, wait, seen = allow(rows["at"].tolist(), list(state.get[0]) if state.exists else [], limit if isinstance(limit, int) else int(rows[limit].iloc[0]), seconds)
         state.update((seen,))
-        state.setTimeoutDuration(max(1, int(2000 * seconds)))
         yield pd.DataFrame({"key": key[0], "id": rows["id"].to_numpy(), "allowed": ok, "retry_after": wait})
 
-    return requests.groupBy("key").applyInPandasWithState(step, "key string, id long, allowed boolean, retry_after double", "seen array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("key").applyInPandasWithState(step, "key string, id long, allowed boolean, retry_after double", "seen array<double>", "append", GroupStateTimeout.NoTimeout)
