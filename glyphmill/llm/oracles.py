@@ -47,3 +47,26 @@ SELECT e.vec_id, (SELECT count(*) FROM link WHERE link.a = e.vec_id) AS n_links,
 FROM embeddings e JOIN (SELECT a AS vec_id, CAST(min(b) AS BIGINT) AS component_id FROM reach GROUP BY a) c USING (vec_id)
 """,
 }
+
+
+def _codes(rounds: int = 6) -> str:
+    """SQL for op12: a table of codebooks and one of assignments for each round."""
+    near = """a{k} AS MATERIALIZED (SELECT vec_id, part, min(struct_pack(d := d, e := entry)) AS best FROM (
+    SELECT v.vec_id, v.part, b.entry, CAST(sum((v.x - b.x) * (v.x - b.x)) AS BIGINT) AS d FROM v JOIN b{k} b USING (part, pos) GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+    step = """b{n} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce(s.x, b.x) AS x FROM b{k} b LEFT JOIN (
+    SELECT v.part, a.best.e AS entry, v.pos, CAST(floor(CAST(sum(v.x) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM v JOIN a{k} a USING (vec_id, part) GROUP BY 1, 2, 3) s USING (part, entry, pos))"""
+    middle = ",\n".join(near.format(k=k) + ",\n" + step.format(k=k, n=k + 1) for k in range(rounds))
+    return f"""
+WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, (i - 1) // (len(e) // 8) AS part, (i - 1) % (len(e) // 8) AS pos, CAST(floor(4096 * e[i]) AS BIGINT) AS x FROM (SELECT vec_id, e, unnest(range(1, len(e) + 1)) AS i FROM u)),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM u ORDER BY vec_id LIMIT 16),
+b0 AS MATERIALIZED (SELECT part, entry, pos, x FROM v JOIN s USING (vec_id)),
+{middle},
+{near.format(k=rounds)},
+c AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY 1),
+k AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN u USING (vec_id), k
+"""
+
+
+ORACLES["op12_vector_codes"] = _codes()

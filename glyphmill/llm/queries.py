@@ -19,6 +19,7 @@ from .suffixes import remove_repeats
 from .tokenfiles import read_token_files, token_digests, write_token_files
 from .toxicity import fit, score_toxicity
 from .urlfilter import filter_urls
+from .vectorcodes import vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,4 +86,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_packing, op4_chat_format, op5_token_files, op6_language_id, op7_url_filter, op8_embedding_dedup, op9_simhash, op10_toxicity)}
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_packing, op4_chat_format, op5_token_files, op6_language_id, op7_url_filter, op8_embedding_dedup, op9_simhash, op10_toxicity, op12_vector_codes)}
