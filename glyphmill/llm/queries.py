@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat import conversation_digests, format_chat
 from .decontaminate import contamination
 from .embeddings import embedding_dedup
+from .hardnegatives import hard_negatives
 from .langid import FOLD, FOLDS, identify, learn
 from .packing import pack_documents
 from .runtime import remove, shared_path
@@ -91,4 +92,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_packing, op4_chat_format, op5_token_files, op6_language_id, op7_url_filter, op8_embedding_dedup, op9_simhash, op10_toxicity, op12_vector_codes)}
+#: Fixed by the contract of op13: anchors, and rows whose label becomes the next of LABELS.
+ANCHORS, MOVED, LABELS = 50, 7, 10
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % MOVED == 0, (F.col("label") + 1) % LABELS).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("vec_id") % ANCHORS == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_packing, op4_chat_format, op5_token_files, op6_language_id, op7_url_filter, op8_embedding_dedup, op9_simhash, op10_toxicity, op12_vector_codes, op13_hard_negatives)}

@@ -124,3 +124,86 @@ def test_limbs_add_up():
 
     for x in (np.array([[0, -1, 5, 1 << 40, -(1 << 61)]]), np.array([[3, -(1 << 900), (1 << 70) + 1]], object)):
         assert [sum(int(d[0, k]) << (20 * at) for at, d in limbs(x)) for k in range(x.shape[1])] == [int(v) for v in x[0]]
+
+
+# --- op13
+
+
+def brute_negatives(rows, every=10, positives=5, negatives=3, low=50, high=95, scale=256):
+    """(anchor, positive, rank, negative, positive score, negative score); rows are told apart by their place."""
+    held = []
+    for k, (i, v, label) in enumerate(rows):
+        if label is not None and ok(v) and all(math.isfinite(x * scale) for x in v):
+            held.append((k, i, [math.floor(Fraction(x) * scale) for x in v], label))
+    end = (1 << 63) - 1
+    key = lambda r: (-r[0], r[1] is None, r[1] or 0)
+    out = []
+    for k, i, v, label in held:
+        if i is None or i % every:
+            continue
+        scored = [(max(min(sum(a * b for a, b in zip(v, w, strict=True)), end), -end), j, other) for m, j, w, other in held if m != k and len(w) == len(v)]
+        for ps, p, _ in sorted((s for s in scored if s[2] == label), key=key)[:positives]:
+            bad = sorted((s for s in scored if s[2] != label and low * ps <= 100 * s[0] <= high * ps), key=key)[:negatives]
+            out += [(i, p, at, j, ps, ns) for at, (ns, j, _) in enumerate(bad, 1)]
+    return sorted(map(str, out))
+
+
+def mined(df, every=10, **more):
+    from glyphmill.llm.hardnegatives import hard_negatives
+
+    return sorted(str(tuple(r)) for r in hard_negatives(df, F.col("vec_id") % every == 0, **more).collect())
+
+
+def of_many_norms(n=400, dim=6):
+    rng = random.Random(8)
+    rows = [(i, [round(rng.gauss(0, 1), 1) * 10 ** rng.choice([-1, 0, 0, 1]) for _ in range(dim)], 1 if i % 3 else rng.choice([0, 2, None])) for i in range(n)]
+    return [*rows, rows[20], rows[20], rows[21], (None, rows[22][1], 1), (None, rows[23][1], 0), *((n + i, rows[40][1], i % 3) for i in range(30))]
+
+
+@pytest.mark.parametrize(("rows", "most", "bucket"), [(vectors(), 1024, 1024), (of_many_norms(), 1024, 1024), (of_many_norms(), 60, 7), (of_many_norms(), 13, 1), ([*vectors(40), *((3000 + 10 * i, [float(i)] * 3, i % 2) for i in range(9)), (4000, [], 1), (4001, [], 1), (4002, [], 2)], 10, 4)])
+def test_negatives(spark, monkeypatch, rows, most, bucket):
+    from glyphmill.llm import hardnegatives as h
+
+    monkeypatch.setattr(h, "LEAST_SLICE", min(most, 1024))
+    monkeypatch.setattr(h, "SLICE", most)
+    monkeypatch.setattr(h, "BUCKET", bucket)
+    want = brute_negatives(rows)
+    assert want
+    assert mined(spark.createDataFrame(rows, VECS).repartition(3)) == want
+
+
+def test_negatives_of_huge_components(spark):
+    rows = [(i, [x * 10.0 ** ((i % 7) * 3) for x in v], label) for i, v, label in of_many_norms(120) if i is not None]
+    rows += [(500, [1e307] * 6, 1), (510, [1e150] * 6, 1), (520, [1e160, -1e160, 0.0, 0.0, 0.0, 0.0], 0), (530, [1e160] * 6, 2)]
+    want = brute_negatives(rows)
+    assert any(str((1 << 63) - 1) in r for r in want)
+    assert mined(spark.createDataFrame(rows, VECS)) == want
+
+
+def test_negatives_of_nothing_and_of_clashing_columns(spark):
+    df = spark.createDataFrame(of_many_norms(100), VECS)
+    assert mined(df.limit(0)) == [] and mined(df.where("label = 1")) == [] and mined(df, every=100_000_000_000) == brute_negatives(of_many_norms(100), 100_000_000_000)
+    more = df.withColumn("uid", F.lit(1)).withColumn("slice", F.lit("x")).withColumn("norm", F.lit(0)).withColumn("id", F.lit(None))
+    assert mined(more) == brute_negatives(of_many_norms(100))
+    assert mined(df, positives=2, negatives=7, low=-300, high=300) == brute_negatives(of_many_norms(100), positives=2, negatives=7, low=-300, high=300)
+    with pytest.raises(ValueError, match="at least 1"):
+        mined(df, positives=0)
+
+
+def test_short_vectors_are_not_compared(monkeypatch):
+    """A bucket whose norms can't reach the limits or the running best is skipped."""
+    from glyphmill.llm import hardnegatives as h
+
+    met = []
+    plain = h.products
+    monkeypatch.setattr(h, "products", lambda a, b, exact: (met.append(len(b)), plain(a, b, exact))[1])
+    norm = np.sort(np.repeat(np.arange(1.0, 101.0), 10))[::-1]
+    vec = np.stack([norm, np.zeros(1000)], axis=1)
+    starts = np.arange(0, 1001, 10)
+    held = h.Held(np.arange(1000), np.arange(1000), np.zeros(1000, bool), np.zeros(1000, object), np.full(1000, 2), norm, [vec[i : i + 10] for i in starts[:-1]], starts)
+    one = lambda low, high, k: h.search(held, np.array([5000]), np.array([1], object), 2, np.array([2.0]), np.array([[2.0, 0.0]]), np.array([[low]]), np.array([[high]]), k, False)[2].tolist()
+    assert one(-1, 1 << 40, 3) == [200, 200, 200] and len(met) <= 2
+    met.clear()
+    assert one(190, 196, 3) == [196, 196, 196] and len(met) <= 5
+    met.clear()
+    assert one(300, 400, 3) == [] and not met
