@@ -187,7 +187,7 @@ def extract_main_text(pages: DataFrame, model: TreeModel, html_col: str = "html"
     keep = [c for c in pages.columns if c != html_col] if keep is None else keep
     if "text" in keep:
         raise ValueError("the input has a column named text, as the result")
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared, names = pages.sparkSession.sparkContext.broadcast(model), [*(f"c{i}" for i in range(len(keep))), "text"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -199,13 +199,14 @@ def extract_main_text(pages: DataFrame, model: TreeModel, html_col: str = "html"
                 while hi < n and (not sources or total < _PIECE):
                     sources.append(batch.column(len(keep))[hi].as_py() or "")
                     total, hi = total + len(sources[-1]), hi + 1
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(keep))), pa.array(main_texts(sources, own), pa.string())], names=[*keep, "text"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(keep))), pa.array(main_texts(sources, own), pa.string())], names=names)
                 if not n:
                     break
                 lo = hi
 
-    fields = [*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep), "text string"]
-    return pages.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{html_col}`").alias("__html")).mapInArrow(kernel, ", ".join(fields))
+    fields = [*(f"{n} {pages.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=False)), "text string"]
+    rows = pages.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=False)), F.col(f"`{html_col}`").alias("html"))
+    return rows.mapInArrow(kernel, ", ".join(fields)).toDF(*keep, "text")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
