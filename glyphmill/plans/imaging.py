@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import edges as E
+from ..operators import masks as M
 from ..operators import regions as R
 from ..operators import walls as L
 from . import views as V
@@ -85,3 +86,57 @@ def _(spark, d):
     columns = L.corner_columns(E.edge_pixels(grids(spark, d), "image_id", "g", WIDTH), "image_id", WIDTH, 8)
     found = L.walls(rooms(spark, d), "image_id", WIDTH, columns, area=AREA)
     return found.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes))
+
+
+MASKS = 6
+
+
+def soft_masks(spark, d):
+    """Six masks of each image, each its values moved on by 11 pixels: image_id, mask, score, x, y, value."""
+    own = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    each = own.select("image_id", "e", F.explode(F.sequence(F.lit(0), F.lit(MASKS - 1))).alias("mask"))
+    scored = each.select("image_id", "mask", F.least(F.greatest(0.5 + 2 * F.get("e", F.col("mask")), F.lit(0.0)), F.lit(1.0)).alias("score"), F.transform("e", lambda v, i: F.least(F.greatest(2 * F.get("e", F.pmod(i + 11 * F.col("mask"), F.size("e"))), F.lit(0.0)), F.lit(1.0))).alias("m"))
+    at = scored.select("image_id", "mask", "score", F.posexplode("m").alias("pos", "value"))
+    return at.select("image_id", "mask", "score", (F.col("pos") % 8).alias("x"), F.floor(F.col("pos") / 8).cast("int").alias("y"), "value")
+
+
+def solid(masks):
+    return M.widened(masks.where(F.col("value") > M.SOLID).select("image_id", "mask", "x", "y"), 8, 8)
+
+
+# an 8 x 8 mask is one number of 64 bits
+_MASKS = """o AS (SELECT vec_id AS image_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e, unnest(range(6)) AS mask FROM embeddings),
+v AS MATERIALIZED (SELECT image_id, mask, least(greatest(0.5 + 2 * e[mask + 1], 0), 1) AS score, pos, least(greatest(2 * e[(pos + 11 * mask) % 64 + 1], 0), 1) AS value FROM (SELECT *, unnest(range(64)) AS pos FROM o)),
+h AS (SELECT DISTINCT image_id, mask, (pos // 8 + dy) * 8 + pos % 8 + dx AS pos FROM v, (SELECT unnest(range(-2, 3)) AS dx) a, (SELECT unnest(range(-2, 3)) AS dy) b WHERE value > 0.5 AND pos // 8 + dy BETWEEN 0 AND 7 AND pos % 8 + dx BETWEEN 0 AND 7),
+b AS MATERIALIZED (SELECT image_id, mask, bit_or(CAST(1 AS UBIGINT) << CAST(pos AS INTEGER)) AS bits FROM h GROUP BY 1, 2)"""
+
+
+@query("cmp06_overlaps", f"+{_MASKS} SELECT a.image_id, CAST(a.mask AS INTEGER) AS a, CAST(b.mask AS INTEGER) AS b, CAST(bit_count(a.bits & b.bits) AS BIGINT) AS shared, round(bit_count(a.bits & b.bits) / bit_count(a.bits | b.bits), 9) AS overlap FROM b a JOIN b ON a.image_id = b.image_id AND a.mask < b.mask AND (a.bits & b.bits) <> 0")
+def _(spark, d):
+    return M.overlaps(solid(soft_masks(spark, d))).withColumn("overlap", F.round("overlap", 9))
+
+
+# pairs of masks are met in order, one a step; taken: masks that are no longer left; root: of each so far
+_MERGED = f"""{_MASKS}, r AS (SELECT image_id, max(score) FILTER (mask = 0) AS _s, {", ".join(f"coalesce(any_value(bits) FILTER (mask = {k}), 0) AS m{k}" for k in range(6))} FROM b JOIN (SELECT DISTINCT image_id, mask, score FROM v) USING (image_id, mask) GROUP BY 1),
+g AS (SELECT image_id, [m0, m1, m2, m3, m4, m5] AS m, -1 AS step, CAST(0 AS UBIGINT) AS cur, false AS on_, list_transform([m0, m1, m2, m3, m4, m5], lambda x: CASE WHEN x = 0 THEN -2 ELSE -1 END) AS root FROM r
+    UNION ALL SELECT image_id, m, step + 1, CASE WHEN i = j THEN m[i + 1] WHEN takes THEN cur | m[j + 1] ELSE cur END, CASE WHEN i = j THEN root[i + 1] = -1 ELSE on_ END, CASE WHEN (i = j AND root[i + 1] = -1) OR takes THEN list_transform(root, lambda x, k: CASE WHEN k = j + 1 THEN i ELSE x END) ELSE root END
+    FROM (SELECT *, (step + 1) // 6 AS i, (step + 1) % 6 AS j, on_ AND (step + 1) % 6 > (step + 1) // 6 AND root[(step + 1) % 6 + 1] = -1 AND bit_count(cur & m[(step + 1) % 6 + 1]) > 0.3 * bit_count(cur | m[(step + 1) % 6 + 1]) AS takes FROM g WHERE step < 35)),
+roots AS (SELECT image_id, CAST(mask AS INTEGER) AS mask, CAST(root[mask + 1] AS INTEGER) AS root FROM (SELECT image_id, root, unnest(range(6)) AS mask FROM g WHERE step = 35) WHERE root[mask + 1] >= 0)"""
+
+
+@query("cmp06_merged_masks", f"+{_MERGED} SELECT * FROM roots")
+def _(spark, d):
+    return M.merged(solid(soft_masks(spark, d)))
+
+
+@query("cmp06_plant_presence", f"""+{_MERGED}, n AS (SELECT image_id, count(DISTINCT root) AS groups FROM roots GROUP BY 1),
+k AS (SELECT image_id, mask, any_value(score) AS score, sum(value) AS area, row_number() OVER (PARTITION BY image_id ORDER BY mask) AS pos FROM v JOIN (SELECT DISTINCT image_id, mask FROM b) USING (image_id, mask) GROUP BY 1, 2),
+s AS (SELECT image_id, score, row_number() OVER (PARTITION BY image_id ORDER BY mask) AS pos FROM k JOIN n USING (image_id) WHERE pos <= groups AND score >= 0.5),
+w AS (SELECT image_id, sum(area * s.score) AS weight, avg(s.score) AS mean FROM k JOIN s USING (image_id, pos) GROUP BY 1)
+SELECT e.vec_id AS image_id, round(coalesce(least(greatest(weight / 64, 0), 1), 0), 6) AS presence, round(coalesce(1 - mean, 1), 6) AS uncertainty, coalesce(groups, 0) AS groups FROM embeddings e LEFT JOIN n ON n.image_id = e.vec_id LEFT JOIN w ON w.image_id = e.vec_id""")
+def _(spark, d):
+    soft = soft_masks(spark, d)
+    own = soft.groupBy("image_id", "mask").agg(F.first("score").alias("score"), F.sum("value").alias("area"), F.max("value").alias("most")).where(F.col("most") > M.SOLID)
+    images = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.size("embedding").alias("size"))
+    found = M.presence(images, own, M.merged(solid(soft)))
+    return found.select("image_id", F.round("presence", 6).alias("presence"), F.round("uncertainty", 6).alias("uncertainty"), "groups")

@@ -246,3 +246,55 @@ def test_queries_agree(spark):
     ids = {r["image_id"] for r in rows}
     got = sorted(tuple(r) for r in QUERIES["mod09_walls"](spark, d).where(F.col("image_id").isin(*ids)).collect())
     assert got == want
+
+
+def brute_merge(masks, thresh=0.3):
+    """root of each mask, in order"""
+    root = {}
+    for i in sorted(masks):
+        if i in root:
+            continue
+        root[i], cur = i, set(masks[i])
+        for j in sorted(masks):
+            if j > i and j not in root and len(cur & masks[j]) / len(cur | masks[j]) > thresh:
+                cur |= masks[j]
+                root[j] = i
+    return root
+
+
+def test_merged_masks(spark):
+    """200 masks in 20 images, with chains that only merge because of what was merged before; repeated masks and pixels."""
+    from glyphmill.operators.masks import merged, overlaps, widened
+
+    rng = random.Random(6)
+    masks = {}
+    for image in range(20):
+        for k in range(10):
+            x, y, w, h = rng.randint(0, 14), rng.randint(0, 10), rng.randint(2, 9), rng.randint(2, 6)
+            masks.setdefault(image, {})[k * 3 + rng.randint(0, 2)] = {(a, b) for a in range(x, x + w) for b in range(y, y + h)}
+        masks[image][40] = set(masks[image][min(masks[image])])
+    masks[99] = {5: {(0, 0)}}
+    masks[100] = {k: {(a, 0) for a in range(2 * k, 2 * k + 4)} for k in range(6)}
+    rows = [(i, m, *c) for i, own in masks.items() for m, cells in own.items() for c in cells]
+    df = spark.createDataFrame(rows + rows[:30], "image_id int, mask int, x int, y int")
+    want = {(i, m): r for i, own in masks.items() for m, r in brute_merge(own).items()}
+    assert {(r["image_id"], r["mask"]): r["root"] for r in merged(df).collect()} == want and len(set(want.values())) > 10
+    pairs = {(i, a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for i, own in masks.items() for a in own for b in own if a < b and own[a] & own[b]}
+    assert {(r["image_id"], r["a"], r["b"]): r["overlap"] for r in overlaps(df.distinct()).collect()} == pytest.approx(pairs)
+    wide = {(r["x"], r["y"]) for r in widened(spark.createDataFrame([(1, 1, 0, 0), (1, 1, 3, 2)], df.schema), 5, 4).collect()}
+    assert wide == {(x, y) for x in range(5) for y in range(4) if max(x, y) <= 2 or (abs(x - 3) <= 2 and abs(y - 2) <= 2)}
+    assert merged(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="below 0"):
+        merged(df, -0.1)
+
+
+def test_presence(spark):
+    """Scores go to groups, and areas to scores, by place, whatever was merged."""
+    from glyphmill.operators.masks import presence
+
+    images = spark.createDataFrame([(1, 100), (2, 100), (3, 4)], "image_id int, size int")
+    masks = spark.createDataFrame([(1, 0, 0.4, 10.0), (1, 1, 0.9, 20.0), (1, 2, 0.8, 30.0), (2, 0, 0.3, 5.0), (3, 7, 1.0, 50.0)], "image_id int, mask int, score double, area double")
+    roots = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (1, 2, 2), (2, 0, 0), (3, 7, 7)], "image_id int, mask int, root int")
+    got = {r[0]: tuple(r)[1:] for r in presence(images, masks, roots).collect()}
+    # of two groups the scores are 0.4 and 0.9; 0.9 stays, and weighs the first area
+    assert got[1] == (pytest.approx(0.09), pytest.approx(0.1), 2) and got[2] == (0.0, 1.0, 1) and got[3] == (1.0, 0.0, 1)
