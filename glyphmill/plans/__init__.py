@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("annotation", "circular", "scalars", "registry", "spatial", "studies", "pipeline", "governance", "rooms", "shaping", "refuge", "imaging", "mirrors")
+MODULES = ("annotation", "circular", "scalars", "registry", "spatial", "studies", "pipeline", "governance", "rooms", "shaping", "refuge", "imaging", "mirrors", "windows")
 
 
 def load() -> None:
