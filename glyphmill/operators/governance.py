@@ -103,7 +103,7 @@ def audit_rows(changes: DataFrame, action: str, user: Column, kind: str, target:
 
 def contract(tags: DataFrame, consumer: str) -> DataFrame:
     """The columns of the registry that a consumer is promised."""
-    if consumer == "image_tagger":
+    if consumer == "annotator":
         return tags.select("tag_id", "value_type", F.struct("from_2d").alias("extractability"))
     if consumer == "article_eater":
         # without search terms the name is searched for

@@ -95,9 +95,9 @@ def _(spark, d):
     return G.audit_rows(gone, "api_key_expired", F.lit("maintenance"), "api_key", F.col("id"), _now(), ["role"]).drop("created_at")
 
 
-@query("reg13_contract_image_tagger", f"+{_REG} SELECT tag_id, value_type, from_2d FROM reg")
+@query("reg13_contract_annotator", f"+{_REG} SELECT tag_id, value_type, from_2d FROM reg")
 def _(spark, d):
-    return G.contract(registry(spark, d), "image_tagger").select("tag_id", "value_type", "extractability.from_2d")
+    return G.contract(registry(spark, d), "annotator").select("tag_id", "value_type", "extractability.from_2d")
 
 
 @query("reg13_contract_article_eater", f"+{_REG} SELECT tag_id, status, CASE WHEN canonical_name <> '' THEN [canonical_name] ELSE [] END AS search_terms, aliases FROM reg")

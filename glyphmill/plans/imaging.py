@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import edges as E
+from ..operators import fractal as A
 from ..operators import masks as M
 from ..operators import regions as R
 from ..operators import walls as L
@@ -140,3 +141,19 @@ def _(spark, d):
     images = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.size("embedding").alias("size"))
     found = M.presence(images, own, M.merged(solid(soft)))
     return found.select("image_id", F.round("presence", 6).alias("presence"), F.round("uncertainty", 6).alias("uncertainty"), "groups")
+
+
+def tiled(spark, d):
+    """Images of 16 x 16, of four embeddings each: image_id, x, y, edge."""
+    p = V.pixels(spark, d)
+    return p.select(F.floor(F.col("image_id") / 4).alias("image_id"), (F.col("x") + 8 * (F.col("image_id") % 2)).cast("int").alias("x"), (F.col("y") + 8 * F.floor(F.col("image_id") / 2 % 2)).cast("int").alias("y"), (F.col("grey") > 148).cast("int").alias("edge"))
+
+
+@query("mod10_dimension_map", """+t AS MATERIALIZED (SELECT image_id // 4 AS image_id, x + 8 * (image_id % 2) AS x, y + 8 * (image_id // 2 % 2) AS y, grey > 148 AS edge FROM pixels),
+o AS (SELECT i.image_id, ox, oy FROM (SELECT image_id, max(x) AS w, max(y) AS h FROM t GROUP BY 1) i, (SELECT unnest([0, 2, 4, 6, 8]) AS ox) a, (SELECT unnest([0, 2, 4, 6, 8]) AS oy) b WHERE ox + 7 <= w AND oy + 7 <= h),
+c AS (SELECT o.image_id, ox, oy, s, count(DISTINCT CASE WHEN edge THEN (x - ox) // s * 16 + (y - oy) // s END) AS boxes, count(*) FILTER (edge) AS edges FROM o JOIN t ON t.image_id = o.image_id AND x BETWEEN ox AND ox + 7 AND y BETWEEN oy AND oy + 7, (SELECT unnest([4, 8]) AS s) z GROUP BY 1, 2, 3, 4),
+f AS (SELECT image_id, ox, oy, -regr_slope(ln(boxes + 1e-10), ln(s)) AS dimension, min(edges) AS edges FROM c GROUP BY 1, 2, 3)
+SELECT image_id, CAST(ox AS INTEGER) AS x, CAST(oy AS INTEGER) AS y, round(dimension, 6) AS dimension FROM f WHERE edges >= 0.64 AND dimension > 0.5 AND dimension < 2.5""")
+def _(spark, d):
+    found = A.dimension_map(tiled(spark, d), "image_id", window=8, stride=2)
+    return found.select("image_id", "x", "y", F.round("dimension", 6).alias("dimension"))

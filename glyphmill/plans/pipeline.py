@@ -38,11 +38,11 @@ def _(spark, d):
     return out.select("image_id", r.alias("richness"), F.when(r.isNotNull(), S.index_bin(r)).alias("richness_bin"))
 
 
-@query("dml04_request_runs", "+w AS (SELECT DISTINCT p_partkey AS image_id FROM part WHERE p_partkey % 2 = 0), e AS (SELECT c_custkey AS image_id, CASE c_custkey % 4 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'COMPLETED' WHEN 2 THEN 'RUNNING' ELSE 'STALE' END AS old FROM customer) SELECT image_id, CASE WHEN w.image_id IS NOT NULL AND (old IS NULL OR old IN ('FAILED', 'STALE')) THEN 'PENDING' ELSE old END AS status, w.image_id IS NOT NULL AND (old IS NULL OR old IN ('FAILED', 'STALE')) AS queued FROM w FULL JOIN e USING (image_id)")
+@query("dml04_request_runs", "+w AS (SELECT DISTINCT p_partkey * 2 AS image_id FROM part), e AS (SELECT c_custkey AS image_id, CASE c_custkey % 4 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'COMPLETED' WHEN 2 THEN 'RUNNING' ELSE 'STALE' END AS old FROM customer) SELECT image_id, CASE WHEN w.image_id IS NOT NULL AND (old IS NULL OR old IN ('FAILED', 'STALE')) THEN 'PENDING' ELSE old END AS status, w.image_id IS NOT NULL AND (old IS NULL OR old IN ('FAILED', 'STALE')) AS queued FROM w FULL JOIN e USING (image_id)")
 def _(spark, d):
     k = F.col("c_custkey") % 4
     e = V.table(spark, d, "customer").select(F.col("c_custkey").alias("image_id"), F.when(k == 0, "FAILED").when(k == 1, "COMPLETED").when(k == 2, "RUNNING").otherwise("STALE").alias("status"))
-    return P.request_runs(V.table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("image_id")), e, ["image_id"])
+    return P.request_runs(V.table(spark, d, "part").select((F.col("p_partkey") * 2).alias("image_id")), e, ["image_id"])
 
 
 @query("agg40_progress", "+c AS (SELECT count(*) AS total, count(*) FILTER (status = 'COMPLETED') AS done, CAST(date_diff('second', min(queued_at), TIMESTAMP '2030-01-01') AS BIGINT) AS elapsed_s FROM runs) SELECT total, done, elapsed_s, round(done / elapsed_s, 9) AS per_s, round((total - done) / (done / elapsed_s), 2) AS eta_s FROM c")
@@ -79,9 +79,9 @@ def _(spark, d):
     return t.groupBy("domain").agg(F.count("*").alias("n")).join(few, "domain")
 
 
-@query("set08_contract_coverage", f"+{_REG}, u AS (SELECT DISTINCT 'env.part.t' || l_partkey AS tag_id FROM lineitem WHERE l_partkey % 3 = 0), a AS (SELECT tag_id FROM reg WHERE status = 'active') SELECT 'unused' AS kind, count(*) AS n FROM a WHERE tag_id NOT IN (SELECT tag_id FROM u) UNION ALL SELECT 'violation', count(*) FROM u WHERE tag_id NOT IN (SELECT tag_id FROM a)")
+@query("set08_contract_coverage", f"+{_REG}, u AS (SELECT DISTINCT 'env.part.t' || l_partkey * 3 AS tag_id FROM lineitem), a AS (SELECT tag_id FROM reg WHERE status = 'active') SELECT 'unused' AS kind, count(*) AS n FROM a WHERE tag_id NOT IN (SELECT tag_id FROM u) UNION ALL SELECT 'violation', count(*) FROM u WHERE tag_id NOT IN (SELECT tag_id FROM a)")
 def _(spark, d):
-    used = V.table(spark, d, "lineitem").where("l_partkey % 3 = 0").select(F.concat(F.lit("env.part.t"), F.col("l_partkey").cast("string")).alias("tag_id")).distinct()
+    used = V.table(spark, d, "lineitem").select(F.concat(F.lit("env.part.t"), (F.col("l_partkey") * 3).cast("string")).alias("tag_id")).distinct()
     allowed = registry(spark, d).where("status = 'active'").select("tag_id")
     return allowed.join(used, "tag_id", "left_anti").agg(F.lit("unused").alias("kind"), F.count("*").alias("n")).union(used.join(allowed, "tag_id", "left_anti").agg(F.lit("violation").alias("kind"), F.count("*").alias("n")))
 

@@ -298,3 +298,39 @@ def test_presence(spark):
     got = {r[0]: tuple(r)[1:] for r in presence(images, masks, roots).collect()}
     # of two groups the scores are 0.4 and 0.9; 0.9 stays, and weighs the first area
     assert got[1] == (pytest.approx(0.09), pytest.approx(0.1), 2) and got[2] == (0.0, 1.0, 1) and got[3] == (1.0, 0.0, 1)
+
+
+def brute_dimensions(edge, w, h, win, stride):
+    out, sizes = {}, [2**k for k in range(win.bit_length() - 1, 1, -1)]
+    for oy in range(0, h - win + 1, stride):
+        for ox in range(0, w - win + 1, stride):
+            own = [(x, y) for x in range(win) for y in range(win) if edge[ox + x, oy + y]]
+            if len(own) < 0.01 * win * win:
+                continue
+            a, b = [math.log(s) for s in sizes], [math.log(len({(x // s, y // s) for x, y in own}) + 1e-10) for s in sizes]
+            ma, mb = sum(a) / len(a), sum(b) / len(b)
+            slope = sum((p - ma) * (q - mb) for p, q in zip(a, b, strict=True)) / sum((p - ma) ** 2 for p in a)
+            left = sum((q - mb - slope * (p - ma)) ** 2 for p, q in zip(a, b, strict=True))
+            if 1 - left / (sum((q - mb) ** 2 for q in b) + 1e-10) > 0.9 and 0.5 < -slope < 2.5:
+                out[ox, oy] = -slope
+    return out
+
+
+def test_dimension_map(spark):
+    from glyphmill.operators.fractal import dimension_map, pooled, summed
+
+    rng = random.Random(12)
+    images = {}
+    for k, (w, h, share) in enumerate([(40, 28, 0.02), (33, 17, 0.3), (16, 16, 0.05), (15, 40, 0.5), (37, 41, 0.0)]):
+        images[k] = (w, h, {(x, y): int(rng.random() < share * (1 + x / w)) for x in range(w) for y in range(h)})
+    df = spark.createDataFrame([(k, x, y, e) for k, (_, _, edge) in images.items() for (x, y), e in edge.items()], "id int, x int, y int, edge int")
+    for win, stride in ((16, 4), (16, 3), (8, 8)):
+        got = {(r["id"], r["x"], r["y"]): r["dimension"] for r in dimension_map(df, "id", win, stride).collect()}
+        want = {(k, *at): d for k, (w, h, edge) in images.items() for at, d in brute_dimensions(edge, w, h, win, stride).items()}
+        assert got == pytest.approx(want) and len(want) > 10
+    table = {(r["x"], r["y"]): r["s"] for r in summed(df.where("id = 1"), ["id"], "edge").collect()}
+    assert table[32, 16] == sum(images[1][2].values()) and table[3, 2] == sum(e for (x, y), e in images[1][2].items() if x <= 3 and y <= 2)
+    assert pooled(dimension_map(df, "id", 16, 4), "id").where("id = 1").first()["windows"] > 3
+    assert dimension_map(df.limit(0), "id", 16, 4).count() == 0
+    with pytest.raises(ValueError, match="power of two"):
+        dimension_map(df, "id", 24, 4)
