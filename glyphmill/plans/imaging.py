@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import edges as E
 from ..operators import fractal as A
 from ..operators import masks as M
+from ..operators import matching as H
 from ..operators import regions as R
 from ..operators import walls as L
 from . import views as V
@@ -157,3 +158,18 @@ SELECT image_id, CAST(ox AS INTEGER) AS x, CAST(oy AS INTEGER) AS y, round(dimen
 def _(spark, d):
     found = A.dimension_map(tiled(spark, d), "image_id", window=8, stride=2)
     return found.select("image_id", "x", "y", F.round("dimension", 6).alias("dimension"))
+
+
+@query("pix44_matched_histograms", """+r AS (SELECT image_id, pos, grey, row_number() OVER (PARTITION BY image_id ORDER BY grey, md5(image_id || ':' || pos)) - 1 AS r, count(*) OVER (PARTITION BY image_id) AS m FROM pixels),
+t AS (SELECT grey AS v, sum(count(*)) OVER (ORDER BY grey) AS upto, sum(count(*)) OVER () AS total FROM pixels GROUP BY 1), k AS (SELECT DISTINCT r, m FROM r),
+z AS (SELECT k.r, k.m, min(v) AS v FROM k JOIN t ON 2 * k.m * upto >= (2 * k.r + 1) * total GROUP BY 1, 2) SELECT image_id, pos, grey AS value, z.v AS matched FROM r JOIN z USING (r, m)""")
+def _(spark, d):
+    p = V.pixels(spark, d).select("image_id", "pos", F.col("grey").alias("value"))
+    return H.matched(p, "image_id", H.average_histogram(p, "image_id"), F.md5(F.concat_ws(":", "image_id", "pos")))
+
+
+@query("pix45_sign_test", """+d AS (SELECT p_brand, p_partkey, CAST(p_size - length(p_name) AS BIGINT) AS d FROM part), s AS (SELECT p_brand, k, sum(CASE WHEN substr(md5('s:' || p_partkey || ':' || ((k - 1) // 32)), CAST((k - 1) % 32 + 1 AS INTEGER), 1) < '8' THEN d ELSE -d END) AS s FROM d, range(1, 257) t(k) GROUP BY 1, 2),
+o AS (SELECT p_brand, sum(d) AS seen, count(*) AS n FROM d GROUP BY 1) SELECT p_brand, n, round(seen / n, 6) AS mean, count(*) FILTER (s > seen) / 256 AS p_one, count(*) FILTER (abs(s) > abs(seen)) / 256 AS p_two FROM s JOIN o USING (p_brand) GROUP BY p_brand, n, seen""")
+def _(spark, d):
+    found = H.sign_test(V.table(spark, d, "part"), ["p_brand"], F.col("p_size"), F.length("p_name"), F.col("p_partkey"), seed="s")
+    return found.withColumn("mean", F.round("mean", 6))

@@ -334,3 +334,39 @@ def test_dimension_map(spark):
     assert dimension_map(df.limit(0), "id", 16, 4).count() == 0
     with pytest.raises(ValueError, match="power of two"):
         dimension_map(df, "id", 24, 4)
+
+
+def test_matched_histograms(spark):
+    from glyphmill.operators.matching import average_histogram, matched
+
+    rng = random.Random(2)
+    images = {k: [rng.choice([3, 3, 3, 7, 9, 200]) if k % 2 else rng.randint(0, 255) for _ in range(m)] for k, m in enumerate([1, 2, 64, 64, 37])}
+    df = spark.createDataFrame([(k, i, v) for k, own in images.items() for i, v in enumerate(own)] + [(0, 99, None)], "id int, pos int, value int")
+    pool = sorted(v for own in images.values() for v in own)
+    want = {}
+    for k, own in images.items():
+        order = sorted(range(len(own)), key=lambda i, own=own: (own[i], i))
+        for r, i in enumerate(order):
+            # the first value that at least (2 r + 1) / 2 m of all pixels are no larger than
+            want[k, i] = next(v for at, v in enumerate(pool, 1) if 2 * len(own) * sum(u <= v for u in pool) >= (2 * r + 1) * len(pool))
+    got = {(r["id"], r["pos"]): r["matched"] for r in matched(df, "id", average_histogram(df.where("value IS NOT NULL"), "id"), F.col("pos")).collect()}
+    assert got == want
+    assert sorted(got[2, i] for i in range(64)) == sorted(got[3, i] for i in range(64))
+
+
+def test_sign_test(spark):
+    import hashlib
+
+    from glyphmill.operators.matching import sign_test
+
+    rng = random.Random(8)
+    rows = [(g, i, round(rng.gauss(mu, 1), 3), round(rng.gauss(0, 1), 3)) for g, mu in (("far", 1.0), ("same", 0.0), ("one", 0.3)) for i in range(1 if g == "one" else 40)] + [("same", 500, None, 1.0), ("none", 501, 1.0, None)]
+    got = {r["g"]: r for r in sign_test(spark.createDataFrame(rows, "g string, i int, a double, b double").repartition(3), ["g"], F.col("a"), F.col("b"), F.col("i"), rounds=100, seed="x").collect()}
+    assert set(got) == {"far", "same", "one"}
+    for g, r in got.items():
+        own = [(i, round((a - b) * 1000)) for h, i, a, b in rows if h == g and a is not None and b is not None]
+        digits = {i: "".join(hashlib.md5(f"x:{i}:{k}".encode()).hexdigest() for k in range(4)) for i, _ in own}
+        seen = sum(d for _, d in own)
+        sums = [sum(d if digits[i][k] < "8" else -d for i, d in own) for k in range(100)]
+        assert (r["n"], r["mean"]) == (len(own), pytest.approx(seen / len(own) / 1000)) and (r["p_one"], r["p_two"]) == (sum(s > seen for s in sums) / 100, sum(abs(s) > abs(seen) for s in sums) / 100)
+    assert got["far"]["p_two"] == 0 and got["same"]["p_two"] > 0.05
