@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that's unset, as in tests."""
+    """spark.checkpoint.dir; a temporary folder where that's unset and the session is of one machine, as in tests."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="glyphmill-"))
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found and not re.fullmatch(r"local(\[.*)?", sc.master):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="glyphmill-"))
     return sc.getCheckpointDir()
 
 
