@@ -140,22 +140,10 @@ def fuzzy_search(tags: DataFrame, term: str, cutoff: float = 0.6, limit: int = 2
     each = tags.select("tag_id", F.explode(F.array_compact(F.concat(F.array("tag_id", "canonical_name"), F.coalesce("aliases", F.array())))).alias("t")).select("tag_id", F.lower("t").alias("t"))
     part = F.exists(F.split(F.lit(q), " "), lambda w: (w != "") & F.contains(t, w))
     score = F.when(F.contains(t, F.lit(q)), 1.0).when(part, 0.9).otherwise(slow(t))
-    return each.withColumn("score", score).groupBy("tag_id").agg(F.max("score").alias("score")).where(F.col("score") >= cutoff).orderBy(F.desc("score"), "tag_id").limit(limit)
-
-
-def similar_names(tags: DataFrame, block: list[str], cutoff: float = 0.8) -> DataFrame:
-    """Pairs of tags of a block whose names' sequence ratio reaches the cutoff. Names must be of comparable length to be compared."""
-    from difflib import SequenceMatcher
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    t = tags.where("canonical_name <> ''").select(*block, "tag_id", F.lower("canonical_name").alias("name"))
-    o = t.select(*block, F.col("tag_id").alias("other"), F.col("name").alias("name2"))
-    # 2 min / (a + b) bounds the ratio from above
-    near = 2 * F.least(F.length("name"), F.length("name2")) >= cutoff * (F.length("name") + F.length("name2"))
-    return t.join(o, block).where((F.col("tag_id") < F.col("other")) & near).withColumn("score", ratio("name", "name2")).where(F.col("score") >= cutoff).drop("name", "name2")
+    # only what shares enough characters is compared
+    shared = sum((F.least(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit(""))), F.lit(q.count(c))) for c in sorted(set(q))), F.lit(0))
+    may = F.contains(t, F.lit(q)) | part | (F.try_divide(2.0 * shared, F.length(t) + len(q)) >= cutoff - 1e-9)
+    return each.where(may).withColumn("score", score).groupBy("tag_id").agg(F.max("score").alias("score")).where(F.col("score") >= cutoff).orderBy(F.desc("score"), "tag_id").limit(limit)
 
 
 def review(proposals: DataFrame, reviews: DataFrame) -> DataFrame:

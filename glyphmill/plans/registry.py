@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import registry as R
+from ..operators import similarity as S
 from ..operators import tags as T
 from . import views as V
 from .catalog import query
@@ -115,7 +116,22 @@ def _(spark, d):
 
 @query("jon09_similar_names")
 def _(spark, d):
-    return R.similar_names(registry(spark, d), ["domain", "value_type"], 0.85)
+    return S.similar_texts(registry(spark, d), "tag_id", "canonical_name", ["domain", "value_type"], 0.85)[0]
+
+
+@query("reg11_similar_definitions")
+def _(spark, d):
+    return S.similar_texts(registry(spark, d), "tag_id", "definition", cutoff=0.7, longer_than=20)[0]
+
+
+@query("reg11_definition_members", f"+{_REG}, t AS (SELECT tag_id, lower(definition) AS text FROM reg WHERE length(definition) > 20) SELECT min(tag_id) OVER (PARTITION BY text) AS text_id, tag_id FROM t")
+def _(spark, d):
+    return S.similar_texts(registry(spark, d), "tag_id", "definition", cutoff=0.7, longer_than=20)[1]
+
+
+@query("mth13_consolidation")
+def _(spark, d):
+    return S.consolidation(registry(spark, d), block=["domain", "value_type"])[0]
 
 
 @query("reg07_replacement_cycles", "SELECT 'env.part.t' || p_partkey AS tag_id FROM part WHERE p_partkey IN (17, 34)")
