@@ -12,6 +12,10 @@ the span of each text part of an assistant.
 Each turn is a row, so no conversation is gathered to be formatted. `conversation_digests` streams turns sorted by
 conversation and turn; it holds one turn at a time, however many a conversation has.
 
+Parts come as a JSON list; one part needn't be in a list, and a string is a text. A part of another type, or whatever else is no
+part, is an attachment of type unknown, whose place is kept. What isn't JSON is a text. Sizes that are no finite positive numbers are 0, and
+an attachment has at least one token.
+
 Null texts and roles are empty; rows of equal turn are ordered by role, then text; repeated rows are turns of their own. A
 null conversation id is a conversation of its own.
 """
@@ -33,7 +37,8 @@ TURN, END = "<|turn|>", "<|end|>"
 #: Strings with a meaning in this or other common templates, and the escape itself.
 _CONTROL = re.compile(r"\\|<\||</?s>|\[/?INST\]")
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_PLACEHOLDER = re.compile(r"<\|(?:image|audio|document):\d+\|>")
+_PLACEHOLDER = re.compile(r"<\|(?:image|audio|document|unknown):\d+\|>")
+_TOKENS = 2**31 - 1
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25, 768
 
 
@@ -45,6 +50,28 @@ def unescape(s: str) -> str:
     return _ESCAPED.sub(r"\1", s)
 
 
+def size(x: object) -> float:
+    """A size as JSON gave it; 0 for what is no finite positive number."""
+    try:
+        found = float(x)
+    except (TypeError, ValueError, OverflowError):
+        return 0.0
+    return found if 0 < found < math.inf else 0.0
+
+
+def plain(x: object) -> str:
+    """x as text; half a surrogate pair, which JSON may hold, is a question mark."""
+    return str(x).encode("utf-8", "replace").decode()
+
+
+def typed_parts(given: str) -> list:
+    try:
+        parts = json.loads(given)
+    except (ValueError, RecursionError):
+        return [given]
+    return parts if isinstance(parts, list) else [parts]
+
+
 @dataclass
 class Flattener:
     """Visits a message's parts in order."""
@@ -58,33 +85,35 @@ class Flattener:
         self.out.append(s)
         self.length += len(s)
 
-    def visit(self, part: dict) -> None:
+    def visit(self, part: object) -> None:
+        part = {"text": part} if isinstance(part, str) else part if isinstance(part, dict) else {"type": "unknown"}
         getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
         at = self.length
-        self.put(escape(str(part.get("text") or "")))
+        text = part.get("text")
+        self.put(escape("" if text is None else plain(text)))
         self.texts.append((at, self.length))
 
     def visit_image(self, part: dict) -> None:
-        self.attach("image", part, math.ceil(float(part.get("width") or 0) / PATCH) * math.ceil(float(part.get("height") or 0) / PATCH))
+        self.attach("image", part, math.ceil(size(part.get("width")) / PATCH) * math.ceil(size(part.get("height")) / PATCH))
 
     def visit_audio(self, part: dict) -> None:
-        self.attach("audio", part, math.ceil(float(part.get("seconds") or 0) * AUDIO_RATE))
+        self.attach("audio", part, math.ceil(min(size(part.get("seconds")), _TOKENS) * AUDIO_RATE))
 
     def visit_document(self, part: dict) -> None:
-        self.attach("document", part, int(part.get("pages") or 0) * PAGE_TOKENS)
+        self.attach("document", part, int(size(part.get("pages"))) * PAGE_TOKENS)
 
     def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"unknown part type {part.get('type')!r}")
+        self.attach("unknown", part, 0)
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
         n = len(self.attachments)
-        self.attachments.append({"ordinal": n, "type": kind, "ref": part.get("ref"), "tokens": max(1, tokens), "at": self.length})
+        self.attachments.append({"ordinal": n, "type": kind, "ref": None if part.get("ref") is None else plain(part["ref"]), "tokens": min(max(1, tokens), _TOKENS), "at": self.length})
         self.put(f"<|{kind}:{n}|>")
 
 
-def format_turn(role: str | None, parts: list[dict]) -> tuple[str, list[tuple[int, int]], list[dict]]:
+def format_turn(role: str | None, parts: list) -> tuple[str, list[tuple[int, int]], list[dict]]:
     """The formatted turn, its loss spans in code points, and its attachments."""
     head = f"{TURN}{escape(role or '').replace(chr(10), chr(92) + chr(10))}\n"
     f = Flattener()
@@ -108,13 +137,13 @@ _OUT_DDL = "formatted string, loss array<struct<start:int,end:int>>, attachments
 
 
 def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts_col: str | None = None) -> DataFrame:
-    """Per row: conv, turn, role, formatted, loss, attachments. parts_col: a JSON list of typed parts, used where it's given and not null."""
+    """Per row: conv, turn, role, formatted, loss, attachments. parts_col: JSON of typed parts, used where it's given and not null."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             roles, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             parts = batch.column(4).to_pylist()
-            rows = [format_turn(r, json.loads(p) if p is not None else [{"type": "text", "text": t}]) for r, t, p in zip(roles, texts, parts, strict=True)]
+            rows = [format_turn(r, typed_parts(p) if p is not None else [{"type": "text", "text": t}]) for r, t, p in zip(roles, texts, parts, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array([x[0] for x in rows], pa.string()), pa.array([[{"start": a, "end": b} for a, b in x[1]] for x in rows], _OUT.field("loss").type), pa.array([x[2] for x in rows], _OUT.field("attachments").type)],
                 names=["conv", "turn", "role", *_OUT.names],
