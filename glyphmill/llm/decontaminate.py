@@ -2,7 +2,7 @@
 
 Both sides are words (lower-cased A-Z, runs of digits, letters a-z and non-ASCII characters). From every 13-word window
 the minimum 7-word-gram hash is kept as a fingerprint, so two texts that share 13 words share a fingerprint. Fingerprints
-of documents are joined with those of the benchmark, and each hit is extended to the 13-word windows around it, which are
+of documents are looked up in a filter of the benchmark's, and each hit is extended to the 13-word windows around it, which are
 joined with the benchmark's windows. Items of fewer words are windows of their own length and are probed at every word.
 
 The benchmark is winnowed in Spark like the documents, and may be of any size: what's broadcast is two Bloom filters of fixed
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import KeyFilter, cut, small_batches
@@ -70,7 +70,7 @@ def probes(words: np.ndarray, first: np.ndarray, size: int, n: int, k: int) -> t
         left = np.repeat(first[1:], np.diff(first)) - np.arange(len(words))
         at = np.flatnonzero(left >= size)
         key = window_hash(words, at, min(k, size))
-    return at, key + U64(size) * _SIZE_SALT, left
+    return at, key + U64(size * int(_SIZE_SALT) % 2**64), left
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n: int, k: int) -> DataFrame:
@@ -96,10 +96,23 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n: int
     return items.mapInArrow(kernel, "size int, key long, item string").distinct()
 
 
+def covered(at: Column) -> Column:
+    """Words that windows (position << 32 | size, in order) cover: each adds what lies behind the end of those before."""
+
+    def add(seen: Column, a: Column) -> Column:
+        start = F.shiftright(a, 32)
+        end = start + a.bitwiseAND(2**32 - 1)
+        new = F.greatest(end - F.greatest(start, seen["end"]), F.lit(0).cast("long"))
+        return F.struct(F.greatest(seen["end"], end).alias("end"), (seen["n"] + new).alias("n"))
+
+    none = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(at, none, add, lambda seen: seen["n"])
+
+
 def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, n: int, k: int, share: int, keep: list[str]) -> DataFrame:
     """id_col, keep, __k and __k2 (a key of id and text), n_words, n_hit, n_items, item_ids, contaminated."""
-    if not 0 < k <= n:
-        raise ValueError("k must be between 1 and n")
+    if not 0 < k <= n < 2**31:
+        raise ValueError("k must be between 1 and n, and n under 2**31")
     small_batches(docs.sparkSession)
     bench = cut(benchmark_windows(benchmark, item_col, item_text_col, n, k))
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # n at most
@@ -125,7 +138,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
                     h = window_hash(words, at, size)
                     ok = test(wins.value, h)
                     row = np.searchsorted(first, at[ok], "right") - 1
-                    where.append(np.stack([row, (at[ok] - first[row]) << 8 | size]))
+                    where.append(np.stack([row, (at[ok] - first[row]) << 32 | size]))
                     hashes.append(h[ok])
                 found, h = np.concatenate(where, axis=1), np.concatenate(hashes)
                 order = np.argsort(found[0], kind="stable")
@@ -139,8 +152,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
     rows = cut(keyed.mapInArrow(kernel, schema))
     hits = rows.where("size(__at) > 0").select("__k", "__k2", F.explode(F.arrays_zip("__at", "__h")).alias("x")).select("__k", "__k2", F.col("x.__at").alias("at"), F.col("x.__h").alias("key")).distinct()
     met = hits.join(windows.select("key", "item"), "key").groupBy("__k", "__k2").agg(F.collect_set("at").alias("at"), F.sort_array(F.collect_set("item")).alias("item_ids"))
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(F.shiftright(a, 8), F.shiftright(a, 8) + a.bitwiseAND(255) - 1))))
-    met = met.select("__k", "__k2", F.size(covered).cast("long").alias("n_hit"), "item_ids")
+    met = met.select("__k", "__k2", covered(F.sort_array("at")).alias("n_hit"), "item_ids")
     out = rows.drop("__at", "__h").join(met, ["__k", "__k2"], "left")
     hit, ids = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("item_ids", F.array().cast("array<string>"))
     return out.select(*(F.col(f"`{c}`") for c in names), "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"))
@@ -158,8 +170,11 @@ def contamination(
     keep = [c for c in keep or [] if c != id_col]
     if clash := {"n_words", "n_hit", "n_items", "item_ids", "items_sha256", "contaminated"} & {id_col, *keep}:
         raise ValueError(f"columns {sorted(clash)} of the input have names of the result")
-    out = _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, n, k, share, keep)
-    return out.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).select(*(F.col(f"`{c}`") for c in [id_col, *keep]), "n_words", "n_hit", "n_items", "item_ids", "items_sha256", "contaminated")
+    names = [f"c{i}" for i in range(len(keep) + 2)]
+    held = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in zip([id_col, text_col, *keep], names, strict=True)))
+    out = _judged(held, benchmark, names[0], names[1], item_col, item_text_col, n, k, share, names[2:])
+    shown = [F.col(a).alias(c) for a, c in zip([names[0], *names[2:]], [id_col, *keep], strict=True)]
+    return out.select(*shown, "n_words", "n_hit", "n_items", "item_ids", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, k: int = GRAM, share: int = SHARE) -> DataFrame:

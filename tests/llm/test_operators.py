@@ -79,6 +79,30 @@ def test_contamination_of_nothing(spark):
         contamination(more, none, keep=["n_words"])
 
 
+@pytest.mark.parametrize("n", [255, 300])
+def test_long_windows(spark, n):
+    from glyphmill.llm.decontaminate import contamination
+
+    words = [f"w{i}" for i in range(700)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[200 : 200 + n - 1]))], DOCS)
+    bench = spark.createDataFrame([(1, " ".join(words[100:450])), (2, " ".join(words[440:445]))], "item_id int, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in contamination(docs, bench, n=n).collect()}
+    assert got == {1: (350, 2), 2: (5, 1)}
+    with pytest.raises(ValueError, match="under 2"):
+        contamination(docs, bench, n=2**31)
+
+
+def test_contamination_passes_columns_of_any_name(spark):
+    from glyphmill.llm.decontaminate import contamination
+
+    clash = ["__k", "__k2", "__at", "__h", "__text", "at", "key", "item", "c0", "a.b"]
+    docs = spark.createDataFrame(edge_docs(), DOCS).withColumns({c: F.lit(c) for c in clash})
+    bench = spark.createDataFrame([(1, "alpha beta")], "item_id int, text string")
+    got, want = contamination(docs, bench, keep=clash), contamination(docs, bench)
+    assert got.columns[1:11] == clash and {tuple(r)[1:11] for r in got.collect()} == {tuple(clash)}
+    assert Counter((r.doc_id, r.n_hit) for r in got.collect()) == Counter((r.doc_id, r.n_hit) for r in want.collect())
+
+
 def test_large_benchmark_reaches_no_worker_whole(spark):
     """What workers hold is two filters of fixed size, however large the benchmark; with a filter that lets all pass the result is the same."""
     from glyphmill.llm import decontaminate as d
@@ -273,6 +297,19 @@ def test_chat_parts(spark):
     assert r[1].formatted == "<|turn|>\n<|end|>\n" and r[1].loss == []
 
 
+def test_chat_parts_that_are_none(spark):
+    from glyphmill.llm.chat import conversation_digests, format_chat, parse_turn
+
+    odd = ['{"text":"one"}', '"s"', "not json", "[1, null, [2]]", '[{"type":"video","ref":7}]', '[{"type":"image","width":"wide","height":-3}]', '[{"type":"audio","seconds":1e400}]', '[{"type":"text","text":0}]', '[{"type":"visit"},{"type":["x"]}]', "[]", "", "[" * 100000, '["\\ud800"]']
+    df = spark.createDataFrame([(None if i == 0 else 1, i, "assistant", "t", p) for i, p in enumerate(odd)], "conv_id int, turn int, role string, text string, parts string")
+    r = format_chat(df, parts_col="parts").orderBy("turn").collect()
+    assert [parse_turn(x.formatted)[1] for x in r] == ["one", "s", "not json", "", "", "", "", "0", "", "", "", "[" * 100000, "?"]
+    assert [[(a.type, a.ref, a.tokens) for a in x.attachments] for x in r[3:7]] == [[("unknown", None, 1)] * 3, [("unknown", "7", 1)], [("image", None, 1)], [("audio", None, 1)]]
+    twice = df.unionByName(df)
+    assert {x.conv_id: x.n_turns for x in conversation_digests(format_chat(twice, parts_col="parts")).collect()} == {None: 2, 1: 2 * len(odd) - 2}
+    assert conversation_digests(format_chat(df.limit(0))).count() == 0
+
+
 # --- op6
 
 
