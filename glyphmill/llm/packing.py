@@ -2,9 +2,9 @@
 
 A document's ids (with the end id) are one piece, or, if longer than a sequence, pieces of full length after a first one that
 may be shorter. Partitions of bounded size pack their pieces best-fit in descending order. A bin that is nearly full is
-done; underfull bins go up a tree as items themselves, FAN partitions at a time, and are packed best-fit again. Two bins of
-at most half a sequence always merge, so a partition leaves at most one of them; it needs others' looser bins only as hosts,
-of which each partition hands up its HOSTS loosest. The rest stay as they are: valid, only not improved.
+done; all underfull bins go up a tree as items themselves, into partitions of the same bounded size, and are packed best-fit again,
+until one partition has held them all or a round has merged fewer than 1 in STALE of them. Two bins of at most half a sequence in a
+partition always merge, so then each partition holds at most one of them.
 
 Null and empty texts are a piece of one id (the end id). Repeated rows are packed each. Only lengths and checksums are
 shuffled, not ids; `packed_sequences` gives the ids themselves.
@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .runtime import cut, small_batches
 from .tokens import END_ID, crc32, token_batches
 
-LENGTH, PER_PARTITION, FAN, SLACK, HOSTS = 1024, 50_000, 8, 8, 256
+LENGTH, PER_PARTITION, SLACK, STALE = 1024, 50_000, 8, 20
 
 
 def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,14 +50,6 @@ def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     return bin_of, offset, np.array(fill, np.int64)
 
 
-def going_up(fill: np.ndarray, length: int) -> np.ndarray:
-    """Bins that a later round may still improve."""
-    up = 2 * fill <= length
-    loose = np.flatnonzero(~up & (fill < length - SLACK))
-    up[loose[np.argsort(fill[loose], kind="stable")[:HOSTS]]] = True
-    return up
-
-
 def _packer(length: int, schema: pa.Schema):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(batches), schema)
@@ -65,7 +57,7 @@ def _packer(length: int, schema: pa.Schema):
             return
         bin_of, offset, fill = best_fit(held.column("length").to_numpy(), length)
         own = TaskContext.get().partitionId() << 32
-        for c, v in (("bin", bin_of + own), ("offset", offset), ("fill", fill[bin_of]), ("up", going_up(fill, length)[bin_of])):
+        for c, v in (("bin", bin_of + own), ("offset", offset), ("fill", fill[bin_of]), ("up", (fill < length - min(SLACK, length // 16))[bin_of])):
             held = held.append_column(c, pa.array(v))
         yield from held.combine_chunks().to_batches()
 
@@ -95,7 +87,10 @@ def pieces_of(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def pack(items: DataFrame, length: int = LENGTH, per_partition: int = PER_PARTITION) -> DataFrame:
-    """items (with a column `length`, at most one sequence each) with sequence_id and offset."""
+    """items (with a column `length`, at most one sequence each) with sequence_id and offset.
+
+    Only bins, not their items, go up. Rounds go on while each merges at least 1 in STALE of what's left, so they are few.
+    """
     parts = max(1, -(-items.count() // per_partition))
 
     def packed(df: DataFrame, n: int) -> DataFrame:
@@ -105,9 +100,11 @@ def pack(items: DataFrame, length: int = LENGTH, per_partition: int = PER_PARTIT
 
     placed = packed(items, parts)
     moved, up = None, placed.where("up and offset = 0").select(F.col("bin").alias("child"), F.col("fill").alias("length"))
-    done, level = placed.drop("fill", "up"), 1
-    while parts > 1:
-        parts = -(-parts // FAN)
+    done, level, left = placed.drop("fill", "up"), 1, up.count()
+    while parts > 1 and level < 127:
+        before, parts = left, -(-left // per_partition)
+        if not parts:
+            break
         merged = packed(up, parts).withColumn("bin", F.col("bin") + F.lit(level << 56))
         step = merged.select("child", F.col("bin").alias("parent"), F.col("offset").alias("shift"))
         if moved is None:
@@ -116,6 +113,9 @@ def pack(items: DataFrame, length: int = LENGTH, per_partition: int = PER_PARTIT
             again = step.select(F.col("child").alias("parent"), F.col("parent").alias("top"), F.col("shift").alias("more"))
             moved = moved.join(again, "parent", "left").select("child", F.coalesce("top", "parent").alias("parent"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
         up, level = merged.where("up and offset = 0").select(F.col("bin").alias("child"), F.col("fill").alias("length")), level + 1
+        left = up.count()
+        if (before - left) * STALE < before:
+            break
     if moved is None:
         return done.withColumnRenamed("bin", "sequence_id")
     out = done.join(moved.withColumnRenamed("child", "bin"), "bin", "left")

@@ -247,6 +247,29 @@ def test_packing(spark, per):
     assert packed_sequences(df, plan, path).agg(F.sum(F.size("ids"))).first()[0] == sum(r.length for r in rows)
 
 
+@pytest.mark.parametrize("sizes", [[600], [300, 700], [1, 2, 500], [340, 341, 345], [1024], list(range(1, 1025))])
+def test_partitions_pack_nearly_as_well_as_one(spark, sizes):
+    """Every bin may go up, so that the number of sequences hardly depends on partitions; also where no two items fit."""
+    from glyphmill.llm.packing import best_fit, pack
+
+    rng = random.Random(len(sizes))
+    items = [(i, rng.choice(sizes)) for i in range(20000)]
+    rows = pack(spark.createDataFrame(items, "id int, length long"), 1024, 2000).collect()
+    assert sorted((r.id, r.length) for r in rows) == items
+    for _, own in itertools.groupby(sorted(rows, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
+        own = list(own)
+        assert [r.offset for r in own] == [0, *itertools.accumulate(r.length for r in own[:-1])] and own[-1].offset + own[-1].length <= 1024
+    one = len(best_fit(np.array([n for _, n in items]), 1024)[2])
+    assert len({r.sequence_id for r in rows}) <= one * 1.01 + 1, len({r.sequence_id for r in rows}) / one
+
+
+def test_packing_of_repeated_rows(spark):
+    from glyphmill.llm.packing import pack_documents
+
+    rows = pack_documents(spark.createDataFrame([(7, "a b c"), (7, "a b c"), (None, "a b c"), (None, None)], DOCS), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len(rows) == 4 and len({(r.sequence_id, r.offset) for r in rows}) == 4 and sum(r.doc_id is None for r in rows) == 2
+
+
 def test_packing_of_nothing(spark):
     from glyphmill.llm.packing import pack_documents
 
