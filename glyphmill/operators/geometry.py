@@ -21,35 +21,6 @@ def grid(p: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def line_of_sight(walls: np.ndarray, a: tuple[int, int], b: tuple[int, int]) -> bool:
-    n = int(max(abs(b[0] - a[0]), abs(b[1] - a[1]))) * 2 + 1
-    t = np.linspace(0, 1, n)
-    x, y = np.rint(a[0] + t * (b[0] - a[0])).astype(int), np.rint(a[1] + t * (b[1] - a[1])).astype(int)
-    return not walls[y, x].any()
-
-
-def rays(walls: np.ndarray, at: tuple[float, float], n: int = 72, step: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Length of each ray up to a wall, and whether it left the plan instead."""
-    h, w = walls.shape
-    t = [i * 2 * math.pi / n for i in range(n)]
-    # as many steps as leave the plan from any of its cells
-    r = np.full(math.ceil((math.hypot(h, w) + 1) / step) + 1, step).cumsum()
-    x, y = (np.rint(at[k] + r * np.array([[f(v)] for v in t])).astype(int) for k, f in ((0, math.cos), (1, math.sin)))
-    out = (x < 0) | (x >= w) | (y < 0) | (y >= h)
-    first = (out | walls[y.clip(0, h - 1), x.clip(0, w - 1)]).argmax(axis=1)
-    return r[first], out[np.arange(n), first]
-
-
-def isovist_measures(length: np.ndarray, left: np.ndarray) -> dict[str, float]:
-    n, nxt = len(length), np.roll(length, -1)
-    area = 0.5 * math.sin(2 * math.pi / n) * float((length * nxt).sum())
-    edge = np.sqrt(length**2 + nxt**2 - 2 * length * nxt * math.cos(2 * math.pi / n))
-    occluding = (np.abs(length - nxt) > 3) | left | np.roll(left, -1)
-    p = float(edge.sum())
-    t = np.arange(n) * 2 * math.pi / n
-    return {"area": area, "perimeter": p, "compactness": 4 * math.pi * area / p**2 if p else 0.0, "occlusivity": float(edge[occluding].sum()) / p if p else 0.0, "elongation": float(length.max() / length.min()), "jaggedness": p * p / area if area else 0.0, "dispersion": float(length.std() / length.mean()), "mean_ray": float(length.mean()), "drift": float(math.hypot((length * np.cos(t)).mean(), (length * np.sin(t)).mean()))}
-
-
 def _kernel(f, schema: str):
     def run(df: DataFrame) -> DataFrame:
         return df.groupBy("plan_id").applyInPandas(f, schema)
@@ -57,54 +28,11 @@ def _kernel(f, schema: str):
     return run
 
 
-def _isovists(p: pd.DataFrame) -> pd.DataFrame:
-    w = grid(p)
-    rows = [(p.plan_id.iloc[0], int(x), int(y), *isovist_measures(*rays(w, (x, y))).values()) for y, x in zip(*np.nonzero(~w), strict=True)]
-    return pd.DataFrame(rows, columns=["plan_id", "x", "y", *isovist_measures(np.ones(8), np.zeros(8, bool))])
-
-
-isovists = _kernel(_isovists, "plan_id long, x int, y int, area double, perimeter double, compactness double, occlusivity double, elongation double, jaggedness double, dispersion double, mean_ray double, drift double")
-
-
-def integration(mean_depth: float, n: int) -> float:
-    """Inverse of the real relative asymmetry; 0 where the depth is 1 at most."""
-    if n < 3 or not mean_depth > 1 or not math.isfinite(mean_depth):
-        return 0.0
-    ra = 2 * (mean_depth - 1) / (n - 2)
-    d = 2 * (n * (math.log2((n + 2) / 3) - 1) + 1) / ((n - 1) * (n - 2))
-    return d / ra if ra else 0.0
-
-
-def _visibility(p: pd.DataFrame) -> pd.DataFrame:
-    w = grid(p)
-    cells = [(int(x), int(y)) for y, x in zip(*np.nonzero(~w), strict=True)]
-    n = len(cells)
-    see = np.zeros((n, n), bool)
-    for i in range(n):
-        for j in range(i + 1, n):
-            see[i, j] = see[j, i] = line_of_sight(w, cells[i], cells[j])
-    degree, rows = see.sum(axis=1), []
-    for i in range(n):
-        depth, front, d = np.full(n, -1), np.zeros(n, bool), 0
-        front[i], depth[i] = True, 0
-        while front.any():
-            d += 1
-            front = see[front].any(axis=0) & (depth < 0)
-            depth[front] = d
-        ok = depth > 0
-        near = see[i]
-        tri = see[np.ix_(near, near)].sum()
-        k = int(degree[i])
-        mean = float(depth[ok].mean()) if ok.any() else 0.0
-        rows.append((p.plan_id.iloc[0], *cells[i], k, mean, integration(mean, int(ok.sum()) + 1), float(tri / (k * (k - 1))) if k > 1 else 0.0))
-    return pd.DataFrame(rows, columns=["plan_id", "x", "y", "connectivity", "mean_depth", "integration", "clustering"])
-
-
-visibility_graph = _kernel(_visibility, "plan_id long, x int, y int, connectivity int, mean_depth double, integration double, clustering double")
-
-
 def intelligibility(graph: DataFrame) -> DataFrame:
-    return graph.groupBy("plan_id").agg(F.regr_r2("integration", "connectivity").alias("intelligibility"))
+    """How well a plan's connectivity tells its integration: the squared correlation, 0 where either is constant."""
+    g = graph.groupBy("plan_id").agg(F.covar_pop("connectivity", "integration").alias("both"), F.var_pop("connectivity").alias("c"), F.var_pop("integration").alias("i"))
+    told = F.when((F.sqrt("c") > 1e-9) & (F.sqrt("i") > 1e-9), F.try_divide(F.col("both") * F.col("both"), F.col("c") * F.col("i"))).otherwise(0.0)
+    return g.select("plan_id", told.alias("intelligibility"))
 
 
 def geodesic(walls: np.ndarray, start: tuple[int, int], cost: np.ndarray | None = None) -> np.ndarray:
@@ -139,12 +67,6 @@ def _distances(p: pd.DataFrame) -> pd.DataFrame:
 distances = _kernel(_distances, "plan_id long, x int, y int, distance double")
 
 
-def audibility(cells: DataFrame, level: float = 60.0, noise: float = 30.0, per_doubling: float = 6.0) -> DataFrame:
-    """cells: distance, visible. Level of a source after spreading over the distance, and who hears without seeing."""
-    db = F.lit(level) - per_doubling * F.log2(F.greatest(F.col("distance"), F.lit(1.0)))
-    return cells.withColumn("level", db).withColumn("audible", F.col("level") > noise).withColumn("eavesdrop", (F.col("level") > noise) & ~F.col("visible"))
-
-
 def mirror_exposure(surfaces: DataFrame, viewpoints: DataFrame) -> DataFrame:
     """surfaces: plan_id, x1, y1, x2, y2; viewpoints: plan_id, px, py. The mirror image, its distance, and whether one sees oneself.
 

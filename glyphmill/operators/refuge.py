@@ -1,8 +1,7 @@
 """Prospect and refuge, sight and sound between the cells of plans, as joins and aggregations.
 
-A plan is rows (plan_id, x, y, wall). Lines of sight are pairs of cells of a plan within a radius, each checked against the cells
-that it passes: the walls of its plan, as one array beside each pair. Paths are rounds of relaxation, each a join of the open front
-with its neighbours.
+A plan is rows (plan_id, x, y, wall). What an origin sees is rows of it and a cell, by lines or by rays (`sight`). Paths are
+rounds of relaxation, each a join of the open front with its neighbours.
 """
 
 from __future__ import annotations
@@ -12,14 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import checkpoint_dir
+from .sight import free_cells, grids, line_is_free, seen_cells
 
 LEVEL, BACKGROUND = 62.0, 35.0
 
 
-def free_cells(plan: DataFrame) -> DataFrame:
-    return plan.where(~F.col("wall")).select("plan_id", "x", "y")
-
-
 def entrances(plan: DataFrame) -> DataFrame:
     """Free cells on the edge of the plan."""
     own = W.partitionBy("plan_id")
@@ -28,19 +24,18 @@ def entrances(plan: DataFrame) -> DataFrame:
 
 
 def sight_lines(origins: DataFrame, plan: DataFrame, radius: float | None = None) -> DataFrame:
-    """origins: plan_id, ox, oy. (plan_id, ox, oy, x, y, visible) for each free cell of the plan (within radius).
-
-    A cell is visible if the samples of the line to it, two a cell, meet no wall. Only samples of walls leave the join.
-    """
-    d = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
-    pairs = origins.join(free_cells(plan), "plan_id")
-    pairs = pairs if radius is None else pairs.where(d <= radius)
-    n = F.greatest(F.abs(F.col("x") - F.col("ox")), F.abs(F.col("y") - F.col("oy"))) * 2
-    at = lambda a, b, i: F.rint(F.col(a) + (F.col(b) - F.col(a)) * i / F.greatest(n, F.lit(1))).cast("int")
-    steps = F.array_distinct(F.transform(F.sequence(F.lit(0), n.cast("int")), lambda i: F.struct(at("ox", "x", i).alias("x"), at("oy", "y", i).alias("y"))))
-    walls = plan.where("wall").groupBy("plan_id").agg(F.collect_set(F.struct("x", "y")).alias("walls"))
-    j = pairs.join(walls, "plan_id", "left")
-    return j.select("plan_id", "ox", "oy", "x", "y", (~F.arrays_overlap(steps, F.coalesce("walls", F.array().cast("array<struct<x:int,y:int>>")))).alias("visible"))
+    """origins: plan_id, ox, oy. (plan_id, ox, oy, x, y, visible) for each free cell of the plan (within radius): whether the line to it is free."""
+    pairs = origins.join(grids(plan), "plan_id").join(free_cells(plan), "plan_id")
+    if radius is not None:
+        pairs = pairs.where(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= radius)
+    return pairs.select("plan_id", "ox", "oy", "x", "y", line_is_free(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")).alias("visible"))
+
+
+def masks(origins: DataFrame, plan: DataFrame) -> DataFrame:
+    """origins: plan_id, ox, oy. (plan_id, ox, oy, x, y, visible) for each free cell of the plan: whether a ray from the origin passes it."""
+    seen = seen_cells(origins, plan).withColumn("visible", F.lit(True))
+    cells = origins.join(free_cells(plan), "plan_id")
+    return cells.join(seen, ["plan_id", "ox", "oy", "x", "y"], "left").withColumn("visible", F.coalesce("visible", F.lit(False)))
 
 
 def dead_ground(lines: DataFrame, radius: float) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import geometry as G
 from ..operators import grids as D
 from ..operators import pixels as P
+from ..operators import refuge as R
+from ..operators import sight as S
 from . import views as V
 from .catalog import query
 
@@ -86,14 +88,32 @@ def _(spark, d):
     return plans(spark, d).groupBy("plan_id").agg(F.round(F.avg((~F.col("wall")).cast("double")), 6).alias("free"))
 
 
+def _cells(spark, d):
+    return S.free_cells(plans(spark, d)).selectExpr("plan_id", "x AS ox", "y AS oy")
+
+
 @query("geo04_isovists")
 def _(spark, d):
-    return G.isovists(plans(spark, d))
+    return S.isovists(_cells(spark, d), plans(spark, d)).withColumnsRenamed({"ox": "x", "oy": "y"})
+
+
+_GRAPH = """fc AS (SELECT image_id AS plan_id, x, y, y * 8 + x AS v FROM pixels WHERE grey <= 145), gp AS (SELECT a.plan_id, a.v AS a, b.v AS b, a.x AS ox, a.y AS oy, b.x - a.x AS dx, b.y - a.y AS dy, 2 * greatest(abs(b.x - a.x), abs(b.y - a.y)) + 1 AS n FROM fc a JOIN fc b ON a.plan_id = b.plan_id AND a.v < b.v),
+gs AS (SELECT plan_id, a, b, CAST(floor(oy + dy * (CAST(i AS DOUBLE) / n)) * 8 + floor(ox + dx * (CAST(i AS DOUBLE) / n)) AS INTEGER) AS v FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM gp)), ge AS (SELECT g.plan_id, a, b FROM gs g LEFT JOIN fc USING (plan_id, v) GROUP BY ALL HAVING bool_and(fc.x IS NOT NULL)),
+e AS (SELECT plan_id, a, b FROM ge UNION ALL SELECT plan_id, b, a FROM ge), r(plan_id, a, b, depth) AS (SELECT plan_id, v, v, 0 FROM fc UNION SELECT r.plan_id, r.a, e.b, r.depth + 1 FROM r JOIN e ON e.plan_id = r.plan_id AND e.a = r.b WHERE r.depth < 8),
+md AS (SELECT plan_id, a AS v, avg(d) AS m FROM (SELECT plan_id, a, b, min(depth) AS d FROM r WHERE a <> b GROUP BY ALL) GROUP BY ALL), dg AS (SELECT plan_id, a AS v, count(*) AS k FROM e GROUP BY ALL), li AS (SELECT x.plan_id, x.a AS v, count(*) AS links FROM e x JOIN e y ON y.plan_id = x.plan_id AND y.a = x.a JOIN e z ON z.plan_id = x.plan_id AND z.a = x.b AND z.b = y.b GROUP BY ALL),
+g AS (SELECT plan_id, x, y, CAST(coalesce(k, 0) AS INTEGER) AS connectivity, m AS mean_depth, CASE WHEN n > 2 AND m > 1 THEN greatest(0, 2 * (n * (log2((n + 2) / 3) - 1) + 1) / ((n - 1) * (n - 2)) / (2 * (m - 1) / (n - 2))) ELSE 0 END AS integration, CASE WHEN k > 1 THEN coalesce(links, 0) / (k * (k - 1)) ELSE 0 END AS clustering
+FROM fc JOIN (SELECT plan_id, CAST(count(*) AS DOUBLE) AS n FROM fc GROUP BY 1) USING (plan_id) LEFT JOIN md USING (plan_id, v) LEFT JOIN dg USING (plan_id, v) LEFT JOIN li USING (plan_id, v))"""
+
+
+@query("geo05_visibility_graph", f"+{_GRAPH} SELECT plan_id, x, y, connectivity, round(mean_depth, 6) AS mean_depth, round(integration, 6) AS integration, round(clustering, 6) AS clustering FROM g")
+def _(spark, d):
+    g = S.visibility_graph(plans(spark, d))
+    return g.select("plan_id", "x", "y", "connectivity", *(F.round(c, 6).alias(c) for c in ("mean_depth", "integration", "clustering")))
 
 
-@query("geo05_visibility_graph")
+@query("geo05_intelligibility", f"+{_GRAPH} SELECT plan_id, round(CASE WHEN stddev_pop(connectivity) > 1e-9 AND stddev_pop(integration) > 1e-9 THEN pow(covar_pop(connectivity, integration), 2) / (var_pop(connectivity) * var_pop(integration)) ELSE 0 END, 6) AS intelligibility FROM g GROUP BY 1")
 def _(spark, d):
-    return G.visibility_graph(plans(spark, d))
+    return G.intelligibility(S.visibility_graph(plans(spark, d))).select("plan_id", F.round("intelligibility", 6).alias("intelligibility"))
 
 
 @query("geo13_geodesic")
@@ -101,10 +121,10 @@ def _(spark, d):
     return G.distances(plans(spark, d))
 
 
-@query("geo14_audibility", "SELECT event_id, round(60 - 6 * log2(greatest(value, 1)), 6) AS level, 60 - 6 * log2(greatest(value, 1)) > 30 AS audible, 60 - 6 * log2(greatest(value, 1)) > 30 AND event_id % 2 = 1 AS eavesdrop FROM events")
+@query("geo14_audibility", "SELECT event_id, round(62 - 20 * log10(greatest(value, 1)), 6) AS level, 62 - 20 * log10(greatest(value, 1)) > 35 AND event_id % 2 = 1 AS eavesdrop FROM events")
 def _(spark, d):
     e = V.table(spark, d, "events").select("event_id", F.col("value").alias("distance"), (F.col("event_id") % 2 == 0).alias("visible"))
-    return G.audibility(e).select("event_id", F.round("level", 6).alias("level"), "audible", "eavesdrop")
+    return R.eavesdropping(e).select("event_id", F.round("level", 6).alias("level"), "eavesdrop")
 
 
 @query("geo16_mirrors", "+s AS (SELECT image_id AS plan_id, x AS x1, y AS y1, x + 2 AS x2, y + 1 AS y2 FROM pixels WHERE pos % 16 = 0), v AS (SELECT image_id AS plan_id, x AS px, y AS py FROM pixels WHERE pos % 8 = 3), j AS (SELECT *, ((px - x1) * 2 + (py - y1)) / 5 AS t FROM v JOIN s USING (plan_id)) SELECT plan_id, px, py, round(2 * (x1 + 2 * t) - px, 6) + 0.0 AS ix, round(2 * (y1 + t) - py, 6) + 0.0 AS iy, round(2 * sqrt(pow(x1 + 2 * t - px, 2) + pow(y1 + t - py, 2)), 6) AS image_distance, t BETWEEN 0 AND 1 AS self_visible FROM j")

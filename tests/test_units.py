@@ -13,6 +13,7 @@ from glyphmill.functions import scalars as S
 from glyphmill.operators import annotation as A
 from glyphmill.operators import circular as C
 from glyphmill.operators import geometry as G
+from glyphmill.operators import sight
 from glyphmill.operators import pixels as P
 from glyphmill.operators import registry as R
 from glyphmill.operators import study as U
@@ -179,9 +180,9 @@ def plan(spark, text):
 
 def test_geometry(spark):
     square, corridor = "#######\n" + "#.....#\n" * 5 + "#######", "#########\n#.......#\n#########"
-    a, b = (G.isovists(plan(spark, t)).agg(F.avg("compactness"), F.avg("elongation")).first() for t in (square, corridor))
+    a, b = (sight.isovists(plan(spark, t).where("not wall").selectExpr("plan_id", "x ox", "y oy"), plan(spark, t)).agg(F.avg("compactness"), F.avg("elongation")).first() for t in (square, corridor))
     assert a[0] > b[0] and a[1] < b[1]
-    g = G.visibility_graph(plan(spark, square)).collect()
+    g = sight.visibility_graph(plan(spark, square)).collect()
     assert all(r.connectivity == 24 and r.mean_depth == 1 and r.clustering == 1 for r in g)
     walls = np.array([[False, True, False], [False, True, False], [False, False, False]])
     assert G.geodesic(walls, (0, 0))[0, 2] == pytest.approx(2 * math.sqrt(2) + 2)
