@@ -45,10 +45,10 @@ def _(spark, d):
     return lines(spark, d).select("plan_id", "x", "y", "visible")
 
 
-@query("geo03_first_isovists", f"+{_ISOVIST} SELECT plan_id, round(area, 4) AS area, round(perimeter, 4) AS perimeter, round(occlusivity, 4) AS occlusivity, max_radial, round(mean_radial, 4) AS mean_radial, round(radial_variance, 4) AS radial_variance FROM iso")
+@query("geo03_first_isovists", f"+{_ISOVIST} SELECT plan_id, round(area, 4) AS area, round(perimeter, 4) AS perimeter, round(occlusivity, 4) AS occlusivity, max_radial, round(mean_radial, 4) AS mean_radial, round(sqrt(radial_variance) / mean_radial, 4) AS dispersion FROM iso")
 def _(spark, d):
     m = S.isovists(first_cells(spark, d), plans(spark, d))
-    return m.select("plan_id", "max_radial", *(F.round(c, 4).alias(c) for c in ("area", "perimeter", "occlusivity", "mean_radial", "radial_variance")))
+    return m.select("plan_id", "max_radial", *(F.round(c, 4).alias(c) for c in ("area", "perimeter", "occlusivity", "mean_radial", "dispersion")))
 
 
 @query("geo06_visible_cells", f"+{_MASK} SELECT plan_id, x, y, visible FROM vis")
