@@ -35,6 +35,19 @@ def intelligibility(graph: DataFrame) -> DataFrame:
     return g.select("plan_id", told.alias("intelligibility"))
 
 
+def line_samples(dx: int, dy: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (x, y) of the samples of a line from a cell to the one dx, dy away: 2 d + 2 of them where its longer side is d."""
+    n = 2 * max(abs(dx), abs(dy)) + 1
+    part = np.arange(n + 1) / n
+    return dx * part, dy * part
+
+
+def line_of_sight(walls: np.ndarray, a: tuple[int, int], b: tuple[int, int]) -> bool:
+    """Whether all samples of the line from a to b lie in free cells."""
+    x, y = line_samples(b[0] - a[0], b[1] - a[1])
+    return not walls[np.floor(a[1] + y).astype(int), np.floor(a[0] + x).astype(int)].any()
+
+
 def geodesic(walls: np.ndarray, start: tuple[int, int], cost: np.ndarray | None = None) -> np.ndarray:
     """Distance from start over free cells with eight neighbours, each step weighted by the cost of the cell it enters."""
     h, w = walls.shape

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import checkpoint_dir
-from .sight import free_cells, grids, line_is_free, seen_cells
+from .sight import free_cells, grids, line_is_free, looks
 
 LEVEL, BACKGROUND = 62.0, 35.0
 
@@ -33,9 +33,8 @@ def sight_lines(origins: DataFrame, plan: DataFrame, radius: float | None = None
 
 def masks(origins: DataFrame, plan: DataFrame) -> DataFrame:
     """origins: plan_id, ox, oy. (plan_id, ox, oy, x, y, visible) for each free cell of the plan: whether a ray from the origin passes it."""
-    seen = seen_cells(origins, plan).withColumn("visible", F.lit(True))
-    cells = origins.join(free_cells(plan), "plan_id")
-    return cells.join(seen, ["plan_id", "ox", "oy", "x", "y"], "left").withColumn("visible", F.coalesce("visible", F.lit(False)))
+    each = looks(origins, plan).select("plan_id", "ox", "oy", "w", F.posexplode(F.arrays_zip("free", "seen")).alias("at", "c")).where("c.free")
+    return each.select("plan_id", "ox", "oy", (F.col("at") % F.col("w")).cast("int").alias("x"), F.floor(F.col("at") / F.col("w")).cast("int").alias("y"), F.col("c.seen").alias("visible"))
 
 
 def dead_ground(lines: DataFrame, radius: float) -> DataFrame:

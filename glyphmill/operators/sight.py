@@ -1,21 +1,32 @@
 """Sight in plans: rays, isovists, what a cell sees, and the graph of cells that see one another.
 
 A plan is rows (plan_id, x, y, wall), cells from 0; cells not given are wall. Each plan becomes one row with its free cells as flags
-(`grids`), as an image is; rays and lines are array expressions over it, so only cells and pairs of cells are rows.
-Coordinates fall into the cell of their whole part; rays advance by half a cell.
+(`grids`), as an image is. Coordinates fall into the cell of their whole part; rays advance by half a cell.
+
+Where a ray from a given cell goes doesn't depend on the walls, so the rays of an origin are laid out once for all plans of one size, as
+a tree of the cells that they pass: rays that still run through the same cells share its nodes. Spark deals out origins; a task
+walks a tree for many origins at once, node by node, in Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..runtime import checkpoint_dir
+from .geometry import line_samples
 
 #: Rays of an isovist and of a mask, their step, and the jump between neighbouring rays that occludes: fixed values.
 ISOVIST_RAYS, MASK_RAYS, STEP, JUMP = 720, 1440, 0.5, 3.0
+#: Origins that a task looks from at once.
+ROWS = 256
 
 
 def free_cells(plan: DataFrame) -> DataFrame:
@@ -23,13 +34,16 @@ def free_cells(plan: DataFrame) -> DataFrame:
 
 
 def grids(plan: DataFrame) -> DataFrame:
-    """(plan_id, w, h, free): free is an array of flags in row order."""
-    size = plan.groupBy("plan_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    cells = size.withColumn("at", F.explode(F.sequence(F.lit(0), (F.col("w") * F.col("h") - 1).cast("int"))))
-    open_ = free_cells(plan).distinct().withColumn("open", F.lit(True))
-    j = cells.select("*", (F.col("at") % F.col("w")).cast("int").alias("x"), F.floor(F.col("at") / F.col("w")).cast("int").alias("y")).join(open_, ["plan_id", "x", "y"], "left")
-    flags = F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("open", F.lit(False)).alias("open")))), lambda c: c["open"])
-    return j.groupBy("plan_id", "w", "h").agg(flags.alias("free"))
+    """(plan_id, w, h, free): free is an array of flags in row order. A plan's rows meet once."""
+    given = plan.where("x >= 0 AND y >= 0").repartition("plan_id").groupBy("plan_id", "y", "x").agg(F.coalesce(F.bool_or(~F.col("wall")), F.lit(False)).alias("open"))
+    rows = given.groupBy("plan_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.sort_array(F.collect_list(F.struct("y", "x", "open"))).alias("c"))
+    at = lambda c: (c["y"] * F.col("w") + c["x"]).cast("int")
+    before = lambda i: F.when(i > 0, at(F.get("c", i - 1))).otherwise(-1)
+    # what's missing between two cells, and after the last, is wall
+    filled = F.flatten(F.transform("c", lambda c, i: F.concat(F.array_repeat(F.lit(False), at(c) - before(i) - 1), F.array(c["open"]))))
+    size = (F.col("w") * F.col("h")).cast("int")
+    tail = F.array_repeat(F.lit(False), size - at(F.element_at("c", F.lit(-1))) - 1)
+    return rows.select("plan_id", "w", "h", F.when(F.size("c") == size, F.transform("c", lambda c: c["open"])).otherwise(F.concat(filled, tail)).alias("free"))
 
 
 def _inside(x: Column, y: Column) -> Column:
@@ -47,8 +61,107 @@ def line_is_free(dx: Column, dy: Column) -> Column:
     return ~F.exists(F.sequence(F.lit(0), n.cast("int")), wall)
 
 
-def _angle(i: Column, n: int) -> Column:
-    return i * F.lit(2 * math.pi / n)
+@lru_cache(maxsize=128)
+def ray_tree(w: int, h: int, ox: float, oy: float, rays: int, first: int, merge: bool = False) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(levels, leaf): per step from `first` on the parents of its nodes and their cells (w * h outside), and each ray's last node.
+
+    With `merge`, steps that stay in a ray's cell are left out.
+    """
+    angle = [i * (2 * math.pi / rays) for i in range(rays)]
+    c, s = np.array([math.cos(a) for a in angle]), np.array([math.sin(a) for a in angle])
+    k = np.arange(first, math.floor(math.hypot(w, h) / STEP) + 1)[:, None] * STEP
+    x, y = ox + c * k, oy + s * k
+    inside = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+    cell = np.where(inside, np.floor(y) * w + np.floor(x), w * h).astype("int64")
+    if merge and len(cell):
+        stay = np.zeros(cell.shape, bool)
+        stay[1:] = cell[1:] == cell[:-1]
+        cell = np.take_along_axis(np.where(stay, w * h, cell), np.argsort(stay, 0, kind="stable"), 0)
+    levels, node = [], np.zeros(rays, "int64")
+    for row in cell:
+        if (row == w * h).all() and merge:
+            break
+        made, node = np.unique(node * (w * h + 1) + row, return_inverse=True)
+        levels.append((made // (w * h + 1), made % (w * h + 1)))
+    return levels, node
+
+
+def _alike(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, tuple, np.ndarray]]:
+    """Rows (w, h, ox, oy, free) of one size and origin, some hundreds at most: their numbers, (w, h, ox, oy), and flags [cell, row], a last cell being false."""
+    key = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in ("w", "h", "ox", "oy")])
+    starts, flags = batch.column("free").offsets.to_numpy(), batch.column("free").values.to_numpy(zero_copy_only=False)
+    order = np.lexsort(key)
+    ends = np.flatnonzero((np.diff(key[:, order]) != 0).any(0)) + 1
+    for group in np.split(order, ends) if len(order) else []:
+        w, h, ox, oy = key[:, group[0]].tolist()
+        size = int(w * h)
+        for rows in np.array_split(group, -(-len(group) // ROWS)):
+            free = np.zeros((size + 1, len(rows)), bool)
+            free[:size] = flags[starts[rows] + np.arange(size)[:, None]]
+            yield rows, (int(w), int(h), ox, oy), free
+
+
+def _measured(batch: pa.RecordBatch, rays: int, jump: float) -> list[np.ndarray]:
+    """Per row: twice the area of the triangles over the sine, perimeter, occlusivity, least and greatest ray, mean, second and third central moments, mean end (x, y), closed."""
+    out = np.zeros((10, batch.num_rows))
+    closed = np.zeros(batch.num_rows, bool)
+    apart = math.cos(2 * math.pi / rays)
+    angle = [i * (2 * math.pi / rays) for i in range(rays)]
+    turn = np.array([[math.cos(a) for a in angle], [math.sin(a) for a in angle]])
+    for rows, (w, h, ox, oy), free in _alike(batch):
+        levels, leaf = ray_tree(w, h, ox, oy, rays, 1)
+        n, last = len(rows), len(levels)
+        alive, steps, left = np.ones((1, n), bool), np.zeros((1, n), "int32"), np.zeros((1, n), bool)
+        for parent, cell in levels:
+            # a ray that ends here outside has left the plan
+            before = alive[parent]
+            alive = before & free[cell]
+            steps, left = steps[parent] + alive, left[parent]
+            left[cell == w * h] |= before[cell == w * h]
+        if not levels:
+            leaf = np.zeros(rows.size and rays, "int64")
+        k, solid = steps[leaf] + 1, ~(left | (steps == last))[leaf]
+        k2, both = np.roll(k, -1, 0), solid & np.roll(solid, -1, 0)
+        r = np.arange(last + 2) * STEP
+        side = np.sqrt(np.maximum(r[:, None] * r[:, None] + r * r - 2 * r[:, None] * r * apart, 0))
+        length = side.ravel()[k * (last + 2) + k2]
+        hidden = np.where((np.abs(k - k2) * STEP > jump) | ~both, length, 0.0)
+        v = k * STEP
+        mean = v.sum(0) / rays
+        off = v - mean
+        square = off * off
+        out[:, rows] = [(v * (k2 * STEP)).sum(0), length.sum(0), hidden.sum(0), v.min(0), v.max(0), mean, square.sum(0) / rays, (square * off).sum(0) / rays, *(turn @ v / rays)]
+        closed[rows] = solid.all(0)
+    return [*out, closed]
+
+
+def _looked(batch: pa.RecordBatch, rays: int) -> pa.Array:
+    """Per row flags of the cells that rays from its origin pass, the origin's own among them; none for an origin outside."""
+    kept = batch.column("free")
+    seen, starts = np.zeros(len(kept.values), bool), kept.offsets.to_numpy()
+    for rows, (w, h, ox, oy), free in _alike(batch):
+        if not (0 <= ox < w and 0 <= oy < h):
+            continue
+        alive, found = np.ones((1, len(rows)), bool), np.zeros_like(free)
+        for parent, cell in ray_tree(w, h, ox, oy, rays, 0, True)[0]:
+            alive = alive[parent] & free[cell]
+            by = np.argsort(cell, kind="stable")
+            at, first = np.unique(cell[by], return_index=True)
+            found[at] |= np.logical_or.reduceat(alive[by], first, axis=0)
+        found[math.floor(oy) * w + math.floor(ox)] = True
+        seen[starts[rows] + np.arange(w * h)[:, None]] = found[:-1]
+    return pa.ListArray.from_arrays(kept.offsets, pa.array(seen))
+
+
+def _over(df: DataFrame, keep: list[str], more: str, f: Callable[[pa.RecordBatch], list]) -> DataFrame:
+    """df's columns `keep` and those that f makes of each Arrow batch."""
+    schema = StructType([df.schema[c] for c in keep] + StructType.fromDDL(more).fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(v if isinstance(v, pa.Array) else pa.array(v) for v in f(b))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def _spread(o: DataFrame) -> DataFrame:
@@ -56,20 +169,16 @@ def _spread(o: DataFrame) -> DataFrame:
     return o.repartition(int(o.sparkSession.conf.get("spark.sql.shuffle.partitions")), "plan_id", "ox", "oy")
 
 
-def seen_cells(origins: DataFrame, plan: DataFrame, rays: int = MASK_RAYS) -> DataFrame:
-    """origins: plan_id, ox, oy. (plan_id, ox, oy, x, y) of the cells that rays pass before they meet a wall or leave the plan; the origin is one."""
-    o = _spread(origins.join(grids(plan), "plan_id").where(_inside(F.col("ox"), F.col("oy"))))
-    a = o.withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(rays - 1)))).withColumns({"c": F.cos(_angle(F.col("ray"), rays)), "s": F.sin(_angle(F.col("ray"), rays))})
-    last = F.floor(F.hypot("w", "h") / STEP).cast("int")
+def looks(origins: DataFrame, plan: DataFrame, rays: int = MASK_RAYS) -> DataFrame:
+    """origins: plan_id, ox, oy. (plan_id, ox, oy, w, free, seen): flags of the cells that are free and of those that rays pass before they meet a wall or leave the plan."""
+    o = _spread(origins.select("plan_id", "ox", "oy").join(grids(plan), "plan_id"))
+    return _over(o.select("plan_id", "ox", "oy", "w", "h", "free"), ["plan_id", "ox", "oy", "w", "free"], "seen array<boolean>", lambda b: [_looked(b, rays)])
 
-    def passed(k: Column) -> Column:
-        x, y = F.col("ox") + F.col("c") * (k * STEP), F.col("oy") + F.col("s") * (k * STEP)
-        return F.when(_inside(x, y) & F.get("free", F.when(_inside(x, y), _cell(x, y)).otherwise(0)), _cell(x, y)).otherwise(-1)
 
-    way = a.withColumn("way", F.transform(F.sequence(F.lit(0), last), passed)).withColumn("stop", F.array_position("way", -1))
-    met = way.select("plan_id", "ox", "oy", "w", F.explode(F.array_distinct(F.slice("way", 1, F.when(F.col("stop") > 0, F.col("stop") - 1).otherwise(F.size("way")).cast("int")))).alias("at"))
-    seen = met.unionByName(o.select("plan_id", "ox", "oy", "w", _cell(F.col("ox"), F.col("oy")).alias("at"))).distinct()
-    return seen.select("plan_id", "ox", "oy", (F.col("at") % F.col("w")).cast("int").alias("x"), F.floor(F.col("at") / F.col("w")).cast("int").alias("y"))
+def seen_cells(origins: DataFrame, plan: DataFrame, rays: int = MASK_RAYS) -> DataFrame:
+    """origins: plan_id, ox, oy. (plan_id, ox, oy, x, y) of the cells that rays pass before they meet a wall or leave the plan; the origin is one."""
+    each = looks(origins.select("plan_id", "ox", "oy").distinct(), plan, rays).select("plan_id", "ox", "oy", "w", F.posexplode("seen").alias("at", "seen")).where("seen")
+    return each.select("plan_id", "ox", "oy", (F.col("at") % F.col("w")).cast("int").alias("x"), F.floor(F.col("at") / F.col("w")).cast("int").alias("y"))
 
 
 def isovists(origins: DataFrame, plan: DataFrame, rays: int = ISOVIST_RAYS, jump: float = JUMP) -> DataFrame:
@@ -78,36 +187,10 @@ def isovists(origins: DataFrame, plan: DataFrame, rays: int = ISOVIST_RAYS, jump
     Lengths are in cells. An edge between neighbouring rays occludes if their lengths differ by over `jump` or either
     left the plan; the rest of the perimeter is real. Elongation and jaggedness are null where they have no finite value.
     """
-    o = _spread(origins.join(grids(plan), "plan_id").where(_inside(F.col("ox"), F.col("oy"))))
-    last = F.floor(F.hypot("w", "h") / STEP).cast("int")
-
-    def ray(i: Column) -> Column:
-        c, s = F.cos(_angle(i, rays)), F.sin(_angle(i, rays))
-
-        def ends(k: Column) -> Column:
-            x, y = F.col("ox") + c * (k * STEP), F.col("oy") + s * (k * STEP)
-            return F.when(~_inside(x, y), 1).when(F.get("free", F.when(_inside(x, y), _cell(x, y)).otherwise(0)), 0).otherwise(2)
-
-        return F.transform(F.sequence(F.lit(1), last), ends)
-
-    # 1: left the plan, 2: met a wall; the first of both, else one step beyond the last
-    first = lambda e: F.array_position(F.transform(e, lambda v: v > 0), True).cast("int")
-    o = o.withColumn("ends", F.transform(F.sequence(F.lit(0), F.lit(rays - 1)), ray))
-    o = o.withColumn("r", F.transform("ends", lambda e: F.when(first(e) > 0, first(e)).otherwise(F.size(e) + 1) * STEP))
-    o = o.withColumn("solid", F.transform("ends", lambda e: (first(e) > 0) & (F.get(e, F.greatest(first(e) - 1, F.lit(0))) == 2))).drop("ends", "free")
-    turn = lambda c: F.concat(F.slice(c, 2, rays - 1), F.slice(c, 1, 1))
-    both = F.arrays_zip(F.col("r"), turn("r").alias("r2"), F.col("solid"), turn("solid").alias("solid2"))
-    apart = F.lit(math.cos(2 * math.pi / rays))
-    edge = lambda e: F.sqrt(F.greatest(e["r"] * e["r"] + e["r2"] * e["r2"] - 2 * e["r"] * e["r2"] * apart, F.lit(0.0)))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
-    o = o.withColumn("e", F.transform(both, lambda e: F.struct((e["r"] * e["r2"]).alias("fan"), edge(e).alias("len"), ((F.abs(e["r"] - e["r2"]) > jump) | ~e["solid"] | ~e["solid2"]).alias("occ"))))
-    o = o.withColumns({
-        "area": 0.5 * math.sin(2 * math.pi / rays) * total(F.transform("e", lambda v: v["fan"])), "perimeter": total(F.transform("e", lambda v: v["len"])),
-        "occlusivity": total(F.transform("e", lambda v: F.when(v["occ"], v["len"]).otherwise(0.0))), "min_radial": F.array_min("r"), "max_radial": F.array_max("r"), "mean_radial": total("r") / rays,
-        "dx": total(F.transform("r", lambda v, i: v * F.cos(_angle(i, rays)))) / rays, "dy": total(F.transform("r", lambda v, i: v * F.sin(_angle(i, rays)))) / rays, "closed": F.forall("solid", lambda s: s),
-    })
-    power = lambda p: total(F.transform("r", lambda v: F.pow(v - F.col("mean_radial"), F.lit(p)))) / rays
-    o = o.withColumns({"radial_variance": power(2.0), "third": power(3.0)})
+    o = _spread(origins.select("plan_id", "ox", "oy").join(grids(plan), "plan_id").where(_inside(F.col("ox"), F.col("oy"))))
+    names = ["fans", "perimeter", "occlusivity", "min_radial", "max_radial", "mean_radial", "radial_variance", "third", "dx", "dy"]
+    o = _over(o.select("plan_id", "ox", "oy", "w", "h", "free"), ["plan_id", "ox", "oy"], ", ".join(f"{n} double" for n in names) + ", closed boolean", lambda b: _measured(b, rays, jump))
+    o = o.withColumn("area", 0.5 * math.sin(2 * math.pi / rays) * F.col("fans"))
     round_ = F.coalesce(F.try_divide(4 * math.pi * F.col("area"), F.col("perimeter") * F.col("perimeter")), F.lit(0.0))
     return o.select(
         "plan_id", "ox", "oy", "area", "perimeter", (F.col("perimeter") - F.col("occlusivity")).alias("real_surface_perimeter"), "occlusivity", "min_radial", "max_radial", "mean_radial", "radial_variance",
