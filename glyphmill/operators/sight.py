@@ -27,6 +27,8 @@ from .geometry import line_samples
 ISOVIST_RAYS, MASK_RAYS, STEP, JUMP = 720, 1440, 0.5, 3.0
 #: Origins that a task looks from at once.
 ROWS = 256
+#: Cells of a plan, and of its longer side, up to which its graph is a matrix; elements of the matrices that a task holds at once.
+SMALL, SIDE, CELLS = 256, 32, 1 << 22
 
 
 def free_cells(plan: DataFrame) -> DataFrame:
@@ -200,22 +202,72 @@ def isovists(origins: DataFrame, plan: DataFrame, rays: int = ISOVIST_RAYS, jump
     )
 
 
-def visibility_graph(plan: DataFrame, stride: int = 1) -> DataFrame:
-    """(plan_id, x, y, connectivity, mean_depth, integration, clustering) of the free cells whose coordinates `stride` divides.
-
-    Edges are pairs of cells that see one another. Depths are rounds of a frontier, each joined with the edges; integration is the
-    inverse of the real relative asymmetry among all n cells of the plan, 0 where the mean depth is 1 at most; a cell that reaches none
-    has no mean depth. Clustering is the share of a cell's pairs of neighbours that see one another.
-    """
-    checkpoint_dir(plan.sparkSession)
-    nodes = free_cells(plan).distinct().where(f"x % {stride} = 0 and y % {stride} = 0").join(grids(plan), "plan_id").withColumn("v", (F.col("y") * F.col("w") + F.col("x")).cast("int"))
+@lru_cache(maxsize=4)
+def _line_cells(w: int, h: int) -> list[np.ndarray]:
+    """Per cell the cells [other, sample] of its lines to all later ones, the last sample repeated."""
+    out = []
+    for a in range(w * h):
+        ways = []
+        for b in range(a + 1, w * h):
+            x, y = line_samples(b % w - a % w, b // w - a // w)
+            cell = (np.floor(a // w + y) * w + np.floor(a % w + x)).astype("int64")
+            ways.append(np.pad(cell, (0, 2 * max(w, h) - len(cell)), "edge"))
+        out.append(np.array(ways, "int64").reshape(-1, 2 * max(w, h)))
+    return out
+
+
+def _linked(batch: pa.RecordBatch, stride: int) -> list[pa.Array]:
+    """Per plan lists of its nodes: cell, neighbours, pairs of neighbours that see one another (both ways), nodes reached and the sum of their depths."""
+    found: list[tuple] = [()] * batch.num_rows
+    for rows, (w, h, _, _), free in _alike(batch):
+        v = w * h
+        at = np.arange(v)
+        node = free[:-1] & ((at % w % stride == 0) & (at // w % stride == 0))[:, None]
+        for part in np.array_split(np.arange(len(rows)), -(-len(rows) * v * v // CELLS)):
+            near = np.zeros((v, v, len(part)), bool)
+            for a, ways in enumerate(_line_cells(w, h)):
+                near[a, a + 1 :] = free[:, part][ways].all(1) & node[a, part] & node[a + 1 :, part]
+            own = np.ascontiguousarray((near | near.transpose(1, 0, 2)).transpose(2, 0, 1)).astype("float32")
+            links = (own @ own * own).sum(2)
+            step, met, depth = own + np.eye(v, dtype="float32"), own > 0, 1
+            met |= np.eye(v, dtype=bool)
+            reached = own.sum(2)
+            total = reached.copy()
+            while True:
+                now = met.astype("float32") @ step > 0
+                new = (now & ~met).sum(2)
+                if not new.any():
+                    break
+                depth += 1
+                reached, total, met = reached + new, total + depth * new, now
+            for i, r in enumerate(rows[part]):
+                here = np.flatnonzero(node[:, part[i]])
+                found[r] = (here, *(m[i][here] for m in (own.sum(2), links, reached, total)))
+    offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype("int32")
+    flat = [np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(5)]
+    return [pa.ListArray.from_arrays(offsets, pa.array(c.astype("int64"))) for c in flat]
+
+
+def _small_graphs(g: DataFrame, stride: int) -> DataFrame:
+    """(plan_id, x, y, n, k, links, reached, total) of plans g (as of `grids`) by matrices of their cells, a batch of plans at a time."""
+    names = ["at", "k", "links", "reached", "total"]
+    g = g.select("plan_id", "w", "h", "free").repartition(int(g.sparkSession.conf.get("spark.sql.shuffle.partitions")), "plan_id")
+    each = _over(g.withColumns({"ox": F.lit(0), "oy": F.lit(0)}), ["plan_id", "w"], ", ".join(f"{n} array<bigint>" for n in names), lambda b: _linked(b, stride))
+    each = each.select("plan_id", "w", F.size("at").cast("long").alias("n"), F.explode(F.arrays_zip(*names)).alias("c")).select("plan_id", "w", "n", "c.*")
+    return each.select("plan_id", (F.col("at") % F.col("w")).cast("int").alias("x"), F.floor(F.col("at") / F.col("w")).cast("int").alias("y"), "n", "k", "links", "reached", "total")
+
+
+def _large_graphs(g: DataFrame, stride: int) -> DataFrame:
+    """As `_small_graphs`, by joins: edges are rows, depths are rounds of a frontier, each joined with the edges."""
+    cells = g.select("plan_id", "w", "free", F.posexplode("free").alias("v", "open")).where("open")
+    nodes = cells.withColumns({"x": (F.col("v") % F.col("w")).cast("int"), "y": F.floor(F.col("v") / F.col("w")).cast("int")}).where(f"x % {stride} = 0 and y % {stride} = 0")
     a = nodes.select("plan_id", "w", "free", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("v").alias("a"))
     b = nodes.select("plan_id", "x", "y", F.col("v").alias("b"))
     seen = a.join(b, "plan_id").where("a < b").where(line_is_free(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))).select("plan_id", "a", "b")
     edges = seen.unionByName(seen.select("plan_id", F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     near = edges.groupBy("plan_id", "a").agg(F.collect_list("b").alias("near"))
     other = near.select("plan_id", F.col("a").alias("b"), F.col("near").alias("near2"))
-    shared = edges.join(near, ["plan_id", "a"]).join(other, ["plan_id", "b"]).groupBy("plan_id", "a").agg(F.count("*").cast("int").alias("k"), F.sum(F.size(F.array_intersect("near", "near2"))).alias("links"))
+    shared = edges.join(near, ["plan_id", "a"]).join(other, ["plan_id", "b"]).groupBy("plan_id", "a").agg(F.count("*").alias("k"), F.sum(F.size(F.array_intersect("near", "near2"))).alias("links"))
     met = edges.select("plan_id", "a", "b", F.lit(1).alias("depth")).unionByName(nodes.select("plan_id", F.col("v").alias("a"), F.col("v").alias("b"), F.lit(0).alias("depth"))).checkpoint()
     depth = 1
     while True:
@@ -224,10 +276,27 @@ def visibility_graph(plan: DataFrame, stride: int = 1) -> DataFrame:
         if new.isEmpty():
             break
         met, depth = met.unionByName(new).checkpoint(), depth + 1
-    depths = met.where("depth > 0").groupBy("plan_id", "a").agg(F.avg("depth").alias("mean_depth"))
-    n = F.col("n")
+    depths = met.where("depth > 0").groupBy("plan_id", "a").agg(F.count("*").alias("reached"), F.sum("depth").alias("total"))
+    out = nodes.select("plan_id", "x", "y", F.col("v").alias("a")).join(nodes.groupBy("plan_id").agg(F.count("*").alias("n")), "plan_id").join(depths, ["plan_id", "a"], "left").join(shared, ["plan_id", "a"], "left")
+    return out.select("plan_id", "x", "y", "n", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("k", "links", "reached", "total")))
+
+
+def visibility_graph(plan: DataFrame, stride: int = 1, small: int = SMALL) -> DataFrame:
+    """(plan_id, x, y, connectivity, mean_depth, integration, clustering) of the free cells whose coordinates `stride` divides.
+
+    Edges are pairs of cells that see one another. Integration is the inverse of the real relative asymmetry among all n cells of
+    the plan, 0 where the mean depth is 1 at most; a cell that reaches none has no mean depth. Clustering is the share of a cell's
+    pairs of neighbours that see one another. Plans of at most `small` cells, whose pairs fit a matrix, are done a batch of plans at
+    a time; those of more by joins, so that no plan's pairs meet in one task.
+    """
+    checkpoint_dir(plan.sparkSession)
+    g = grids(plan).checkpoint()
+    fits = (F.col("w") * F.col("h") <= small) & (F.greatest("w", "h") <= SIDE)
+    out, large = _small_graphs(g.where(fits), stride), g.where(~fits)
+    if not large.isEmpty():
+        out = out.unionByName(_large_graphs(large, stride))
+    n, k = F.col("n"), F.col("k").cast("int")
+    out = out.withColumn("mean_depth", F.try_divide("total", "reached"))
     d = 2 * (n * (F.log2((n + 2) / 3) - 1) + 1) / ((n - 1) * (n - 2))
     inverse = F.when((n > 2) & (F.col("mean_depth") > 1), F.greatest(d / (2 * (F.col("mean_depth") - 1) / (n - 2)), F.lit(0.0))).otherwise(0.0)
-    out = nodes.select("plan_id", "x", "y", F.col("v").alias("a")).join(nodes.groupBy("plan_id").agg(F.count("*").alias("n")), "plan_id").join(depths, ["plan_id", "a"], "left").join(shared, ["plan_id", "a"], "left")
-    k = F.coalesce("k", F.lit(0))
     return out.select("plan_id", "x", "y", k.alias("connectivity"), "mean_depth", inverse.alias("integration"), F.when(k > 1, F.col("links") / (k * (k - 1))).otherwise(0.0).alias("clustering"))

@@ -1,4 +1,4 @@
-"""Plans of several sizes at once, and work that doesn't grow with rays."""
+"""Plans of several sizes at once, graphs by matrices and by joins, and work that doesn't grow with rays."""
 
 import random
 
@@ -26,6 +26,13 @@ def test_grids_fill_what_is_missing(spark):
         assert got == {k: (w, h, [(k, i % w, i // w) in free for i in range(w * h)]) for k, (w, h) in size.items()}
 
 
+def test_graph_by_matrices_and_by_joins(spark):
+    _, plan = lattice(spark)
+    some = plan.where("plan_id < 6")
+    key = lambda df: sorted((r.plan_id, r.x, r.y, r.connectivity, *(None if v is None else round(v, 9) for v in r[4:])) for r in df.collect())
+    assert key(S.visibility_graph(some)) == key(S.visibility_graph(some, small=12)) != []
+
+
 def test_origins_outside_and_on_walls(spark):
     plan = spark.createDataFrame([(1, x, y, (x, y) == (1, 1)) for x in range(3) for y in range(2)], "plan_id long, x int, y int, wall boolean")
     origins = spark.createDataFrame([(1, 9, 0), (1, 1, 1), (1, 0, 0), (1, 0, 0), (2, 0, 0)], "plan_id long, ox int, oy int")
