@@ -117,7 +117,18 @@ def sliding_agreement(validations: DataFrame, window: str = "7 days", slide: str
     image and attribute with two judgments or more; their mean over all of these. Each is final when the watermark passes the window,
     and the state is that of the open windows. Values are compared exactly; pairs are counted, not made. Batch frames work too.
     """
-    same = validations.withWatermark("created_at", late).groupBy(F.window("created_at", window, slide), "image_id", "attribute_key", "value").agg(F.count("*").alias("c"))
+    if validations.isStreaming:
+        each, place, many = validations.withWatermark("created_at", late), F.window("created_at", window, slide), F.count("*")
+    else:
+        # equal judgments are counted and an image's attribute dealt to one task first, so that no row is shuffled once a window
+        keys = ["image_id", "attribute_key"]
+        length, step = (F.expr(f"unix_micros(timestamp_micros(0) + cast('{d}' AS interval))") for d in (window, slide))
+        at = F.unix_micros("created_at")
+        starts = F.filter(F.transform(F.sequence(F.lit(0), F.ceil(length / step) - 1), lambda i: at - F.pmod(at, step) - i * step), lambda v: v + length > at)
+        each = validations.where("created_at IS NOT NULL").groupBy(*keys, "value", "created_at").agg(F.count("*").alias("many")).repartition(*keys)
+        each = each.select(*keys, "value", "many", F.explode(starts).alias("v")).withColumn("window", F.struct(F.timestamp_micros("v").alias("start")))
+        place, many = F.col("window"), F.sum("many")
+    same = each.groupBy(place, "image_id", "attribute_key", "value").agg(many.alias("c"))
     pairs = same.groupBy("window", "image_id", "attribute_key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("equal"))
     shares = pairs.where("n >= 2").withColumn("share", F.col("equal") / (F.col("n") * (F.col("n") - 1) / 2))
     return shares.groupBy("window").agg(F.count("*").alias("rated"), F.sum("n").alias("judgments"), F.avg("share").alias("agreement")).select(F.col("window.start").alias("start"), "rated", "judgments", "agreement")

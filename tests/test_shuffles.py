@@ -1,5 +1,6 @@
 """What is shuffled: sums instead of rows a round, judgments once instead of once a window, an item's words once."""
 
+import datetime
 import hashlib
 import random
 from decimal import Decimal
@@ -7,6 +8,11 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from glyphmill.operators import matching as H
+from glyphmill.streaming import expiring as X
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_signed_sums_are_exact(spark):
@@ -22,3 +28,8 @@ def test_signed_sums_are_exact(spark):
             s, c = want.get((g, k, n), (Decimal(0), 0))
             want[g, k, n] = (s + (d if digits[n] < "8" else -d), c + 1)
     assert got == want
+
+
+def test_judgments_are_shuffled_before_windows(spark):
+    rows = spark.createDataFrame([(1, "a", 0.5, datetime.datetime(2024, 1, 1))], "image_id long, attribute_key string, value double, created_at timestamp")
+    assert plan_of(X.sliding_agreement(rows)).count("hashpartitioning(window") == 1
