@@ -183,9 +183,12 @@ def material_answer(payload: Column) -> Column:
 def indicator_features(payload: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """payload: item, affordance, name, polarity; vocabulary: affordance, name (plain). (item, feature, value): 1 where said, for each item and entry, else 0."""
     plain = F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "_"), F.lit("_"))
-    said = payload.select("item", "affordance", plain.alias("name"), F.lower("polarity").alias("polarity")).where(F.col("polarity").isin("positive", "negative"))
-    # one row an item and affordance, so that the vocabulary is joined by its key
-    items = payload.select("item").distinct()
+    polarity = F.lower("polarity")
+    said = F.struct("affordance", plain.alias("name"), polarity.alias("polarity"))
+    told = polarity.isin("positive", "negative") & F.col("affordance").isNotNull() & F.col("name").isNotNull()
+    # one row an item with all that it says; the vocabulary's entries are looked up there, so what is said is shuffled once
+    items = payload.select("item", F.when(told, said).alias("s")).groupBy("item").agg(F.collect_set("s").alias("said"))
     sides = vocabulary.select("affordance", "name", F.explode(F.array(F.lit("positive"), F.lit("negative"))).alias("polarity"))
-    grid = items.join(F.broadcast(sides)).join(said.distinct().withColumn("hit", F.lit(1.0)), ["item", "affordance", "name", "polarity"], "left")
+    hit = F.when(F.col("item").isNotNull() & F.array_contains("said", F.struct("affordance", "name", "polarity")), 1.0)
+    grid = items.join(F.broadcast(sides)).select("item", "affordance", "name", "polarity", hit.alias("hit"))
     return grid.select("item", F.concat(F.lit("ind_"), "affordance", F.when(F.col("polarity") == "positive", "_pos_").otherwise("_neg_"), "name").alias("feature"), F.coalesce("hit", F.lit(0.0)).alias("value"))

@@ -8,6 +8,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from glyphmill.operators import matching as H
+from glyphmill.operators import rooms as R
 from glyphmill.streaming import expiring as X
 
 
@@ -33,3 +34,11 @@ def test_signed_sums_are_exact(spark):
 def test_judgments_are_shuffled_before_windows(spark):
     rows = spark.createDataFrame([(1, "a", 0.5, datetime.datetime(2024, 1, 1))], "image_id long, attribute_key string, value double, created_at timestamp")
     assert plan_of(X.sliding_agreement(rows)).count("hashpartitioning(window") == 1
+
+
+def test_vocabulary_is_looked_up_without_a_join_of_the_grid(spark):
+    said = [(1, "A", "Soft  bed!", "Positive"), (1, "A", "soft bed", "neutral"), (2, None, "desk", "positive"), (2, "A", None, "negative"), (None, "A", "desk", "positive"), (3, "A", "DESK", "negative"), (3, "A", "desk", "negative")]
+    found = R.indicator_features(spark.createDataFrame(said, "item long, affordance string, name string, polarity string"), spark.createDataFrame([("A", "soft_bed"), ("A", "desk")], "affordance string, name string"))
+    got = {(r.item, r.feature): r.value for r in found.collect()}
+    assert {k for k, v in got.items() if v} == {(1, "ind_A_pos_soft_bed"), (3, "ind_A_neg_desk")} and len(got) == found.count() == 16
+    assert "LeftOuter" not in plan_of(found)
