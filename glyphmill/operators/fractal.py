@@ -28,7 +28,8 @@ def rectangle_sums(table: DataFrame, keys: list[str], wanted: DataFrame, name: s
     corner = lambda sign, x, y: F.struct(F.lit(sign).alias("sign"), F.col(x).alias("cx") if x != "x" else (F.col(x) - 1).alias("cx"), F.col(y).alias("cy") if y != "y" else (F.col(y) - 1).alias("cy"))
     corners = F.array(corner(1, "x2", "y2"), corner(-1, "x", "y2"), corner(-1, "x2", "y"), corner(1, "x", "y"))
     asked = wanted.withColumn("c", F.explode(corners)).select(*wanted.columns, "c.*")
-    met = asked.join(table.select(*keys, F.col("x").alias("cx"), F.col("y").alias("cy"), "s"), [*keys, "cx", "cy"])
+    # both sides grow with the images, so neither is broadcast, however small its blocks are compressed
+    met = asked.join(table.select(*keys, F.col("x").alias("cx"), F.col("y").alias("cy"), "s").hint("merge"), [*keys, "cx", "cy"])
     return met.groupBy(*wanted.columns).agg(F.sum(F.col("sign") * F.col("s")).alias(name))
 
 
@@ -72,7 +73,7 @@ def dimension_map(edges: DataFrame, key: str, window: int = WINDOW, stride: int
     fits = counts.groupBy(key, F.col("ox").alias("x"), F.col("oy").alias("y")).agg((-F.regr_slope(b, a)).alias("dimension"), F.regr_syy(b, a).alias("syy"), F.regr_sxx(b, a).alias("sxx"))
     # what the line leaves is syy - slope * slope * sxx
     fit = 1 - (F.col("syy") - F.col("dimension") * F.col("dimension") * F.col("sxx")) / (F.col("syy") + 1e-10)
-    held = fits.join(inside.where(F.col("edges") >= SHARE * window * window).select(key, "x", "y"), [key, "x", "y"])
+    held = fits.join(inside.where(F.col("edges") >= SHARE * window * window).select(key, "x", "y").hint("merge"), [key, "x", "y"])
     return held.where((fit > FIT) & (F.col("dimension") > LEAST) & (F.col("dimension") < MOST)).select(key, "x", "y", "dimension")
 
 

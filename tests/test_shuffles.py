@@ -42,3 +42,10 @@ def test_vocabulary_is_looked_up_without_a_join_of_the_grid(spark):
     got = {(r.item, r.feature): r.value for r in found.collect()}
     assert {k for k, v in got.items() if v} == {(1, "ind_A_pos_soft_bed"), (3, "ind_A_neg_desk")} and len(got) == found.count() == 16
     assert "LeftOuter" not in plan_of(found)
+
+
+def test_maps_of_dimension_broadcast_nothing(spark):
+    from glyphmill.operators.fractal import dimension_map
+
+    edges = spark.range(512).selectExpr("id DIV 256 AS id", "CAST(id % 16 AS INT) AS x", "CAST(id DIV 16 % 16 AS INT) AS y").selectExpr("*", "CAST((x * y + id) % 3 % 2 AS INT) AS edge")
+    assert "Broadcast" not in plan_of(dimension_map(edges, "id", 8, 4))
