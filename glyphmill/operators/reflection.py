@@ -1,8 +1,9 @@
 """What mirrors show: one's own image, and others by way of a surface, with sight blocked by partitions.
 
 Surfaces and occluders are segments of a plan (plan_id, surface, x1, y1, x2, y2). Whether a line of sight is blocked is a join of
-segments that cross: both are laid over a grid and meet only in cells that both touch, so a line is tested against the
-occluders along it, not against all of the plan. The crossing itself is tested exactly.
+segments that cross, tested exactly. Two ways lead there: by a grid that both are laid over, so a line is tested only against the
+occluders along it; or, without a grid (side None), against all occluders of its plan. The latter shuffles no line, since a plan's
+rows meet anyway, and is for plans of few occluders, as rooms are; the grid is for large ones.
 
 A surface reflects on the side of the plan's interior point. Segments that only touch, or lie on one another, don't block, nor
 does the surface that a line ends on. A surface without a name blocks everything that crosses it.
@@ -58,15 +59,24 @@ def cells(x1: Column, y1: Column, x2: Column, y2: Column, side: float) -> Column
     return F.flatten(F.transform(F.sequence(place(left, -1e-6), place(right, 1e-6)), rows))
 
 
-def unblocked(lines: DataFrame, occluders: DataFrame, key: list[str], side: float = 1.0) -> DataFrame:
-    """The lines (plan_id, ax, ay, bx, by, skip and `key`) that cross no occluder of their plan but the surface `skip`."""
+def unblocked(lines: DataFrame, occluders: DataFrame, key: list[str], side: float | None = 1.0) -> DataFrame:
+    """The lines (plan_id, ax, ay, bx, by, skip and `key`) that cross no occluder of their plan but the surface `skip`.
+
+    side: of the grid's cells; None for no grid.
+    """
     drawn = lambda p, q: F.col(p) + ((F.col(p) + F.col(q)) / 2 - F.col(p)) * DRAWN
-    ends = lines.select(*key, F.col("plan_id").alias("__plan"), "skip", drawn("ax", "bx").alias("ax"), drawn("ay", "by").alias("ay"), drawn("bx", "ax").alias("bx"), drawn("by", "ay").alias("by"))
-    laid = ends.withColumn("c", F.explode(cells(*(F.col(c) for c in ("ax", "ay", "bx", "by")), side)))
-    walls = occluders.select(F.col("plan_id").alias("__plan"), F.col("surface").alias("by_surface"), "x1", "y1", "x2", "y2")
-    walls = walls.withColumn("c", F.explode(cells(*(F.col(c) for c in ("x1", "y1", "x2", "y2")), side)))
-    at = lambda *names: [F.col(n) for n in names]
-    hit = laid.join(walls, ["__plan", "c"]).where(F.coalesce(F.col("by_surface") != F.col("skip"), F.lit(True)) & crosses(at("ax", "ay"), at("bx", "by"), at("x1", "y1"), at("x2", "y2")))
+    names = ["__x1", "__y1", "__x2", "__y2"]
+    walls = occluders.select(F.col("plan_id").alias("__plan"), F.col("surface").alias("__name"), *(F.col(n[2:]).alias(n) for n in names))
+    # exploded even without a grid: an end is then worked out once a line, not wherever it's compared
+    ends = F.struct(drawn("ax", "bx").alias("ax"), drawn("ay", "by").alias("ay"), drawn("bx", "ax").alias("bx"), drawn("by", "ay").alias("by"))
+    lined = lines.withColumn("__line", F.explode(F.array(ends)))
+    line, wall = [F.col(f"__line.{c}") for c in ("ax", "ay", "bx", "by")], [F.col(n) for n in names]
+    blocks = F.coalesce(F.col("__name") != F.col("skip"), F.lit(True)) & crosses(line[:2], line[2:], wall[:2], wall[2:])
+    if side is None:
+        return lined.join(walls, (F.col("plan_id") == F.col("__plan")) & blocks, "left_anti").drop("__line")
+    laid = lined.withColumn("__cell", F.explode(cells(*line, side)))
+    walls = walls.withColumn("__at", F.explode(cells(*wall, side)))
+    hit = laid.join(walls, (F.col("plan_id") == F.col("__plan")) & (F.col("__cell") == F.col("__at")) & blocks)
     return lines.join(hit.select(*key).distinct(), key, "left_anti")
 
 
@@ -76,14 +86,14 @@ def _facing(px: str, py: str) -> Column:
     return turn(F.col("ix"), F.col("iy"), *line) * turn(F.col(px), F.col(py), *line) >= 0
 
 
-def self_images(eyes: DataFrame, surfaces: DataFrame, interior: DataFrame, occluders: DataFrame, person: float = PERSON, least: float = LEAST_OWN, side: float = 1.0) -> DataFrame:
+def self_images(eyes: DataFrame, surfaces: DataFrame, interior: DataFrame, occluders: DataFrame, person: float = PERSON, least: float = LEAST_OWN, side: float | None = 1.0) -> DataFrame:
     """Per eye (plan_id, px, py) and surface in which it sees itself: reflectance, foot (fx, fy), distance, image_distance, subtended, intensity.
 
     interior: plan_id, ix, iy. The foot of the perpendicular must lie on the surface, the eye in front of it, the way be free.
     """
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = F.try_divide((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy, dx * dx + dy * dy)
-    seen = eyes.distinct().join(surfaces.where(F.col("reflectance") >= least), "plan_id").join(interior, "plan_id").withColumn("t", F.coalesce(t, F.lit(0.0)))
+    seen = eyes.repartition("plan_id").distinct().join(surfaces.where(F.col("reflectance") >= least), "plan_id").join(interior, "plan_id").withColumn("t", F.coalesce(t, F.lit(0.0)))
     seen = seen.withColumn("fx", F.col("x1") + F.col("t") * dx).withColumn("fy", F.col("y1") + F.col("t") * dy).withColumn("distance", F.hypot(F.col("px") - F.col("fx"), F.col("py") - F.col("fy")))
     seen = seen.where(F.col("t").between(0, 1) & (F.col("distance") >= 1e-6) & _facing("px", "py"))
     lines = seen.select("plan_id", "px", "py", "surface", "reflectance", "fx", "fy", "distance", F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("fx").alias("bx"), F.col("fy").alias("by"), F.col("surface").alias("skip"))
@@ -94,23 +104,27 @@ def self_images(eyes: DataFrame, surfaces: DataFrame, interior: DataFrame, occlu
 
 def self_exposure(eyes: DataFrame, images: DataFrame) -> DataFrame:
     """Per eye: self_exposure (sum of intensities), its index in 0..1, n_self_images and the nearest image's distance (null without images)."""
-    sums = images.groupBy("plan_id", "px", "py").agg(F.sum("intensity").alias("raw"), F.count("*").alias("n"), F.min("image_distance").alias("nearest_image_distance"))
+    none = F.lit(None).cast("double")
+    both = eyes.select("plan_id", "px", "py", none.alias("intensity"), none.alias("image_distance"), F.lit(True).alias("eye")).repartition("plan_id").unionByName(images.select("plan_id", "px", "py", "intensity", "image_distance", F.lit(False).alias("eye")))
+    sums = both.groupBy("plan_id", "px", "py").agg(F.sum("intensity").alias("raw"), F.count("intensity").alias("n"), F.min("image_distance").alias("nearest_image_distance"), F.bool_or("eye").alias("eye")).where("eye")
     raw = F.coalesce("raw", F.lit(0.0))
-    return eyes.distinct().join(sums, ["plan_id", "px", "py"], "left").select("plan_id", "px", "py", raw.alias("self_exposure"), (1 - F.exp(-raw / SCALE)).alias("self_exposure_index"), F.coalesce("n", F.lit(0)).alias("n_self_images"), "nearest_image_distance")
+    return sums.select("plan_id", "px", "py", raw.alias("self_exposure"), (1 - F.exp(-raw / SCALE)).alias("self_exposure_index"), F.col("n").alias("n_self_images"), "nearest_image_distance")
 
 
-def seen_by_reflection(targets: DataFrame, observers: DataFrame, surfaces: DataFrame, interior: DataFrame, occluders: DataFrame, least: float = LEAST_SEEN, side: float = 1.0) -> DataFrame:
+def seen_by_reflection(targets: DataFrame, observers: DataFrame, surfaces: DataFrame, interior: DataFrame, occluders: DataFrame, least: float = LEAST_SEEN, side: float | None = 1.0) -> DataFrame:
     """Per target (plan_id, px, py) and observer (plan_id, ox, oy) of its plan: reflected_visible, by way of any one surface.
 
     The observer's line to the target's mirror image must cross the surface, both stand in front of it, and both legs be free.
     """
     keys = ["plan_id", "px", "py", "ox", "oy"]
-    pairs = targets.distinct().join(observers.distinct(), "plan_id")
+    pairs = targets.repartition("plan_id").distinct().join(observers.repartition("plan_id").distinct(), "plan_id")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = F.coalesce(F.try_divide((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))
     j = pairs.join(surfaces.where(F.col("reflectance") >= least), "plan_id").join(interior, "plan_id").where(_facing("ox", "oy") & _facing("px", "py")).withColumn("t", t)
     whole = (dx * dx + dy * dy) > 0
-    j = j.withColumn("mx", F.when(whole, 2 * (F.col("x1") + F.col("t") * dx) - F.col("px")).otherwise(F.col("px"))).withColumn("my", F.when(whole, 2 * (F.col("y1") + F.col("t") * dy) - F.col("py")).otherwise(F.col("py")))
+    image = lambda p, q, d: F.when(whole, 2 * (F.col(q) + F.col("t") * d) - F.col(p)).otherwise(F.col(p))
+    # exploded, so the image is worked out once and not wherever it's compared
+    j = j.withColumn("m", F.explode(F.array(F.struct(image("px", "x1", dx).alias("mx"), image("py", "y1", dy).alias("my"))))).select("*", "m.*")
     at = lambda *names: [F.col(n) for n in names]
     j = j.where(crosses(at("ox", "oy"), at("mx", "my"), at("x1", "y1"), at("x2", "y2")))
     den = (F.col("ox") - F.col("mx")) * -dy + (F.col("oy") - F.col("my")) * dx
@@ -121,8 +135,8 @@ def seen_by_reflection(targets: DataFrame, observers: DataFrame, surfaces: DataF
     # the second leg is looked at only where the first is free
     first = unblocked(leg(j, "ox", "oy", "fx", "fy"), occluders, [*keys, "surface"], side)
     second = unblocked(leg(first, "fx", "fy", "px", "py"), occluders, [*keys, "surface"], side)
-    seen = second.select(*keys).distinct().withColumn("seen", F.lit(True))
-    return pairs.join(seen, keys, "left").select(*keys, F.coalesce("seen", F.lit(False)).alias("reflected_visible"))
+    both = pairs.select(*keys, F.lit(False).alias("seen")).unionByName(second.select(*keys, F.lit(True).alias("seen")))
+    return both.groupBy(*keys).agg(F.bool_or("seen").alias("reflected_visible"))
 
 
 def reflected_fraction(seen: DataFrame) -> DataFrame:

@@ -43,7 +43,8 @@ def components(edges: DataFrame, key: str, u: str = "u", v: str = "v") -> DataFr
 def runs(pixels: DataFrame, key: str) -> DataFrame:
     """(key, y, lo, hi, run): pixels (key, x, y) folded along rows; run orders runs as pixels are read."""
     own = W.partitionBy(key, "y").orderBy("x")
-    step = pixels.select(key, "x", "y").distinct().withColumn("s", F.col("x") - F.row_number().over(own))
+    # dealt by row of the image once: the distinct pixels are numbered and folded where they are
+    step = pixels.select(key, "x", "y").repartition(key, "y").distinct().withColumn("s", F.col("x") - F.row_number().over(own))
     folded = step.groupBy(key, "y", "s").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).drop("s")
     return folded.withColumn("run", F.col("y").cast("long") * F.lit(_ROW) + F.col("lo"))
 

@@ -57,7 +57,7 @@ s AS (SELECT plan_id, px, py, surface, 2 * distance AS image_distance, 1.7 / (2
 @query("geo16_self_images", f"+{_ROOMS}, {_IMAGES} SELECT plan_id, px, py, surface, round(image_distance, 6) AS image_distance, round(subtended, 6) AS subtended, round(intensity, 6) AS intensity FROM s")
 def _(spark, d):
     surfaces, interior, occluders = _setting(spark, d)
-    found = M.self_images(eyes(spark, d), surfaces, interior, occluders)
+    found = M.self_images(eyes(spark, d), surfaces, interior, occluders, side=None)
     return found.select("plan_id", "px", "py", "surface", *(F.round(c, 6).alias(c) for c in ("image_distance", "subtended", "intensity")))
 
 
@@ -65,7 +65,7 @@ def _(spark, d):
 def _(spark, d):
     surfaces, interior, occluders = _setting(spark, d)
     e = eyes(spark, d)
-    found = M.self_exposure(e, M.self_images(e, surfaces, interior, occluders))
+    found = M.self_exposure(e, M.self_images(e, surfaces, interior, occluders, side=None))
     return found.select(*(F.round(c, 6).alias(c) if c.startswith("self") or c.startswith("nearest") else F.col(c) for c in found.columns))
 
 
@@ -82,4 +82,4 @@ def _(spark, d):
     surfaces, interior, occluders = _setting(spark, d)
     e = eyes(spark, d)
     observers = e.where("py = 7.5 AND px IN (0.5, 7.5)").select("plan_id", F.col("px").alias("ox"), F.col("py").alias("oy"))
-    return M.reflected_fraction(M.seen_by_reflection(e, observers, surfaces, interior, occluders, side=2.0))
+    return M.reflected_fraction(M.seen_by_reflection(e, observers, surfaces, interior, occluders, side=None))

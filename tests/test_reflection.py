@@ -122,3 +122,29 @@ def test_random_rooms(spark):
     got = {(r["plan_id"], r["px"], r["py"], r["surface"]): r["intensity"] for r in M.self_images(e, surfaces, inside, o).collect()}
     assert got == pytest.approx(own) and own
     assert {tuple(r)[:5]: r[5] for r in M.seen_by_reflection(e, v, surfaces, inside, o).collect()} == seen and any(seen.values())
+
+
+@pytest.mark.parametrize("name", ["geo16_self_images", "geo16_self_exposure", "geo16_reflected"])
+def test_rows_are_dealt_by_plan_once(spark, name):
+    """No line is laid over cells or shuffled again by its own key; the rows of a plan meet where they are."""
+    from glyphmill.plans import load
+    from glyphmill.plans.catalog import QUERIES
+
+    load()
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("hashpartitioning(")[1] for line in plan.split("\n") if "hashpartitioning(" in line]
+    assert "sequence(" not in plan and dealt and not [line for line in dealt if "px#" in line.split("plan_id=")[0]]
+
+
+def test_without_a_grid_as_with_one(spark):
+    from glyphmill.operators.reflection import unblocked
+
+    rng = random.Random(9)
+    lines = [(plan, k, *(rng.uniform(-9, 9) for _ in range(4)), rng.choice(["s1", None])) for plan in (1, 2, 3) for k in range(100)]
+    walls = [(rng.choice(["s1", "s2", None]), *(rng.uniform(-9, 9) for _ in range(4))) for _ in range(3)]
+    a = spark.createDataFrame(lines, "plan_id long, k long, ax double, ay double, bx double, by double, skip string")
+    b = spark.createDataFrame([(plan, *w) for plan in (1, 2) for w in walls], WALL)
+    want = sorted((plan, k) for plan, k, *c, s in lines if free(c[:2], c[2:], [] if plan == 3 else walls if s else [(None, *w[1:]) for w in walls], s))
+    assert 100 < len(want) < 300
+    for side in (None, 1.0):
+        assert sorted((r["plan_id"], r["k"]) for r in unblocked(a, b, ["plan_id", "k"], side).collect()) == want
