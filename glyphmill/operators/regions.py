@@ -1,12 +1,17 @@
 """Connected regions of pixel masks, and what can be reached from seeds, as joins and min-aggregations.
 
 A mask's pixels are first folded into runs (pixels next to one another in a row of the image), so the graph whose components
-are sought has a node a run, not a pixel. Components contract by alternating star rounds, a number that grows with the
+are sought has a node a run, not a pixel. The edges of a key with at most SMALL of them are an array of its row, and components of a
+batch of such rows are found at once. Those of larger keys contract by alternating star rounds, a number that grows with the
 logarithm of the graph, not with a region's length; every round is written to the checkpoint folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,16 +19,59 @@ from pyspark.sql import functions as F
 from ..runtime import checkpoint_dir
 
 _ROW = 1 << 31
+#: Edges of a key up to which they are an array of one row.
+SMALL = 256
+
+
+def _least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each of n nodes the least one that the edges a - b lead to."""
+    least = np.arange(n)
+    while True:
+        nearer = least.copy()
+        np.minimum.at(nearer, a, least[b])
+        np.minimum.at(nearer, b, least[a])
+        nearer = nearer[nearer]
+        if (nearer == least).all():
+            return least
+        least = nearer
+
+
+def _of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, u, v (arrays of ends) -> a row a node: key, node, component."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        u, v = batch.column(1), batch.column(2)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(u.offsets.to_numpy()))
+        ends = np.empty(2 * len(row), dtype=[("row", "i8"), ("node", "i8")])
+        ends["row"] = np.concatenate([row, row])
+        ends["node"] = np.concatenate([u.flatten().to_numpy(), v.flatten().to_numpy()])
+        nodes, at = np.unique(ends, return_inverse=True)
+        least = _least_reachable(len(nodes), at[: len(row)], at[len(row) :])
+        keys = batch.column(0).take(pa.array(nodes["row"]))
+        yield pa.RecordBatch.from_arrays([keys, pa.array(nodes["node"]), pa.array(nodes["node"][least])], names=[batch.schema.names[0], "node", "component"])
+
+
+def _of_small(edges: DataFrame, key: str) -> DataFrame:
+    ends = edges.groupBy(key).agg(F.collect_list(F.struct("u", "v")).alias("e"))
+    of, node = edges.schema[key].dataType.simpleString(), edges.schema["u"].dataType
+    found = ends.select(key, F.transform("e", lambda e: e["u"].cast("long")).alias("u"), F.transform("e", lambda e: e["v"].cast("long")).alias("v")).mapInArrow(_of_rows, f"`{key}` {of}, node long, component long")
+    return found.select(key, *(F.col(c).cast(node).alias(c) for c in ("node", "component")))
 
 
 def components(edges: DataFrame, key: str, u: str = "u", v: str = "v") -> DataFrame:
-    """(key, node, component) of every node of the edges, which join nodes of the same key; component is the least node reachable.
+    """(key, node, component) of every node of the edges, which join nodes (whole numbers) of the same key; component is the least node reachable.
 
     Large star: each larger neighbour of a node hangs on the node's least neighbour; small star: each smaller one does. Edges are
     kept once, larger end first. Done when a round changes nothing.
     """
     checkpoint_dir(edges.sparkSession)
-    e = edges.select(key, F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct().checkpoint()
+    e = edges.select(key, F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").repartition(key).distinct()
+    e = e.withColumn("__n", F.count("*").over(W.partitionBy(key))).checkpoint()
+    small = _of_small(e.where(F.col("__n") <= SMALL).drop("__n"), key)
+    e = e.where(F.col("__n") > SMALL).drop("__n")
+    if e.isEmpty():
+        return small
     before = None
     while True:
         ways = e.unionByName(e.select(key, F.col("v").alias("u"), F.col("u").alias("v")))
@@ -37,7 +85,7 @@ def components(edges: DataFrame, key: str, u: str = "u", v: str = "v") -> DataFr
             break
         before = now
     roots = e.select(key, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(key, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return small.unionByName(e.select(key, F.col("u").alias("node"), F.col("v").alias("component"))).unionByName(roots)
 
 
 def runs(pixels: DataFrame, key: str) -> DataFrame:

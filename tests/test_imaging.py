@@ -370,3 +370,35 @@ def test_sign_test(spark):
         sums = [sum(d if digits[i][k] < "8" else -d for i, d in own) for k in range(100)]
         assert (r["n"], r["mean"]) == (len(own), pytest.approx(seen / len(own) / 1000)) and (r["p_one"], r["p_two"]) == (sum(s > seen for s in sums) / 100, sum(abs(s) > abs(seen) for s in sums) / 100)
     assert got["far"]["p_two"] == 0 and got["same"]["p_two"] > 0.05
+
+
+def test_components_of_small_and_large_keys(spark, monkeypatch):
+    """Small keys take no rounds: a count of jobs that doesn't grow with the chains; large and small ones agree with a flood."""
+    from glyphmill.operators import regions as R
+
+    rng, rows, want = random.Random(3), [], {}
+    for k in range(12):
+        names = rng.sample(range(-(2**40), 2**40), 60)
+        edges = [(names[i], names[i + 1]) for i in range(59) if rng.random() < 0.8] + [(rng.choice(names), rng.choice(names)) for _ in range(k)]
+        rows += [(None if k == 11 else f"k{k}", a, b) for a, b in edges + edges[:3]]
+        near = {}
+        for a, b in edges:
+            if a != b:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        for n in near:
+            found, todo = {n}, [n]
+            while todo:
+                for m in near[todo.pop()] - found:
+                    found.add(m)
+                    todo.append(m)
+            want[None if k == 11 else f"k{k}", n] = min(found)
+    df = spark.createDataFrame(rows, "id string, u long, v long")
+    of = lambda found: {tuple(r)[:2]: r[2] for r in found.collect()}
+    spark.sparkContext.setJobGroup("small", "")
+    found = R.components(df, "id")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("small")) < 12
+    assert of(found) == want
+    monkeypatch.setattr(R, "SMALL", 50)
+    keyed = {k: n for k, n in want.items() if k[0] is not None}
+    assert of(R.components(df.where("id IS NOT NULL"), "id")) == keyed
