@@ -22,6 +22,9 @@ next are the only thing that the driver sees, at most two a partition.
 Texts are read again for each round; a Bloom filter of fixed size keeps those that a round doesn't need out of its shuffle.
 Memory follows the longest text: some 40 bytes for each of its bytes.
 
+A passage is a run made of shorter repeated strings that holds many whole words. Passages are counted, not removed: strings of fewer
+bytes are looked for in all texts, and strings of SPAN bytes then only in texts with enough of the shorter ones, which misses none.
+
 Null and empty texts have no bytes. Matches never cross texts. Repeated rows count as occurrences of each other, so a text
 of SPAN bytes or more that's there twice is removed twice. Ids may repeat or be null. Columns that are passed through may
 have any name but those of the result, for which a ValueError is raised.
@@ -158,14 +161,20 @@ def compare_neighbours(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("same_covered").select("k", "k2", "at"), found.where("same_shared and (not same_covered or witness)").select("k", "k2", "at")
 
 
-def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int | None = None, cell: int = CELL) -> DataFrame:
-    """(k, k2, at): packed ranges of window starts whose window also starts elsewhere, by the key of the text."""
+def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int | None = None, cell: int = CELL, among: DataFrame | None = None) -> DataFrame:
+    """(k, k2, at): packed ranges of window starts whose window also starts elsewhere, by the key of the text.
+
+    among: keys k of the texts that may hold such windows; of the others only some are searched.
+    """
     gram = gram or max(1, span * 6 // 25)
     if not 0 < gram <= span < 1024:
         raise ValueError("gram must be between 1 and span, span below 1024")
+    cell = min(cell, span)  # the windows of a wider cell share no bytes
     spark = docs.sparkSession
     small_batches(spark)
     keyed = _keyed(docs, id_col, text_col)
+    if among is not None:
+        keyed = KeyFilter(among, "k").may_hold(keyed, "k")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,6 +212,10 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return done[0].union(done[1]).union(done[2])
 
 
+def _by_text(starts: DataFrame, name: str) -> DataFrame:
+    return starts.groupBy("k", "k2").agg(F.collect_set("at").alias(name))
+
+
 def covered_bytes(text: np.ndarray, packed: np.ndarray, span: int, min_words: int = 0) -> tuple[np.ndarray, int]:
     """(bytes that windows at the packed starts cover, their runs), without runs of fewer than min_words whole words."""
     p, far, near = unpack(packed)
@@ -221,52 +234,69 @@ def covered_bytes(text: np.ndarray, packed: np.ndarray, span: int, min_words: in
     return gone, len(first)
 
 
-def _trim(fields: list, text_at: int, span: int, with_text: bool, min_words: int, beside: KeyFilter | None = None):
-    """Rows with columns fields, then k, k2, ats (packed ranges, or null). beside: leave out the rows whose k it may hold."""
+def _trim(fields: list, text_at: int, span: int, with_text: bool, min_words: int, passages: tuple[int, int] | None = None, beside: KeyFilter | None = None):
+    """Rows with columns fields, then k, k2, ats, near (packed ranges of span and of the passages' span, or null). beside: leave out the rows whose k it may hold."""
     shared, test = (beside.shared, beside.test) if beside else (None, None)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if shared is not None:
                 batch = batch.filter(pa.array(~test(shared.value, batch.column(len(fields)).to_numpy())))
-            cols, ats = batch.columns[: len(fields)], batch.column(len(fields) + 2)
+            cols, ats, near = batch.columns[: len(fields)], batch.column(len(fields) + 2), batch.column(len(fields) + 3)
             buf, off = utf8(batch.column(text_at))
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for r in range(batch.num_rows):
                 text = buf[off[r] : off[r + 1]]
-                size, runs = len(text), 0
+                size, runs, many = len(text), 0, 0
+                if passages and near[r].is_valid:
+                    many = covered_bytes(text, near[r].values.to_numpy(), *passages)[1]
                 if ats[r].is_valid:
                     gone, runs = covered_bytes(text, ats[r].values.to_numpy(), span, min_words)
                     text = text[~gone]
                 kept = text.tobytes()
-                for o, v in zip(out, (size, size - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None), strict=True):
+                for o, v in zip(out, (size, size - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None, many), strict=True):
                     o.append(v)
             if with_text:
                 cols[text_at] = pa.array([t if ok else None for t, ok in zip(out[4], cols[text_at].is_valid().to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=[*fields, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            found = {"n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string())}
+            if passages:
+                found["n_passages"] = pa.array(out[5], pa.int64())
+            yield pa.RecordBatch.from_arrays([*cols, *found.values()], names=[*fields, *found])
 
     return kernel
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False, span: int = SPAN, gram: int | None = None, cell: int = CELL, min_words: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False, span: int = SPAN, gram: int | None = None, cell: int = CELL, min_words: int = 0, passages: tuple[int, int] | None = None) -> DataFrame:
     """Per row: id_col and `keep`, n_bytes, n_removed, n_spans, kept_sha256. with_text: also text_col, with the bytes removed.
 
     min_words: runs of fewer whole words (between blanks) stay.
+    passages: (bytes, words); also n_passages, the runs of at least so many whole words, made of strings of so many bytes
+    (at most span) that start in more than one place. They change nothing else.
 
     A character that loses some of its bytes is left out of the text whole; kept_sha256 is over the bytes as they are.
     """
     cols = list(dict.fromkeys([id_col, *(keep or []), text_col]))
-    if clash := {"n_bytes", "n_removed", "n_spans", "kept_sha256", "__k", "__k2", "__ats"} & set(cols):
+    if clash := {"n_bytes", "n_removed", "n_spans", "kept_sha256", "__k", "__k2", "__ats", "__near", *(["n_passages"] if passages else [])} & set(cols):
         raise ValueError(f"columns {sorted(clash)} of the input have names of the result")
-    ranges = cut(repeated_starts(docs, id_col, text_col, span, gram, cell).groupBy("k", "k2").agg(F.collect_set("at").alias("ats")))
+    if passages and passages[0] > span:
+        raise ValueError("strings of passages must not be longer than span")
+    fine = among = None
+    if passages:
+        fine = cut(_by_text(repeated_starts(docs, id_col, text_col, passages[0], None, cell), "near"))
+        release(docs.sparkSession)
+        # a repeated window of span bytes holds span - passages[0] + 1 repeated windows of the shorter kind
+        starts = F.aggregate("near", F.lit(0).cast("long"), lambda n, x: n + F.shiftright(x, 10).bitwiseAND(1023) - x.bitwiseAND(1023) + 1)
+        among = fine.where(starts > span - passages[0]).select("k")
+    ranges = _by_text(repeated_starts(docs, id_col, text_col, span, gram, cell, among), "ats")
+    ranges = cut(fine.join(ranges, ["k", "k2"], "left").select("k", "k2", "ats", "near") if passages else ranges.withColumn("near", F.lit(None).cast("array<long>")))
     release(docs.sparkSession)
     held = docs.select(*cols, F.xxhash64(F.col(id_col), F.col(text_col)).alias("__k"), F.hash(F.col(text_col), F.lit(1)).alias("__k2"))
     found = KeyFilter(ranges, "k")
-    hit = found.may_hold(held, "__k").join(ranges.select(F.col("k").alias("__k"), F.col("k2").alias("__k2"), F.col("ats").alias("__ats")).hint("shuffle_hash"), ["__k", "__k2"], "left")
-    clean = held.withColumn("__ats", F.lit(None).cast("array<long>"))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
-    order = [*(F.col(f"`{c}`") for c in cols), "__k", "__k2", "__ats"]
-    out = [df.select(*order).mapInArrow(_trim(cols, cols.index(text_col), span, with_text, min_words, beside), schema) for df, beside in ((hit, None), (clean, found))]
+    hit = found.may_hold(held, "__k").join(ranges.select(F.col("k").alias("__k"), F.col("k2").alias("__k2"), F.col("ats").alias("__ats"), F.col("near").alias("__near")).hint("shuffle_hash"), ["__k", "__k2"], "left")
+    clean = held.withColumns({c: F.lit(None).cast("array<long>") for c in ("__ats", "__near")})
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["n_passages long"] if passages else [])])
+    order = [*(F.col(f"`{c}`") for c in cols), "__k", "__k2", "__ats", "__near"]
+    out = [df.select(*order).mapInArrow(_trim(cols, cols.index(text_col), span, with_text, min_words, passages, beside), schema) for df, beside in ((hit, None), (clean, found))]
     both = out[0].union(out[1])
     return both if with_text else both.drop(*([text_col] if text_col not in [id_col, *(keep or [])] else []))
 

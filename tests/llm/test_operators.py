@@ -190,6 +190,55 @@ def test_repeats_of_many_words(spark):
     assert (out[2], out[3]) == (rows[2][1], rows[3][1])
 
 
+def brute_passages(rows, span, min_words):
+    """Per id, the runs of repeated windows that hold min_words whole words."""
+    seen, out = Counter(), Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        seen.update(b[i : i + span] for i in range(len(b) - span + 1))
+    for d, t in rows:
+        b, gone = (t or "").encode(), set()
+        for s in range(len(b) - span + 1):
+            if seen[b[s : s + span]] > 1:
+                gone |= set(range(s, s + span))
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        runs = [[x for _, x in g] for _, g in itertools.groupby(enumerate(sorted(gone)), key=lambda x: x[1] - x[0])]
+        out[d, sum(sum(r[0] <= x and y <= r[-1] + 1 for x, y in words) >= min_words for r in runs)] += 1
+    return out
+
+
+def test_passages_are_counted_and_not_removed(spark, tmp_path):
+    """Passages of over 50 words and under 400 bytes: n_passages tells them, the contract's columns stay."""
+    from glyphmill.llm.queries import op2_suffix_dedup
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 7)))
+    many = lambda n: " ".join(word() for _ in range(n))
+    short, fewer, long = many(55), many(45), many(120)
+    assert 200 <= len(short) < 398 and 200 <= len(fewer) and len(long) >= 400
+    rows = [(0, f"{many(60)} {short} {many(60)}"), (1, f"{short} {many(30)}"), (2, f"{many(30)} {fewer}"), (3, f"{fewer} {many(9)}"), (4, f"{many(9)} {long} {many(9)} {short}"), (5, f"{long} {many(80)}"), (6, many(300)), (7, None), (8, "")]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op2_suffix_dedup(spark, str(tmp_path)).cache()
+    assert Counter(tuple(r) for r in got.drop("n_passages").collect()) == brute_repeats(rows, 400)
+    assert {r.doc_id: r.n_passages for r in got.collect()} == {0: 1, 1: 1, 2: 0, 3: 0, 4: 2, 5: 1, 6: 0, 7: 0, 8: 0}
+    assert {r.doc_id for r in got.where("n_removed > 0").collect()} == {4, 5}
+
+
+@pytest.mark.parametrize(("span", "passages"), [(40, (20, 3)), (40, (40, 2)), (7, (6, 1))])
+def test_repeats_beside_passages(spark, span, passages):
+    from glyphmill.llm.suffixes import remove_repeats
+
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abé ") for _ in range(300)) for _ in range(5)]
+    rows = [(i, "".join(rng.choice([base[rng.randrange(5)][rng.randrange(200) :][: rng.randrange(1, 90)], "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(60)))]) for _ in range(rng.randrange(5)))) for i in range(100)]
+    rows += [(1000, None), (1001, ""), (1002, "a" * 500), (1003, "a b" * 99), (7, rows[7][1]), (None, rows[9][1]), (1005, "q" * 39), (1006, "q" * 40), (1007, "z" * 41)]
+    got = remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3), span=span, passages=passages).cache()
+    assert Counter(tuple(r) for r in got.drop("n_passages").collect()) == brute_repeats(rows, span)
+    assert Counter((r.doc_id, r.n_passages) for r in got.collect()) == brute_passages(rows, *passages)
+    with pytest.raises(ValueError, match="longer"):
+        remove_repeats(spark.createDataFrame(rows, DOCS), span=span, passages=(span + 1, 1))
+
+
 def test_repeats_keep_columns(spark):
     from glyphmill.llm.suffixes import drop_repeats
 
