@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import KeyFilter, cut, release, small_batches
+from .runtime import KeyFilter, cut, release, remove, shared_path, small_batches
 from .textbytes import BASE, BASE_INV, BYTE_CODE, U64, byte_class, mix, pieces, powers, slide, spans, utf8
 
 SPAN, CELL = 400, 16
@@ -161,10 +161,11 @@ def compare_neighbours(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("same_covered").select("k", "k2", "at"), found.where("same_shared and (not same_covered or witness)").select("k", "k2", "at")
 
 
-def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int | None = None, cell: int = CELL, among: DataFrame | None = None) -> DataFrame:
+def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int | None = None, cell: int = CELL, among: DataFrame | None = None, spool: bool = False) -> DataFrame:
     """(k, k2, at): packed ranges of window starts whose window also starts elsewhere, by the key of the text.
 
     among: keys k of the texts that may hold such windows; of the others only some are searched.
+    spool: samples are kept in files while they are sorted, as a sort by ranges reads its input twice; without, they are made twice.
     """
     gram = gram or max(1, span * 6 // 25)
     if not 0 < gram <= span < 1024:
@@ -199,7 +200,13 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return kernel
 
-    settled, rest = compare_neighbours(keyed.mapInArrow(sample, _PART))
+    sampled, path = keyed.mapInArrow(sample, _PART), shared_path(spark, "samples")
+    if spool:
+        sampled.write.parquet(path)
+        sampled = spark.read.schema(_PART).parquet(path)
+    settled, rest = compare_neighbours(sampled)
+    if spool:
+        remove(spark, path)  # what neighbours share is checkpointed
     done = [settled]
     for width in (cell, 1):
         need = cut(rest.groupBy("k", "k2").agg(F.collect_set("at").alias("ats")))
@@ -282,12 +289,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("strings of passages must not be longer than span")
     fine = among = None
     if passages:
-        fine = cut(_by_text(repeated_starts(docs, id_col, text_col, passages[0], None, cell), "near"))
+        fine = cut(_by_text(repeated_starts(docs, id_col, text_col, passages[0], None, cell, spool=True), "near"))
         release(docs.sparkSession)
         # a repeated window of span bytes holds span - passages[0] + 1 repeated windows of the shorter kind
         starts = F.aggregate("near", F.lit(0).cast("long"), lambda n, x: n + F.shiftright(x, 10).bitwiseAND(1023) - x.bitwiseAND(1023) + 1)
         among = fine.where(starts > span - passages[0]).select("k")
-    ranges = _by_text(repeated_starts(docs, id_col, text_col, span, gram, cell, among), "ats")
+    ranges = _by_text(repeated_starts(docs, id_col, text_col, span, gram, cell, among, bool(passages)), "ats")
     ranges = cut(fine.join(ranges, ["k", "k2"], "left").select("k", "k2", "ats", "near") if passages else ranges.withColumn("near", F.lit(None).cast("array<long>")))
     release(docs.sparkSession)
     held = docs.select(*cols, F.xxhash64(F.col(id_col), F.col(text_col)).alias("__k"), F.hash(F.col(text_col), F.lit(1)).alias("__k2"))
